@@ -82,4 +82,31 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 """
 
-ORACLES: dict[str, str] = {"op2_line_dedup": OP2, "op7_temperature_mixing": OP7, "op8_exact_topk": OP8}
+OP9 = """
+WITH t AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), starts AS (
+  SELECT doc_id, h, unnest(range(0, greatest(length(h) // 2 - 99, 0))) AS s FROM t
+), ranked AS (
+  SELECT doc_id, s, row_number() OVER (PARTITION BY substr(h, 2 * s + 1, 200) ORDER BY doc_id, s) AS r FROM starts
+), again AS (
+  SELECT doc_id, s, lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS before FROM ranked WHERE r > 1
+), runs AS (
+  SELECT *, sum((before IS NULL OR s > before + 100)::INT) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM again
+), spans AS (
+  SELECT doc_id, min(s) AS a, max(s) + 100 AS b FROM runs GROUP BY doc_id, run
+), gaps AS (
+  SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS x, a AS y FROM spans
+  UNION ALL
+  SELECT t.doc_id, coalesce(max(b), 0), any_value(length(h) // 2) FROM t LEFT JOIN spans USING (doc_id) GROUP BY t.doc_id
+), kept AS (
+  SELECT doc_id, string_agg(substr(h, 2 * x + 1, 2 * (y - x)), '' ORDER BY x) AS k FROM gaps JOIN t USING (doc_id) GROUP BY doc_id
+), removed AS (
+  SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id
+)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed,
+       coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(k)) AS kept_sha256
+FROM t JOIN kept USING (doc_id) LEFT JOIN removed USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op2_line_dedup": OP2, "op7_temperature_mixing": OP7, "op8_exact_topk": OP8, "op9_window_dedup": OP9}

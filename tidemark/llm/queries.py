@@ -10,6 +10,7 @@ from tidemark.llm.line_dedup import dedup_lines
 from tidemark.llm.mixing import mix
 from tidemark.llm.sharding import shard
 from tidemark.llm.topk import top_k
+from tidemark.llm.window_dedup import dedup_windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,6 +34,12 @@ def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors, vectors.where("vec_id % 100 = 0"), k=10)
 
 
+def op9_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _load(spark, sf_dir, "documents").select("doc_id", "text")
+    cut = dedup_windows(docs, length=100, with_text=False)
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.col("kept").cast("string").alias("kept_sha256"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _load(spark, sf_dir, "documents").select("doc_id", "text")
     crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32")
@@ -51,5 +58,6 @@ QUERIES: dict[str, Query] = {
     "op2_line_dedup": op2_line_dedup,
     "op7_temperature_mixing": op7_temperature_mixing,
     "op8_exact_topk": op8_exact_topk,
+    "op9_window_dedup": op9_window_dedup,
     "op10_sharding": op10_sharding,
 }

@@ -13,7 +13,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 19
+CHUNK_BYTES = 1 << 17
 BASE = 0x9E3779B97F4A7C15
 _U = np.uint64
 
@@ -156,12 +156,12 @@ def shingles(w: Words, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
     long = np.flatnonzero(counts >= k)
     if len(long):
         # position of each shingle's first word: its rank in the document plus the document's first word
-        first = np.repeat(w.of_doc[long], per_doc[long]) + _ramp(per_doc[long])
+        first = np.repeat(w.of_doc[long], per_doc[long]) + ramp(per_doc[long])
         h = np.zeros(len(first), dtype=np.uint64)
         for i in range(k):
             h = (h ^ w.hash[first + i]) * _U(0xD6E8FEB86659FD93 + 2 * i)
             h ^= h >> _U(32)
-        out[np.repeat(bounds[long], per_doc[long]) + _ramp(per_doc[long])] = mix(h)
+        out[np.repeat(bounds[long], per_doc[long]) + ramp(per_doc[long])] = mix(h)
     for d in np.flatnonzero((counts > 0) & (counts < k)):
         h = _U(0x51ED270B + int(counts[d]))
         for x in w.hash[w.of_doc[d] : w.of_doc[d + 1]]:
@@ -172,7 +172,7 @@ def shingles(w: Words, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
     return out, bounds
 
 
-def _ramp(counts: np.ndarray) -> np.ndarray:
+def ramp(counts: np.ndarray) -> np.ndarray:
     """0 .. count - 1 for each count, end to end."""
     total = int(counts.sum())
     steps = np.ones(total, dtype=np.int64)
