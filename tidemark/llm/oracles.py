@@ -20,6 +20,29 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE dropped)::BIG
 FROM marked GROUP BY doc_id
 """
 
+OP4 = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w FROM documents
+), sh AS (
+  SELECT DISTINCT doc_id, s FROM (
+    SELECT doc_id, array_to_string(w[i : i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5)
+    UNION ALL
+    SELECT doc_id, array_to_string(w, ' ') FROM w WHERE len(w) BETWEEN 1 AND 4)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id
+), links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id
+  HAVING 100 * count(*) >= 75 * ((SELECT n FROM n WHERE n.doc_id = a.doc_id) + (SELECT n FROM n WHERE n.doc_id = b.doc_id) - count(*))
+), reach(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION
+  SELECT reach.doc_id, links.b FROM reach JOIN links ON links.a = reach.other
+)
+SELECT doc_id, coalesce(max(n.n), 0)::BIGINT AS n_shingles, min(other) AS component_id
+FROM reach LEFT JOIN n USING (doc_id) GROUP BY doc_id
+"""
+
 OP7 = r"""
 WITH RECURSIVE toks AS (
   SELECT doc_id, source, coalesce(source, '') AS src, md5('mix:' || coalesce(doc_id::VARCHAR, '')) AS order_key,
@@ -109,4 +132,4 @@ SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGI
 FROM t JOIN kept USING (doc_id) LEFT JOIN removed USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op2_line_dedup": OP2, "op7_temperature_mixing": OP7, "op8_exact_topk": OP8, "op9_window_dedup": OP9}
+ORACLES: dict[str, str] = {"op2_line_dedup": OP2, "op4_ngram_join": OP4, "op7_temperature_mixing": OP7, "op8_exact_topk": OP8, "op9_window_dedup": OP9}

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.llm.line_dedup import dedup_lines
 from tidemark.llm.mixing import mix
+from tidemark.llm.ngram_join import similar_documents
 from tidemark.llm.sharding import shard
 from tidemark.llm.topk import top_k
 from tidemark.llm.window_dedup import dedup_windows
@@ -24,6 +25,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_documents(_load(spark, sf_dir, "documents").select("doc_id", "text"), k=5, percent=75)
+
+
 def op7_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _load(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mix(docs, budget_share=1.0, entropy_share=0.98, max_repeat=4.0).select("doc_id", "source", "n_tokens", "weight", "copies", "block")
@@ -56,6 +61,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_line_dedup": op2_line_dedup,
+    "op4_ngram_join": op4_ngram_join,
     "op7_temperature_mixing": op7_temperature_mixing,
     "op8_exact_topk": op8_exact_topk,
     "op9_window_dedup": op9_window_dedup,
