@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tidemark.llm._common import fold
+from tidemark.llm.brown_lm import brown_scores
 from tidemark.llm.line_dedup import dedup_lines
 from tidemark.llm.mixing import mix
 from tidemark.llm.ngram_join import similar_documents
@@ -29,6 +31,12 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(_load(spark, sf_dir, "documents").select("doc_id", "text"), k=5, percent=75)
 
 
+def op6_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _load(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = fold("doc_id", 7) == 2
+    return brown_scores(docs, learn=~held_out).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _load(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mix(docs, budget_share=1.0, entropy_share=0.98, max_repeat=4.0).select("doc_id", "source", "n_tokens", "weight", "copies", "block")
@@ -62,6 +70,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_line_dedup": op2_line_dedup,
     "op4_ngram_join": op4_ngram_join,
+    "op6_brown_lm": op6_brown_lm,
     "op7_temperature_mixing": op7_temperature_mixing,
     "op8_exact_topk": op8_exact_topk,
     "op9_window_dedup": op9_window_dedup,
