@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tidemark.llm import quality, toxicity
 from tidemark.llm._common import fold
 from tidemark.llm.brown_lm import brown_scores
 from tidemark.llm.line_dedup import dedup_lines
@@ -27,6 +28,20 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _load(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _load(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0).select("doc_id", "quality")
+    scored = quality.score(docs, quality.fit(docs, labels), threshold=0.3)
+    return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _load(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _load(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0).select("doc_id", "toxic")
+    scored = toxicity.score(docs, toxicity.fit(docs.where(fold("doc_id", 5) != 0), labels), threshold=0.5)
+    return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(_load(spark, sf_dir, "documents").select("doc_id", "text"), k=5, percent=75)
 
@@ -69,6 +84,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_line_dedup": op2_line_dedup,
+    "op3_quality": op3_quality,
+    "op5_toxicity": op5_toxicity,
     "op4_ngram_join": op4_ngram_join,
     "op6_brown_lm": op6_brown_lm,
     "op7_temperature_mixing": op7_temperature_mixing,

@@ -174,6 +174,7 @@ def shingles(w: Words, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
 
 def ramp(counts: np.ndarray) -> np.ndarray:
     """0 .. count - 1 for each count, end to end."""
+    counts = counts[counts > 0]
     total = int(counts.sum())
     steps = np.ones(total, dtype=np.int64)
     if total == 0:
