@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+import corpus_pipeline
 from tidemark.llm import quality, toxicity
 from tidemark.llm._common import fold
 from tidemark.llm.brown_lm import brown_scores
+from tidemark.llm.decontamination import contaminated
 from tidemark.llm.line_dedup import dedup_lines
 from tidemark.llm.mixing import mix
 from tidemark.llm.ngram_join import similar_documents
@@ -23,6 +25,12 @@ def _load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _load(spark, sf_dir, "documents").select("doc_id", "text")
+    found = contaminated(docs, _load(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", F.round("lcs_share", 6).alias("lcs_share"), F.round("answer_share", 6).alias("answer_share"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _load(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -77,12 +85,11 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
     return corpus_pipeline.run(spark, sf_dir)
 
 
 QUERIES: dict[str, Query] = {
+    "op1_decontamination": op1_decontamination,
     "op2_line_dedup": op2_line_dedup,
     "op3_quality": op3_quality,
     "op5_toxicity": op5_toxicity,
@@ -92,4 +99,5 @@ QUERIES: dict[str, Query] = {
     "op8_exact_topk": op8_exact_topk,
     "op9_window_dedup": op9_window_dedup,
     "op10_sharding": op10_sharding,
+    "pipeline": pipeline,
 }
