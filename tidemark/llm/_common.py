@@ -22,10 +22,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage and outlives executors."""
+    """df as a Parquet table in the shared folder: cuts lineage and outlives executors.
+
+    The collection afterwards lets Spark's cleaner delete the shuffle files of the stages that
+    nothing refers to any more; else they stay until the driver happens to collect.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    spark._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out.tidemark_path = path
     return out

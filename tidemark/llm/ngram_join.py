@@ -8,15 +8,18 @@ document picks the e from 1 to MAX_EXTENSION of least estimated cost: the shingl
 send, and the candidates, at most (sum of the prefix's document counts) / e of them.
 
 Equal sets are one class from the start (a 64-bit hash of the set with its size). Prefixes are
-gathered by shingle; in each list the classes of one size band are tied to a leader first, and
-what verification then joins needs no more pairs: only classes that are still in different
-components and share enough prefix shingles are paired. So copies of one document cost a pair
+gathered by shingle. Each list names a leader for each size band, and each class is verified
+against the leader that most of its lists name. What that joins needs no more pairs. Lists of
+CLUSTER members or more that are still in several components are compared whole, block against
+block. Then all classes that are still in different components, were not compared in a cluster
+and share enough prefix shingles are paired. So copies of one document cost a pair
 each and not a square, while every link between components is looked at.
 Verification gathers the texts of a leader and of at most FOLLOWERS classes and counts.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,11 +29,15 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tidemark.llm._common import discard, text_or_empty, written
 from tidemark.llm.components import components
 from tidemark.llm.textbytes import chunks, shingles, words
+from tidemark.llm.window_dedup import SharedStream
 
 MAX_EXTENSION = 4
 HEAVY = 1 << 15  # heavy shingles kept in the global order; others are ordered by hash
 LOCAL_HEAVY = 12  # documents of one Arrow batch that make a shingle worth reporting
 FOLLOWERS = 256
+CLUSTER = 16  # members from which an unsettled list is compared as a whole
+PICKS = 3  # such lists for each set
+BLOCK = 200
 _U = np.uint64
 
 
@@ -182,99 +189,161 @@ def similar_documents(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFra
     # One shuffle for both kinds of rows: documents by their set, shingles by their hash.
     key = F.coalesce("token", F.col("member")).alias("key")
     dealt = emitted.select(key, F.col("token").isNotNull().alias("listed"), "member", "size", "extension", "doc_id")
-    # Leaders differ from list to list by four global orders, so that sets which no single leader reaches still meet.
-    rank = F.xxhash64(F.col("member"), F.pmod("key", F.lit(4)))
-    ordered = dealt.withColumn("rank", F.when(F.col("listed"), rank)).repartition("key").sortWithinPartitions("listed", "key", "rank", "member", "doc_id")
+    ordered = dealt.repartition("key").sortWithinPartitions("listed", "key", "member", "size")
     lists = written(ordered.mapInArrow(_shared_lists, _LISTS), "join-lists")
     sets = lists.where("token IS NULL").select("doc_id", "member", F.col("size").alias("n_shingles"))
     heads = sets.where("n_shingles > 0").groupBy("member", "n_shingles").agg(F.min("doc_id").alias("head"))
     copies = sets.where("n_shingles > 0").join(heads, ["member", "n_shingles"]).where("doc_id <> head").select(F.col("head").alias("a"), F.col("doc_id").alias("b"))
     named = heads.select("member", F.col("n_shingles").alias("size"), F.col("head").alias("id"))
 
-    stars = lists.where("leader IS NOT NULL AND leader <> member").select("leader", "leader_size", "member", "size").distinct()
-    pairs = stars.join(named.toDF("leader", "leader_size", "a"), ["leader", "leader_size"]).join(named.toDF("member", "size", "b"), ["member", "size"])
-    links = _verified(texts, pairs.select("a", "b"), k, percent)
-    found = components(links)
-
-    # Whatever two lists' members are not yet joined and could still link, by size and shared shingles.
-    posted = lists.where("token IS NOT NULL").join(named, ["member", "size"]).select("token", "size", "extension", "id")
-    placed = posted.join(found.toDF("id", "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = placed.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("token")
-    rest = written(placed.join(mixed, "token"), "join-rest")
-    x, y = rest.toDF("xi", "token", "xs", "xe", "xc"), rest.toDF("yi", "token", "ys", "ye", "yc")
-    close = (F.col("xi") < F.col("yi")) & (F.col("xc") != F.col("yc")) & (100 * F.least("xs", "ys") >= percent * F.greatest("xs", "ys"))
-    met = x.join(y, "token").where(close).groupBy("xi", "yi").agg(F.count("*").alias("n"), F.min(F.least("xe", "ye")).alias("e"))
-    more = _verified(texts, met.where("n >= e").select(F.col("xi").alias("a"), F.col("yi").alias("b")), k, percent)
-    final = components(links.unionAll(more).unionAll(copies))
+    posted = written(lists.where("token IS NOT NULL").join(named, ["member", "size"]).select("token", "size", "extension", "id"), "join-posted")
+    rest = written(_unsettled(posted, None), "join-rest")
+    links = _verified(texts, _stars(rest, percent), k, percent)
+    discard(rest)
+    rest = written(_unsettled(posted, components(links)), "join-rest")
+    picks = written(_picks(rest), "join-picks")
+    links = links.unionAll(_verified_clusters(texts, picks, k, percent))
     discard(rest)
+    rest = written(_unsettled(posted, components(links)), "join-rest").join(picks, "id", "left")
+    # What is left: pairs of two components that no cluster has compared, by size and shared shingles.
+    sides = [rest.select("token", *[F.col(c).alias(f"{side}_{c}") for c in ("id", "size", "extension", "component", "picks")]) for side in "xy"]
+    close = (
+        (F.col("x_id") < F.col("y_id"))
+        & (F.col("x_component") != F.col("y_component"))
+        & (100 * F.least("x_size", "y_size") >= percent * F.greatest("x_size", "y_size"))
+        & ~F.coalesce(F.arrays_overlap("x_picks", "y_picks"), F.lit(False))
+    )
+    shared = sides[0].join(sides[1], "token").where(close).groupBy("x_id", "y_id")
+    met = shared.agg(F.count("*").alias("n"), F.min(F.least("x_extension", "y_extension")).alias("e")).where("n >= e")
+    more = _verified(texts, met.select(F.col("x_id").alias("a"), F.col("y_id").alias("b")), k, percent)
+    final = components(links.unionAll(more).unionAll(copies))
     return sets.join(final, sets["doc_id"] == final["node"], "left").select(
         "doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")
     )
 
 
-_LISTS = "token long, member long, size int, extension int, doc_id long, leader long, leader_size int"
+def _unsettled(posted: DataFrame, found: DataFrame | None) -> DataFrame:
+    """(id, token, size, extension, component) of the lists whose members are not all in one component."""
+    placed = posted.withColumn("component", F.col("id"))
+    if found is not None:
+        placed = posted.join(found.toDF("id", "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    mixed = placed.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("token")
+    return placed.join(mixed, "token").select("id", "token", "size", "extension", "component")
 
 
-def _band(size: np.ndarray) -> np.ndarray:
-    """Sets of one band are within 3 : 4 of each other in size."""
-    return np.floor(np.log(np.maximum(size, 1)) / np.log(4 / 3)).astype(np.int64)
+def _stars(rest: DataFrame, percent: int) -> DataFrame:
+    """(a, b): each member b with the leader a that most of its lists name.
+
+    A list's leader in each size band is its member whose lists are the longest together: what
+    copies were made from shares more with them than they share with each other. Members that
+    share too few lists with their leader wait for the clusters and the pairing.
+    """
+    band = F.floor(F.log(F.col("size")) / F.lit(math.log(4 / 3))).alias("band")
+    lengths = rest.groupBy("token").agg(F.count("*").alias("members"))
+    led = rest.join(lengths, "token").select("*", band)
+    weight = led.groupBy("id").agg(F.sum("members").alias("weight"))
+    weighed = led.join(weight, "id")
+    leaders = weighed.groupBy("token", "band").agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("a"))
+    named = led.join(leaders, ["token", "band"]).where("id <> a").groupBy("id", "size", "extension", "a").agg(F.count("*").alias("n"))
+    enough = F.greatest(F.lit(2), (F.col("size") * (100 - percent) / 100 + F.col("extension")) / 10)
+    best = named.where((F.col("n") >= enough) | (F.col("size") < 20)).groupBy("id").agg(F.max_by("a", F.struct("n", "a")).alias("a"))
+    return best.select("a", F.col("id").alias("b"))
+
+
+def _picks(rest: DataFrame) -> DataFrame:
+    """(id, picks): up to PICKS of the longest lists of each unsettled set, of CLUSTER members or more."""
+    lengths = rest.groupBy("token").agg(F.count("*").alias("members")).where(F.col("members") >= CLUSTER)
+    order = Window.partitionBy("id").orderBy(F.desc("members"), "token")
+    top = rest.join(lengths, "token").withColumn("n", F.row_number().over(order)).where(F.col("n") <= PICKS)
+    return top.groupBy("id").agg(F.collect_list("token").alias("picks"))
+
+
+def _verified_clusters(docs: DataFrame, picks: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links that join what all links between the sets of a picked list join; written.
+
+    A list is cut by hash into blocks of about BLOCK sets and each two blocks meet in one group,
+    so a set travels once for each block of its list, not once for each pair.
+    """
+    members = picks.select("id", F.explode("picks").alias("token"))
+    blocks = members.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    own = F.pmod(F.xxhash64("id"), F.col("blocks"))
+    cut = members.join(blocks, "token").select("id", "token", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    grouped = cut.select(F.col("id").alias("doc_id"), F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other")).alias("grp"))
+    shown = docs.select("doc_id", text_or_empty().alias("text")).join(grouped, "doc_id")
+    rows = shown.repartition("grp").sortWithinPartitions("grp", "doc_id").select("grp", "doc_id", "text")
+    return written(rows.mapInArrow(lambda x: _verify_groups(x, k, percent), "a long, b long"), "join-links")
+
+
+def _verify_groups(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by group: a spanning forest of the links inside each group of two blocks."""
+    group, ids, sets = None, [], []
+    for batch in batches:
+        groups, doc_ids = batch["grp"].to_numpy(), batch["doc_id"].to_numpy()
+        for row, s in document_sets(batch["text"], k):
+            if groups[row] != group:
+                yield _forest(ids, sets, percent)
+                group, ids, sets = groups[row], [], []
+            ids.append(int(doc_ids[row]))
+            sets.append(s)
+    yield _forest(ids, sets, percent)
+
+
+def _forest(ids: list[int], sets: list[np.ndarray], percent: int) -> pa.RecordBatch:
+    n = len(ids)
+    both, sizes = np.zeros((n, n), np.float32), np.array([len(s) for s in sets], np.float32)
+    if n > 1:
+        _, token, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        doc = np.repeat(np.arange(n), sizes.astype(int))
+        column = np.cumsum(count > 1) - 1  # only shingles of two sets matter
+        keep = count[token] > 1
+        doc, token = doc[keep], column[token[keep]]
+        order = np.argsort(token, kind="stable")
+        doc, token = doc[order], token[order]
+        for at in range(0, int(column[-1]) + 1, 4096):
+            lo, hi = np.searchsorted(token, [at, at + 4096])
+            m = np.zeros((n, 4096), np.float32)
+            m[doc[lo:hi], token[lo:hi] - at] = 1
+            both += m @ m.T
+    linked = (100 * both >= percent * (sizes[:, None] + sizes[None] - both)) & (both > 0)
+    parent = list(range(n))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    a, b = [], []
+    for i, j in np.argwhere(np.triu(linked, 1)):
+        x, y = root(i), root(j)
+        if x != y:
+            parent[y] = x
+            a.append(ids[i])
+            b.append(ids[j])
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+_LISTS = "token long, member long, size int, extension int, doc_id long"
 
 
 def _shared_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents as they are; of the lists, those with at least two sets, each row with the first set of its size band as leader."""
-    state: dict = {"key": None, "leaders": {}, "held": None, "last": None}
+    """Documents as they are; of the sorted lists, those with at least two sets, each set once."""
+    last, shared = None, SharedStream()
     for batch in batches:
         listed = batch["listed"].to_numpy(zero_copy_only=False)
         docs = np.flatnonzero(~listed)
         if len(docs):
             d = batch.take(pa.array(docs))
-            none = pa.nulls(len(docs), pa.int64())
-            yield _list_rows(none, d["member"], d["size"], d["extension"], d["doc_id"], none, pa.nulls(len(docs), pa.int32()))
+            yield _list_rows(pa.nulls(len(docs), pa.int64()), d["member"], d["size"], d["extension"], d["doc_id"])
         rows = np.flatnonzero(listed)
         if not len(rows):
             continue
-        key, member, size, ext = (batch[c].to_numpy(zero_copy_only=False)[rows] for c in ("key", "member", "size", "extension"))
-        if state["held"] is not None:
-            key, member, size, ext = (np.append(h, x) for h, x in zip(state["held"], (key, member, size, ext), strict=True))
-            joined = False
-        else:
-            joined = state["key"] is not None and key[0] == state["key"]
-        # the same set from several batches counts once
-        new = np.append(True, key[1:] != key[:-1])
-        again = np.append(False, ~new[1:] & (member[1:] == member[:-1]) & (size[1:] == size[:-1]))
-        if joined:
-            new[0] = False
-            again[0] = state["last"] == (int(member[0]), int(size[0]))
-        key, member, size, ext = (x[~again] for x in (key, member, size, ext))
-        if not len(key):
-            continue
-        new = np.append(not (joined and key[0] == state["key"]), key[1:] != key[:-1])
-        group = np.cumsum(new)
-        n = np.bincount(group)
-        single = n[group] == 1
-        if not new[0]:
-            single[group == group[0]] = False
-        held = bool(single[-1])
-        keep = ~single
-        leader, leader_size = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)
-        code = group * 4096 + _band(size)
-        _, first, inverse = np.unique(code[keep], return_index=True, return_inverse=True) if keep.any() else (None, np.zeros(0, int), np.zeros(0, int))
-        at = np.flatnonzero(keep)
-        leader[at], leader_size[at] = member[at][first][inverse], size[at][first][inverse]
-        if not new[0]:  # leaders that an earlier batch has named
-            for i in np.flatnonzero(keep & (group == group[0])):
-                known = state["leaders"].setdefault(int(_band(size[i : i + 1])[0]), (leader[i], leader_size[i]))
-                leader[i], leader_size[i] = known
-        if at.size:
-            yield _list_rows(pa.array(key[at]), pa.array(member[at]), pa.array(size[at].astype(np.int32)), pa.array(ext[at].astype(np.int32)), pa.nulls(len(at), pa.int64()), pa.array(leader[at]), pa.array(leader_size[at].astype(np.int32)))
-        last = group == group[-1]
-        if held:
-            state = {"key": None, "leaders": {}, "held": tuple(x[-1:] for x in (key, member, size, ext)), "last": None}
-        else:
-            leaders = dict(state["leaders"]) if last[0] and not new[0] else {}
-            for i in np.flatnonzero(last):
-                leaders.setdefault(int(_band(size[i : i + 1])[0]), (leader[i], leader_size[i]))
-            state = {"key": key[-1], "leaders": leaders, "held": None, "last": (int(member[-1]), int(size[-1]))}
+        key, member, size, ext = (batch[c].to_numpy(zero_copy_only=False)[rows].astype(np.int64) for c in ("key", "member", "size", "extension"))
+        again = np.append(last == (int(key[0]), int(member[0]), int(size[0])), (key[1:] == key[:-1]) & (member[1:] == member[:-1]) & (size[1:] == size[:-1]))
+        last = (int(key[-1]), int(member[-1]), int(size[-1]))
+        key, member, size, ext = shared.step(key[~again], tuple(x[~again] for x in (key, member, size, ext)))
+        if len(key):
+            yield _list_rows(pa.array(key), pa.array(member), pa.array(size.astype(np.int32)), pa.array(ext.astype(np.int32)), pa.nulls(len(key), pa.int64()))
 
 
 def _list_rows(*columns) -> pa.RecordBatch:
