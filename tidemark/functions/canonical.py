@@ -5,10 +5,10 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def canonical_json(texts: pd.Series) -> pd.Series:
     """The canonical form of each JSON text; null for null, invalid JSON, duplicate keys or non-finite numbers."""
 
