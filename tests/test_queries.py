@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import tidemark.sources as sources
 from tidemark.functions.canonical import canonical_json
+from tidemark.plans import more  # noqa: F401  adds its queries
 from tidemark.plans.registry import ORACLES, QUERIES
 from tidemark.session import TABLES
 from tidemark.streaming import pipelines
