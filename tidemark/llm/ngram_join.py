@@ -31,13 +31,14 @@ from tidemark.llm.components import components
 from tidemark.llm.textbytes import chunks, shingles, words
 from tidemark.llm.window_dedup import SharedStream
 
-MAX_EXTENSION = 4
+MAX_EXTENSION = 8
+LIGHT = 0.002  # other documents expected to hold a shingle outside the table
 HEAVY = 1 << 15  # heavy shingles kept in the global order; others are ordered by hash
 LOCAL_HEAVY = 12  # documents of one Arrow batch that make a shingle worth reporting
 FOLLOWERS = 256
 CLUSTER = 16  # members from which an unsettled list is compared as a whole
-PICKS = 3  # such lists for each set
-BLOCK = 200
+PICKS = 2  # such lists for each set
+BLOCK = 512
 _U = np.uint64
 
 
@@ -96,12 +97,12 @@ def choose_prefix(s: np.ndarray, heavy: np.ndarray, counts: np.ndarray, percent:
     base = n - -(-percent * n // 100)
     at = np.searchsorted(heavy, s)
     known = (at < len(heavy)) & (heavy[np.minimum(at, len(heavy) - 1)] == s) if len(heavy) else np.zeros(n, bool)
-    weight = np.zeros(n, dtype=np.int64)
+    weight = np.full(n, LIGHT)
     weight[known] = counts[at[known]]
     ordered = np.lexsort((s, weight))
     weight = weight[ordered]
     most = min(MAX_EXTENSION, n - base)
-    met = np.cumsum(weight + 1)
+    met = np.cumsum(weight)
     cost = [base + e + per_candidate * met[base + e - 1] / e for e in range(1, most + 1)]
     e = int(np.argmin(cost)) + 1
     return s[ordered[: base + e]], e
@@ -164,7 +165,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFr
     members = grouped.select("grp", F.col("b").alias("doc_id"), F.lit(False).alias("head")).unionAll(
         grouped.select("grp", F.col("a").alias("doc_id"), F.lit(True).alias("head")).distinct()
     )
-    shown = docs.select("doc_id", text_or_empty().alias("text")).join(members, "doc_id")
+    shown = docs.select("doc_id", text_or_empty().alias("text")).join(members.hint("merge"), "doc_id")
     # of repeated rows of one doc_id any will do as a leader: the group keeps the last one read
     links = shown.repartition("grp").sortWithinPartitions("grp", F.desc("head"), "doc_id").select("grp", "doc_id", "head", "text")
     out = written(links.mapInArrow(lambda x: _verify(x, k, percent), "a long, b long"), "join-links")
@@ -269,7 +270,7 @@ def _verified_clusters(docs: DataFrame, picks: DataFrame, k: int, percent: int)
     own = F.pmod(F.xxhash64("id"), F.col("blocks"))
     cut = members.join(blocks, "token").select("id", "token", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     grouped = cut.select(F.col("id").alias("doc_id"), F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other")).alias("grp"))
-    shown = docs.select("doc_id", text_or_empty().alias("text")).join(grouped, "doc_id")
+    shown = docs.select("doc_id", text_or_empty().alias("text")).join(grouped.hint("merge"), "doc_id")
     rows = shown.repartition("grp").sortWithinPartitions("grp", "doc_id").select("grp", "doc_id", "text")
     return written(rows.mapInArrow(lambda x: _verify_groups(x, k, percent), "a long, b long"), "join-links")
 
