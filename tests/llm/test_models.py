@@ -73,6 +73,20 @@ def test_decontamination_finds_verbatim_and_paraphrased_items(spark, docs, rows,
     assert contaminated(docs, benchmark.limit(0)).count() == 0
 
 
+def test_decontamination_finds_paraphrases_of_an_item_held_by_a_hot_group(spark, docs):
+    """Copies make all words of the item common; whichever words a paraphrase changes, it is found."""
+    import random
+
+    rng = random.Random(4)
+    items = [(i, " ".join("".join(rng.choice("klmnopq") for _ in range(6)) for _ in range(30))) for i in range(20)]
+    w = items[7][1].split()
+    changed = [(8000 + r, " ".join("other" if j % 6 == r else x for j, x in enumerate(w))) for r in range(6)]
+    copies = [(9000 + i, items[7][1]) for i in range(60)]
+    held = docs.select("doc_id", "text").unionAll(spark.createDataFrame(changed + copies, "doc_id long, text string"))
+    found = {(r["doc_id"], r["item_id"]) for r in contaminated(held, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert found == {(d, 7) for d, _ in changed + copies}
+
+
 def test_decontamination_recall_on_the_test_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
     items = spark.read.parquet(f"{SF}/benchmark.parquet").collect()

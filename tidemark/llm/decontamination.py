@@ -15,6 +15,7 @@ its size; sums are one row per column and task.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -28,10 +29,9 @@ from tidemark.llm.brown_lm import Table
 from tidemark.llm.textbytes import Chunk, RangeHash, Words, chunks, mix, words
 
 WINDOW, STRIDE = 64, 32
-DIMS = 64
+DIMS = 128
 ITEMS = 2048
-COMMON = 0.005  # columns in more passages than this share weigh nothing, unless an item has fewer than LEAST others
-LEAST = 3  # weighted words that an item keeps at least and that a passage needs (or all of the shortest item's)
+COMMON = 0.02  # a column in more passages than this share weighs less, so that it has the energy of one in this share; none weighs nothing
 _PUNCTUATION = np.zeros(256, dtype=bool)
 _PUNCTUATION[[ord(x) for x in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"]] = True
 
@@ -91,32 +91,20 @@ def _counts(batches: Iterator[pa.RecordBatch], vocabulary: np.ndarray) -> Iterat
     yield pa.RecordBatch.from_arrays([pa.array(np.append(-1, at)), pa.array(np.append(n, total[at]))], names=["col", "n"])
 
 
-def _candidates(column: np.ndarray, passage: np.ndarray, count: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Entries of the passages that have at least need columns."""
-    if not len(passage):
-        return passage, column, count
-    head = np.flatnonzero(np.append(True, passage[1:] != passage[:-1]))
-    size = np.diff(np.append(head, len(passage)))
-    keep = np.repeat(size >= need, size)
-    return passage[keep], column[keep], count[keep]
-
-
 def _rows_of(passage: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where each passage's run of entries begins, and its length as a vector."""
     head = np.flatnonzero(np.append(True, passage[1:] != passage[:-1])) if len(passage) else np.zeros(0, np.int64)
     return head, np.sqrt(np.add.reduceat(value**2, head)) if len(head) else np.zeros(0)
 
 
-def _sketch(batches: Iterator[pa.RecordBatch], vocabulary: np.ndarray, idf: np.ndarray, start: np.ndarray, need: int) -> Iterator[pa.RecordBatch]:
+def _sketch(batches: Iterator[pa.RecordBatch], vocabulary: np.ndarray, idf: np.ndarray, start: np.ndarray) -> Iterator[pa.RecordBatch]:
     """(A'A) start over the task's passages: a row for each column."""
-    keep = np.flatnonzero(idf > 0)
-    table, weight, omega = Table(vocabulary[keep]), idf[keep].astype(np.float32), start[keep].astype(np.float32)
+    table, weight, omega = Table(vocabulary), idf.astype(np.float32), start.astype(np.float32)
     total = np.zeros(omega.shape)
     for batch in batches:
         for c in chunks(batch["text"], 1 << 18):
             w = bare_words(c)
             passage, column, count, _ = passages(table.find(w.hash.view(np.int64)), w.of_doc)
-            passage, column, count = _candidates(column, passage, count, need)
             if not len(passage):
                 continue
             value = (count * weight[column]).astype(np.float32)
@@ -128,7 +116,7 @@ def _sketch(batches: Iterator[pa.RecordBatch], vocabulary: np.ndarray, idf: np.n
             which = np.flatnonzero(np.append(True, column[order][1:] != column[order][:-1]))
             total[column[order][which]] += np.add.reduceat(back[order], which, axis=0)
     at = np.flatnonzero(total.any(axis=1))
-    yield pa.RecordBatch.from_arrays([pa.array(keep[at]), *(pa.array(total[at, d]) for d in range(total.shape[1]))], names=["col", *(f"d{d}" for d in range(total.shape[1]))])
+    yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(total[at, d]) for d in range(total.shape[1]))], names=["col", *(f"d{d}" for d in range(total.shape[1]))])
 
 
 @dataclass
@@ -142,7 +130,6 @@ class Index:
     item_words: list[np.ndarray]
     answers: list[np.ndarray]  # the rarest words of each item
     latent: np.ndarray  # items x dims, scaled so that the item itself scores 1
-    need: int  # weighted words of a passage
 
 
 def _item_matrix(item_words: list[np.ndarray], vocabulary: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -164,23 +151,17 @@ def fit(docs: DataFrame, item_ids: list, item_texts: list[str], dims: int = DIMS
     df, n = np.zeros(len(vocabulary) + 1), 0
     df[found["col"].to_numpy()] = found["n"].to_numpy()  # -1 is the last place
     n, df = df[-1], df[:-1]
-    raw = np.log((1 + n) / (1 + df)) + 1e-6
-    idf = np.where(df > COMMON * n, 0.0, raw)
+    raw = np.log1p(n / (1 + df))
+    idf = raw * np.sqrt(np.minimum(1.0, COMMON * n / np.maximum(df, 1))) if n else raw + 1.0
     table = Table(vocabulary)
-    for w in item_words:  # an item of common words keeps its rarest ones
-        own = np.unique(table.find(w))
-        if (idf[own] > 0).sum() < LEAST:
-            rarest = own[np.argsort(-raw[own], kind="stable")[:LEAST]]
-            idf[rarest] = raw[rarest]
     items = _item_matrix(item_words, vocabulary, idf)
-    need = int(min(LEAST, max(1, (items > 0).sum(1).min(initial=LEAST))))
     lengths = np.maximum(np.linalg.norm(items, axis=1, keepdims=True), 1e-12)
     items /= lengths
     rng = np.random.default_rng(seed)
     dims = min(dims, max(1, len(vocabulary)))
-    start = items.T @ rng.normal(size=(len(items), dims)) + 0.01 * rng.normal(size=(len(vocabulary), dims)) * (idf > 0)[:, None]
+    start = items.T @ rng.normal(size=(len(items), dims)) + 0.01 * rng.normal(size=(len(vocabulary), dims))
     schema = "col long, " + ", ".join(f"d{d} double" for d in range(dims))
-    sums = texts.mapInArrow(lambda x: _sketch(x, vocabulary, idf, start, need), schema).groupBy("col").agg(*(F.sum(f"d{d}").alias(f"d{d}") for d in range(dims))).toArrow()
+    sums = texts.mapInArrow(lambda x: _sketch(x, vocabulary, idf, start), schema).groupBy("col").agg(*(F.sum(f"d{d}").alias(f"d{d}") for d in range(dims))).toArrow()
     image = items.T @ (items @ start)  # the items are passages too
     image[sums["col"].to_numpy()] += np.stack([sums[f"d{d}"].to_numpy() for d in range(dims)], axis=1) if sums.num_rows else 0
     basis, _ = np.linalg.qr(image)
@@ -190,24 +171,31 @@ def fit(docs: DataFrame, item_ids: list, item_texts: list[str], dims: int = DIMS
     for w in item_words:
         u = np.unique(w)
         answers.append(u[np.argsort(-raw[table.find(u)], kind="stable")[: max(1, len(u) // 3)]])
-    return Index(vocabulary, idf, basis.astype(np.float32), item_ids, item_words, answers, (latent / own).astype(np.float32), need)
+    return Index(vocabulary, idf, basis.astype(np.float32), item_ids, item_words, answers, (latent / own).astype(np.float32))
 
 
 _MATCHES = "doc_id long, item_id long, lcs_share double, answer_share double, cosine double"
 
 
 def _search(batches: Iterator[pa.RecordBatch], index: Index, cosine: float, lcs: float, answer: float) -> Iterator[pa.RecordBatch]:
-    keep = np.flatnonzero(index.idf > 0)
-    table, weight, basis = Table(index.vocabulary[keep]), index.idf[keep], index.basis[keep]
+    table, weight, basis = Table(index.vocabulary), index.idf, index.basis
     answers, longest = [x.tolist() for x in index.answers], max(map(len, index.item_words))
+    asked = np.append(np.isin(index.vocabulary, np.concatenate(index.answers)), False)  # index -1: no column
+    fewest = min(math.ceil(answer * len(x)) for x in answers)
     for batch in batches:
         ids = batch["doc_id"].to_numpy()
         best: dict[tuple[int, int], tuple[float, float, float]] = {}
         for c in chunks(batch["text"], 1 << 18):
             w = bare_words(c)
             h = w.hash.view(np.int64)
-            passage, column, count, first = passages(table.find(h), w.of_doc)
-            passage, column, count = _candidates(column, passage, count, index.need)
+            found = table.find(h)
+            passage, column, count, first = passages(found, w.of_doc)
+            # no item's answer check below can pass where fewer answer words stand than the least that any item asks for
+            known = np.append(0, np.cumsum(asked[found]))
+            doc = np.searchsorted(first, passage, side="right") - 1
+            at = w.of_doc[doc] + STRIDE * (passage - first[doc])
+            near_by = known[np.minimum(w.of_doc[doc + 1], at + WINDOW + longest)] - known[np.maximum(w.of_doc[doc], at - longest)]
+            passage, column, count = (x[near_by >= fewest] for x in (passage, column, count))
             if not len(passage):
                 continue
             value = (count * weight[column]).astype(np.float32)
