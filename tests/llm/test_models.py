@@ -87,6 +87,18 @@ def test_decontamination_finds_paraphrases_of_an_item_held_by_a_hot_group(spark,
     assert found == {(d, 7) for d, _ in changed + copies}
 
 
+def test_decontamination_finds_items_longer_than_a_window(spark, docs):
+    import random
+
+    rng = random.Random(6)
+    items = [(i, " ".join("".join(rng.choice("klmnopq") for _ in range(6)) for _ in range(1200))) for i in range(12)]
+    reworded = " ".join("other" if rng.random() < 0.12 else x for x in items[11][1].split())
+    planted = [(8000 + i, f"Before. {t} After.") for i, t in items[:10]] + [(8011, reworded), (8012, " ".join(items[10][1].split()[:400]))]
+    held = docs.select("doc_id", "text").unionAll(spark.createDataFrame(planted, "doc_id long, text string"))
+    found = {(r["doc_id"], r["item_id"]) for r in contaminated(held, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert found == {*((8000 + i, i) for i in range(10)), (8011, 11)}
+
+
 def test_decontamination_recall_on_the_test_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
     items = spark.read.parquet(f"{SF}/benchmark.parquet").collect()

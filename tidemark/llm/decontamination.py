@@ -7,9 +7,10 @@ latent space; the third projects every passage and every item, takes pairs whose
 `cosine` of what the item itself would score, and checks each pair: the longest common
 subsequence with the item's words around the passage, as a share of the item, and the share of
 the item's rarest words, its answer words, that occur there. A paraphrase with words changed,
-left out or put in keeps most of its order.
+left out or put in keeps most of its order. An item longer than a window is cut into passages as documents are; the best of them
+retrieves it, and the checks look at the whole item.
 
-The benchmark is looked at in blocks of ITEMS items, so what tasks are sent is bounded whatever
+The benchmark is looked at in blocks of some ITEMS item passages, so what tasks are sent is bounded whatever
 its size; sums are one row per column and task.
 """
 
@@ -129,14 +130,8 @@ class Index:
     item_ids: list
     item_words: list[np.ndarray]
     answers: list[np.ndarray]  # the rarest words of each item
-    latent: np.ndarray  # items x dims, scaled so that the item itself scores 1
-
-
-def _item_matrix(item_words: list[np.ndarray], vocabulary: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    table, out = Table(vocabulary), np.zeros((len(item_words), len(vocabulary)))
-    for i, w in enumerate(item_words):
-        np.add.at(out[i], table.find(w), 1)
-    return out * idf
+    piece_of: np.ndarray  # the item of each item passage
+    latent: np.ndarray  # item passages x dims, scaled so that the passage itself scores 1
 
 
 def fit(docs: DataFrame, item_ids: list, item_texts: list[str], dims: int = DIMS, seed: int = 5) -> Index:
@@ -154,24 +149,34 @@ def fit(docs: DataFrame, item_ids: list, item_texts: list[str], dims: int = DIMS
     raw = np.log1p(n / (1 + df))
     idf = raw * np.sqrt(np.minimum(1.0, COMMON * n / np.maximum(df, 1))) if n else raw + 1.0
     table = Table(vocabulary)
-    items = _item_matrix(item_words, vocabulary, idf)
-    lengths = np.maximum(np.linalg.norm(items, axis=1, keepdims=True), 1e-12)
-    items /= lengths
+    bounds = np.append(0, np.cumsum([len(w) for w in item_words]))
+    piece, column, count, first = passages(table.find(np.concatenate(item_words)), bounds)
+    piece_of = np.repeat(np.arange(len(item_words)), np.diff(first))
+    value = count * idf[column]
+    head, length = _rows_of(piece, value)
+    value /= np.repeat(length, np.diff(np.append(head, len(piece))))
+    rows = lambda m: np.add.reduceat(value[:, None] * m[column], head, axis=0)  # noqa: E731  item passages times m
+
+    def back(m: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(vocabulary), m.shape[1]))
+        np.add.at(out, column, value[:, None] * m[piece])
+        return out
+
     rng = np.random.default_rng(seed)
     dims = min(dims, max(1, len(vocabulary)))
-    start = items.T @ rng.normal(size=(len(items), dims)) + 0.01 * rng.normal(size=(len(vocabulary), dims))
+    start = back(rng.normal(size=(len(piece_of), dims))) + 0.01 * rng.normal(size=(len(vocabulary), dims))
     schema = "col long, " + ", ".join(f"d{d} double" for d in range(dims))
     sums = texts.mapInArrow(lambda x: _sketch(x, vocabulary, idf, start), schema).groupBy("col").agg(*(F.sum(f"d{d}").alias(f"d{d}") for d in range(dims))).toArrow()
-    image = items.T @ (items @ start)  # the items are passages too
+    image = back(rows(start))  # the items are passages too
     image[sums["col"].to_numpy()] += np.stack([sums[f"d{d}"].to_numpy() for d in range(dims)], axis=1) if sums.num_rows else 0
     basis, _ = np.linalg.qr(image)
-    latent = items @ basis
+    latent = rows(basis)
     own = np.maximum((latent**2).sum(1, keepdims=True), 1e-12)
     answers = []
     for w in item_words:
         u = np.unique(w)
         answers.append(u[np.argsort(-raw[table.find(u)], kind="stable")[: max(1, len(u) // 3)]])
-    return Index(vocabulary, idf, basis.astype(np.float32), item_ids, item_words, answers, (latent / own).astype(np.float32))
+    return Index(vocabulary, idf, basis.astype(np.float32), item_ids, item_words, answers, piece_of, (latent / own).astype(np.float32))
 
 
 _MATCHES = "doc_id long, item_id long, lcs_share double, answer_share double, cosine double"
@@ -203,7 +208,11 @@ def _search(batches: Iterator[pa.RecordBatch], index: Index, cosine: float, lcs:
             latent = np.add.reduceat(value[:, None] * basis[column], head, axis=0) / length[:, None]
             near = latent @ index.latent.T
             last, held = -1, set()
-            for p, i in np.argwhere(near >= cosine).tolist():
+            looked: dict[tuple[int, int], float] = {}
+            for p, k in np.argwhere(near >= cosine).tolist():
+                at = (p, int(index.piece_of[k]))
+                looked[at] = max(looked.get(at, -1.0), float(near[p, k]))
+            for (p, i), angle in looked.items():
                 if p != last:
                     g = passage[head[p]]
                     d = int(np.searchsorted(first, g, side="right")) - 1
@@ -220,7 +229,7 @@ def _search(batches: Iterator[pa.RecordBatch], index: Index, cosine: float, lcs:
                 known = float(np.isin(index.answers[i], around).mean())
                 if known >= answer:
                     key = (c.first + d, i)
-                    best[key] = max(best.get(key, (0.0, 0.0, 0.0)), (share, known, float(near[p, i])))
+                    best[key] = max(best.get(key, (0.0, 0.0, 0.0)), (share, known, angle))
         rows = list(best.items())
         yield pa.RecordBatch.from_arrays(
             [
@@ -242,10 +251,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.35, lc
     spark = docs.sparkSession
     texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
     items = benchmark.where(F.col("item_id").isNotNull() & text_or_empty().rlike(r"[^\x20\x09-\x0D]")).select(F.col("item_id").cast("long"), "text").distinct()
-    blocks = -(-items.count() // ITEMS)
+    pieces = F.greatest(F.lit(1), F.ceil((F.size(F.split("text", r"[\x20\x09-\x0D]+")) - (WINDOW - STRIDE)) / STRIDE))
+    blocks = -(-(items.agg(F.sum(pieces).alias("n")).first()["n"] or 0) // ITEMS)
     found = []
     for block in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()  # about ITEMS rows
+        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()  # about ITEMS passages
         if rows:
             index = fit(texts, [r["item_id"] for r in rows], [r["text"] for r in rows], dims)
             found.append(texts.mapInArrow(lambda x, index=index: _search(x, index, cosine, lcs, answer), _MATCHES))
