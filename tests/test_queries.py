@@ -102,3 +102,11 @@ def test_paged_provider_and_export(spark, tmp_path):
         sources.export_evidence(df, str(tmp_path / "big"), max_bytes=10)
     kept = spark.range(1).select(sources.redacted(F.lit('{"a":"1","secret":"2"}'), ["a"]).alias("m")).first()["m"]
     assert kept == {"a": "1"}
+
+
+@pytest.mark.parametrize("name, id, tables", [("y10_run_status_of_all", "user_id", "SELECT user_id FROM events"), ("j8_pairing_of_all", "user_id", "SELECT user_id FROM events WHERE event_type IN ('error', 'purchase')"), ("u2_union_of_days_of_all", "id", "SELECT user_id FROM events UNION SELECT o_custkey FROM orders")])
+def test_queries_of_all_leave_no_user_out(spark, db, name, id, tables):
+    out = QUERIES[name](spark, SF)
+    assert {r[id] for r in out.select(id).distinct().collect()} == {x for (x,) in db.execute(tables).fetchall()}
+    if name.startswith("y10"):
+        assert out.agg(F.sum("attempts")).first()[0] == db.execute("SELECT count(*) FROM events").fetchone()[0]

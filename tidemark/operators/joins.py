@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark.functions import ladder
 
 
-def pair_by_day(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Days of either side: paired where each side has exactly one row, else the reason why not."""
-    one = lambda df, v: df.groupBy("day").agg(F.count("*").alias(f"{v}_rows"), F.first("value").alias(v))
-    met = one(left, "a").join(one(right, "b"), "day", "full_outer")
+def pair_by_day(left: DataFrame, right: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Days of either side, for each of keys: paired where each side has exactly one row, else the reason why not."""
+    by = [*keys, "day"]
+    one = lambda df, v: df.groupBy(*by).agg(F.count("*").alias(f"{v}_rows"), F.first("value").alias(v))
+    met = one(left, "a").join(one(right, "b"), by, "full_outer")
     na, nb = F.coalesce("a_rows", F.lit(0)), F.coalesce("b_rows", F.lit(0))
     outcome = ladder((na == 0, "left_missing"), (nb == 0, "right_missing"), ((na > 1) & (nb > 1), "both_ambiguous"), (na > 1, "left_ambiguous"), (nb > 1, "right_ambiguous"), otherwise=F.lit("paired"))
     paired = outcome == "paired"
-    return met.select("day", outcome.alias("outcome"), F.when(paired, F.col("a")).alias("a"), F.when(paired, F.col("b")).alias("b"))
+    return met.select(*by, outcome.alias("outcome"), F.when(paired, F.col("a")).alias("a"), F.when(paired, F.col("b")).alias("b"))
 
 
 def forward_asof(anchors: DataFrame, events: DataFrame, keys: list[str], seconds: int) -> DataFrame:

@@ -62,6 +62,11 @@ def y10_run_status(spark, sf):
     return evidence.run_status(rows, ["user_id"])
 
 
+@query("""SELECT user_id, count(*) AS attempts, CASE WHEN count(*) FILTER (WHERE value > 20) = count(*) THEN 'succeeded' WHEN count(*) FILTER (WHERE value > 20) = 0 THEN 'failed' ELSE 'partial' END AS run_status FROM events GROUP BY user_id""")
+def y10_run_status_of_all(spark, sf):
+    return evidence.run_status(load(spark, sf, "events").select("user_id", F.when(F.col("value") > 20, "ok").otherwise("error").alias("status")), ["user_id"])
+
+
 @query("""WITH w AS (SELECT user_id, max(ts)::DATE AS watermark FROM events GROUP BY 1) SELECT user_id, watermark, CASE WHEN watermark < DATE '2024-01-29' THEN watermark ELSE DATE '2024-01-28' END AS start, DATE '2024-01-29' AS "end" FROM w""", dates="watermark start end")
 def y37_incremental_window(spark, sf):
     return evidence.incremental_window(load(spark, sf, "events").groupBy("user_id").agg(F.to_date(F.max("ts")).alias("watermark")), "2024-01-28")
@@ -136,6 +141,12 @@ def u2_union_of_days(spark, sf):
     return m.where("user_id = 3").select("day").union(m.where("user_id = 4").select("day")).distinct()
 
 
+@query("""SELECT DISTINCT coalesce(a.id, b.id) AS id, coalesce(a.day, b.day) AS day FROM (SELECT DISTINCT user_id AS id, ts::DATE AS day FROM events) a FULL JOIN (SELECT DISTINCT o_custkey AS id, o_orderdate::DATE AS day FROM orders) b ON a.id = b.id AND a.day = b.day""", dates="day")
+def u2_union_of_days_of_all(spark, sf):
+    orders = load(spark, sf, "orders").select(F.col("o_custkey").alias("id"), F.to_date("o_orderdate").alias("day"))
+    return adapters.measurements(spark, sf).select(F.col("user_id").alias("id"), "day").union(orders).distinct()
+
+
 @query("""SELECT 'event' AS section, event_type AS item, count(*) AS n FROM events GROUP BY event_type UNION ALL SELECT 'order', o_orderpriority, count(*) FROM orders GROUP BY o_orderpriority""")
 def u5_sections(spark, sf):
     e = load(spark, sf, "events").groupBy(F.lit("event").alias("section"), F.col("event_type").alias("item")).agg(F.count("*").alias("n"))

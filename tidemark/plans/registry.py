@@ -390,6 +390,14 @@ def j8_cohort_pairing(spark, sf):
     return rounded(joins.pair_by_day(m.where("user_id = 7"), m.where("user_id = 8")))
 
 
+@query("""WITH r AS (SELECT user_id, ts::DATE AS day, count(*) FILTER (WHERE event_type = 'error') AS na, count(*) FILTER (WHERE event_type = 'purchase') AS nb, max(value) FILTER (WHERE event_type = 'error') AS a, max(value) FILTER (WHERE event_type = 'purchase') AS b FROM events GROUP BY 1, 2)
+  SELECT user_id, day, CASE WHEN na = 0 THEN 'left_missing' WHEN nb = 0 THEN 'right_missing' WHEN na > 1 AND nb > 1 THEN 'both_ambiguous' WHEN na > 1 THEN 'left_ambiguous' WHEN nb > 1 THEN 'right_ambiguous' ELSE 'paired' END AS outcome,
+  CASE WHEN na = 1 AND nb = 1 THEN round(a, 7) END AS a, CASE WHEN na = 1 AND nb = 1 THEN round(b, 7) END AS b FROM r WHERE na > 0 OR nb > 0""", dates="day")
+def j8_pairing_of_all(spark, sf):
+    m = adapters.measurements(spark, sf).select("user_id", "day", "value", "event_type")
+    return rounded(joins.pair_by_day(m.where("event_type = 'error'"), m.where("event_type = 'purchase'"), ["user_id"]))
+
+
 @query("""WITH a AS (SELECT event_id AS anchor_id, user_id, ts AS anchor_ts FROM events WHERE event_type = 'error'), e AS (SELECT event_id, user_id, ts AS event_ts FROM events WHERE event_type = 'purchase'),
   r AS (SELECT *, rank() OVER (PARTITION BY anchor_id ORDER BY event_ts) AS r FROM a JOIN e USING (user_id) WHERE event_ts BETWEEN anchor_ts AND anchor_ts + INTERVAL 24 HOURS)
   SELECT user_id, anchor_id, any_value(anchor_ts) AS anchor_ts, min(event_id) AS event_id, min(event_ts) AS event_ts FROM r WHERE r = 1 GROUP BY user_id, anchor_id HAVING count(*) = 1""")
