@@ -6,8 +6,10 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from tidemark.llm import brown_lm
 from tidemark.llm.brown_lm import brown_scores, exchange
 from tidemark.llm.components import components
 from tidemark.llm.line_dedup import dedup_lines
@@ -275,6 +277,20 @@ def test_brown_model_is_a_distribution(spark):
     assert 0.05 < sum(10 ** r["score"] for r in got) <= 1 + 1e-9
 
 
+def test_brown_core_words_keep_their_class_when_a_count_level_overflows(spark, monkeypatch):
+    monkeypatch.setattr(brown_lm, "HEAD", 1)
+    df = spark.createDataFrame([(i, "a b " * 8) for i in range(20)] + [(100, "a b a b"), (101, "a a b b")], "doc_id long, text string")
+    s = {r["doc_id"]: r["score"] for r in brown_scores(df, F.col("doc_id") < 100).collect()}
+    assert s[100] > s[101] + 1
+
+
+def test_brown_core_is_of_whole_counts():
+    """A word that is rare in every batch may be frequent over all: no batch leaves words out."""
+    batch = pa.RecordBatch.from_pydict({"text": [" ".join(f"w{i}" for i in range(3 * brown_lm.CORE)), " ".join(f"v{i}" for i in range(3 * brown_lm.CORE))]})
+    got = pa.Table.from_batches(list(brown_lm._word_counts(iter([batch]))))
+    assert got.num_rows == 6 * brown_lm.CORE and set(got["n"].to_pylist()) == {1}
+
+
 def test_exchange_finds_alternating_classes():
     b = np.zeros((7, 7))
     b[:3, 3:6] = 5
