@@ -181,6 +181,10 @@ def similar_documents(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFra
     whole sequence is the one shingle; without words (or null) the set is empty and links with
     nothing. Rows with a null doc_id are left out, as they cannot be named. Rows of one doc_id
     with different texts are linked through their id, and each has its own n_shingles.
+
+    This gives components, not links: pairs already in one component are not compared, so there
+    is no list of links and no number of links of a document. The counts that steer the prefixes
+    are of shingles that stand out in an Arrow batch, others get a constant; they change the cost only.
     """
     if not 0 < percent <= 100:
         raise ValueError("percent must be from 1 to 100")
