@@ -2,45 +2,77 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: [\x20\x09-\x0D]: the whitespace of the word and line rules (fixed values).
 WHITESPACE = " \t\n\x0b\x0c\r"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+_folders: set[str] = set()
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a folder of our own only where the setting is unset."""
+    """This application's folder in the cluster's shared checkpoint folder (spark.checkpoint.dir).
+
+    Where that is unset, a local session gets a folder of its own; any other master is refused,
+    as its executors could not see one. The folder is removed when the driver ends.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    folder = f"{found.rstrip('/')}/tidemark-{spark.conf.get('spark.app.id')}"
+    if folder not in _folders:
+        _folders.add(folder)
+        atexit.register(_delete_at_exit, spark._jvm, spark._jsparkSession.sessionState().newHadoopConf(), folder)
+    return folder
+
+
+def _delete(jvm, conf, folder: str) -> None:
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(conf).delete(path, True)
+
+
+def _delete_at_exit(jvm, conf, folder: str) -> None:
+    try:
+        _delete(jvm, conf, folder)
+    except (Py4JError, OSError):  # the JVM may have gone first; then the cluster's own cleaning of the folder is left
+        pass
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage and outlives executors.
 
-    The collection afterwards lets Spark's cleaner delete the shuffle files of the stages that
-    nothing refers to any more; else they stay until the driver happens to collect.
+    Spark removes the shuffle files of the write as soon as it has ended, since the table
+    replaces them.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    spark._jvm.System.gc()
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
     out = spark.read.schema(df.schema).parquet(path)
     out.tidemark_path = path
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Deletes a written() table that nothing reads any more."""
-    jvm = df.sparkSession._jvm
-    path = jvm.org.apache.hadoop.fs.Path(df.tidemark_path)
-    path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+def discard(*tables: DataFrame) -> None:
+    """Deletes written() tables that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        _delete(spark._jvm, spark._jsparkSession.sessionState().newHadoopConf(), df.tidemark_path)
 
 
 def partitions(spark: SparkSession) -> int:
