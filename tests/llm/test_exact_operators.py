@@ -93,6 +93,24 @@ def test_window_dedup_other_length_and_edge_rows(spark, rows, empty):
     assert sorted((r["doc_id"], r["n_removed"]) for r in dedup_windows(again).collect()) == [(1, 119), (1, 119), (2, 110)]
 
 
+def test_window_dedup_common_lines_in_many_texts(spark):
+    """Lines that most texts hold between words of their own: one a little shorter than a window, one longer, one that repeats inside a text."""
+    import random
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("klmnopq") for _ in range(5))
+    short, long, twice = ("".join(rng.choice("abcdef") for _ in range(n)) for n in (95, 130, 60))
+    rows = []
+    for i in range(120):
+        parts = [word() for _ in range(30)]
+        for line in (short, long, twice + twice + twice) if i % 3 else (short,):
+            parts.insert(rng.randrange(len(parts)), line)
+        rows.append((rng.randrange(10**6) * 200 + i, " ".join(parts)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in dedup_windows(df).collect()}
+    assert got == brute_windows(rows)
+
+
 def brute_components(rows, k=5, percent=75):
     sets = {}
     for d, t, *_ in rows:

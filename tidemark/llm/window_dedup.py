@@ -12,8 +12,14 @@ carrying the seven bytes on either side; groups of one end here. Pass 4 orders t
 windows by all 100 bytes: equal groups are exactly the repeated windows.
 
 Every pass is a shuffle by digit, a sort and a stream over sorted rows that remembers one row.
-Map tasks settle equal stretches of their own batch first, which keeps a stretch that a third
-of all documents hold to one row a batch.
+Map tasks settle what is equal in their own batch first, which keeps a stretch or a window that
+a third of all documents hold to one row a batch. A digit or a core that many rows of a batch
+share, unequal though they are, is known to be repeated: its rows are spread over all tasks as
+open, and one row stands for them at the digit, so that no task gathers what lies around a
+common line.
+
+Digits are compared as 64-bit hashes of their bytes. A wrong group of passes 1 and 2 needs two
+hashes (digit and stretch) to collide at once, one of passes 3 and 4 the hash of a window.
 """
 
 from __future__ import annotations
@@ -25,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm._common import text_or_empty, written
+from tidemark.llm._common import discard, text_or_empty, written
 from tidemark.llm.textbytes import Chunk, RangeHash, chunks, mix, ramp
 
 K = 32
@@ -64,7 +70,17 @@ def _pack(tag: np.ndarray, start: np.ndarray, count: np.ndarray, depth: np.ndarr
     return tag << 45 | start << 14 | count << 7 | depth
 
 
-_ANCHORS = "digit long, stretch long, doc_id long, at long, settled boolean"
+_ANCHORS = "digit long, stretch long, doc_id long, at long, kind byte"
+PLAIN, SETTLED, SPREAD, WITNESS = 0, 1, 2, 3  # a row as it is; found already; open and dealt by its stretch; only says that a digit is repeated
+MANY = 16  # rows of a batch from which a digit or core is spread
+
+
+def _first_of_equal(order: np.ndarray, same: np.ndarray, doc: np.ndarray, packed: np.ndarray) -> np.ndarray:
+    """Of rows in an order by key, document and place: those that repeat the first one of their key. same: the key is that of the row before."""
+    first = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
+    out = np.zeros(len(order), dtype=bool)
+    out[order] = same & ((doc[order] != doc[first]) | (packed[order] != packed[first]))
+    return out
 
 
 def _emit_anchors(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -89,11 +105,17 @@ def _emit_anchors(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa
         order = by_place[np.argsort(both, kind="stable")]
         same = np.zeros(len(order), dtype=bool)
         same[1:] = (digit[order[1:]] == digit[order[:-1]]) & (stretch[order[1:]] == stretch[order[:-1]])
-        first = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
-        settled = np.zeros(len(order), dtype=bool)
-        settled[order] = same & ((doc[order] != doc[first]) | (packed[order] != packed[first]))
-        keep = ~settled
-        yield _rows(_ANCHORS, digit[keep], stretch[keep], doc[keep], packed[keep], np.zeros(keep.sum(), bool))
+        settled = _first_of_equal(order, same, doc, packed)
+        keep = np.flatnonzero(~settled)
+        digit, stretch = digit[keep], stretch[keep]
+        values, number, count = np.unique(digit, return_inverse=True, return_counts=True)
+        spread = (count >= MANY)[number]
+        key = np.where(spread, mix(digit * _ODD + stretch), digit)
+        yield _rows(_ANCHORS, key, stretch, doc[keep], packed[keep], np.where(spread, SPREAD, PLAIN).astype(np.int8))
+        common = values[count >= MANY]
+        if len(common):
+            none = np.zeros(len(common), np.int64)
+            yield _rows(_ANCHORS, common, mix(common), none, none, np.full(len(common), WITNESS, np.int8))
         # Settled runs that touch become one range, which only rides along: a digit of its own, the count in place of the stretch.
         s = np.flatnonzero(settled)
         if len(s):
@@ -102,7 +124,7 @@ def _emit_anchors(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa
             count = np.add.reduceat(n[s], of)
             r, start = row[s][of], lo[s][of]
             place = _pack(tags[r], start, np.zeros_like(start), np.zeros_like(start))
-            yield _rows(_ANCHORS, mix(ids[r].astype(np.uint64) * _ODD + start.astype(np.uint64)), count, ids[r], place, np.ones(len(r), bool))
+            yield _rows(_ANCHORS, mix(ids[r].astype(np.uint64) * _ODD + start.astype(np.uint64)), count, ids[r], place, np.full(len(r), SETTLED, np.int8))
 
 
 def _rows(schema: str, *columns: np.ndarray) -> pa.RecordBatch:
@@ -173,24 +195,29 @@ def _settle_stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
     firsts, shared = FirstsStream(), SharedStream()
     for batch in batches:
         digit, stretch, doc, at = (batch[c].to_numpy() for c in ("digit", "stretch", "doc_id", "at"))
-        rides = batch["settled"].to_numpy(zero_copy_only=False)
+        kind = batch["kind"].to_numpy()
+        rides = kind == SETTLED
         if rides.any():
             yield _found(doc[rides], at[rides], stretch[rides], False)
-            digit, stretch, doc, at = (x[~rides] for x in (digit, stretch, doc, at))
+            digit, stretch, doc, at, kind = (x[~rides] for x in (digit, stretch, doc, at, kind))
         if not len(digit):
             continue
         new, other = firsts.step((digit, stretch), (doc, at))
         repeated = ~new & other
         yield _found(doc[repeated], at[repeated], at[repeated] >> 7 & 127, False)
-        _, open_doc, open_at = shared.step(digit[new], (digit[new], doc[new], at[new]))
-        yield _found(open_doc, open_at, open_at >> 7 & 127, True)
+        known = new & (kind == SPREAD)
+        yield _found(doc[known], at[known], at[known] >> 7 & 127, True)
+        new &= kind != SPREAD
+        open_kind, open_doc, open_at = shared.step(digit[new], (kind[new], doc[new], at[new]))
+        plain = open_kind == PLAIN
+        yield _found(open_doc[plain], open_at[plain], open_at[plain] >> 7 & 127, True)
 
 
 def _found(doc: np.ndarray, at: np.ndarray, n: np.ndarray, is_open: bool) -> pa.RecordBatch:
     return _rows(_FOUND, doc, at, n, np.full(len(doc), is_open))
 
 
-_CORES = "core long, doc_id long, at long, left long, right long"
+_CORES = "core long, salt byte, doc_id long, at long, left long, right long"
 
 
 def _packed_bytes(data: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -210,6 +237,7 @@ def _emit_cores(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.R
         ids, tags = batch["doc_id"].to_numpy(), batch["tag"].to_numpy().astype(np.int64)
         lists = batch["runs"]
         bounds, runs = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy()
+        parts = []
         for c in chunks(batch["text"]):
             a, b = bounds[c.first], bounds[c.first + c.n]
             packed = runs[a:b]
@@ -228,26 +256,43 @@ def _emit_cores(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.R
             key = mix(hashes(start, start + core) ^ _ODD)
             r = row[of]
             place = tags[c.first + r] << 40 | (start - c.bounds[r]) << 8 | present
-            yield _rows(_CORES, key, ids[c.first + r], place, _packed_bytes(c.data, start - GROUP + 1), _packed_bytes(c.data, start + core))
+            parts.append((key, ids[c.first + r], place, _packed_bytes(c.data, start - GROUP + 1), _packed_bytes(c.data, start + core)))
+        if parts:
+            key, doc, place, left, right = (np.concatenate(x) for x in zip(*parts, strict=True))
+            values, number, count = np.unique(key, return_inverse=True, return_counts=True)
+            salt = np.where((count >= MANY)[number], 1 + mix(left ^ mix(right)) % _U(127), 0).astype(np.int8)
+            yield _rows(_CORES, key, salt, doc, place, left, right)
+            common = values[count >= MANY]
+            if len(common):  # a place without windows: it only says that the core is repeated
+                none = np.zeros(len(common), np.int64)
+                yield _rows(_CORES, common, none.astype(np.int8), none, none, none, none)
 
 
-_WINDOWS = "window long, doc_id long, at long"
+_WINDOWS = "window long, doc_id long, at long, settled boolean"
 
 
 def _split_cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pass 3 over rows sorted by core: the single windows of cores that occur at least twice."""
+    """Pass 3 over rows sorted by core and salt: the single windows of cores that occur at least twice, settled where the batch holds them twice."""
     shared = SharedStream()
     for batch in batches:
         columns = tuple(batch[c].to_numpy() for c in ("core", "doc_id", "at", "left", "right"))
-        core, doc, at, left, right = shared.step(columns[0], columns)
+        salted = batch["salt"].to_numpy() > 0
+        plain = shared.step(columns[0][~salted], tuple(c[~salted] for c in columns))
+        core, doc, at, left, right = (np.concatenate([x, c[salted]]) for x, c in zip(plain, columns, strict=True))
         left, right = left.view(np.uint64), right.view(np.uint64)
+        parts = []
         for i in range(GROUP):
             has = (at >> i & 1).astype(bool)
             # window i reaches i bytes to the left of the core and GROUP - 1 - i to its right
             before = left[has] >> _U(8 * (GROUP - 1 - i)) if i else np.zeros(has.sum(), np.uint64)
             after = right[has] & _U((1 << 8 * (GROUP - 1 - i)) - 1)
             key = mix(mix(core[has].view(np.uint64) * _ODD + _U(i)) ^ mix(before * _ODD + _U(1)) ^ mix(after * _ODD + _U(2)) * _ODD)
-            yield _rows(_WINDOWS, key, doc[has], (at[has] >> 8) - i)
+            parts.append((key, doc[has], (at[has] >> 8) - i))
+        key, doc, at = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((at, doc, key))
+        same = np.append(False, key[order[1:]] == key[order[:-1]]) if len(order) else np.zeros(0, bool)
+        settled = _first_of_equal(order, same, doc, at)
+        yield _rows(_WINDOWS, np.where(settled, mix(doc.view(np.uint64) * _ODD + at.view(np.uint64)), key), doc, at, settled)
 
 
 def _repeated_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,7 +302,10 @@ def _repeated_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         window, doc, at = (batch[c].to_numpy() for c in ("window", "doc_id", "at"))
         if not len(window):
             continue
-        _, other = firsts.step((window,), (doc, at))
+        other = batch["settled"].to_numpy(zero_copy_only=False).copy()
+        plain = np.flatnonzero(~other)
+        if len(plain):
+            other[plain] = firsts.step((window[plain],), (doc[plain], at[plain]))[1]
         # back to the packing of the runs: tag, start, count
         tag, start = at[other] >> 32, at[other] & 0xFFFFFFFF
         yield _found(doc[other], _pack(tag, start, np.ones_like(tag), np.zeros_like(tag)), np.ones_like(tag), False)
@@ -308,9 +356,12 @@ def repeated_ranges(docs: DataFrame, length: int = 100) -> DataFrame:
     key = ["doc_id", F.shiftrightunsigned("at", 45).cast("int").alias("tag")]
     runs = found.where("open").groupBy(*key).agg(F.collect_list("at").alias("runs"))
     cores = texts.join(runs, ["doc_id", "tag"]).select("doc_id", "tag", "text", "runs").mapInArrow(lambda x: _emit_cores(x, length), _CORES)
-    windows = cores.repartition("core").sortWithinPartitions("core").mapInArrow(_split_cores, _WINDOWS)
+    windows = cores.repartition("core", "salt").sortWithinPartitions("core", "salt").mapInArrow(_split_cores, _WINDOWS)
     single = windows.repartition("window").sortWithinPartitions("window", "doc_id", "at").mapInArrow(_repeated_windows, _FOUND)
-    return found.where("NOT open").unionByName(single).groupBy(*key).agg(F.collect_list(F.struct("at", "n")).alias("marks"))
+    marks = found.where("NOT open").unionByName(single).groupBy(*key).agg(F.collect_list(F.struct("at", "n")).alias("marks"))
+    out = written(marks, "windows-marks")
+    discard(found)
+    return out
 
 
 def dedup_windows(docs: DataFrame, length: int = 100, with_text: bool = True) -> DataFrame:
