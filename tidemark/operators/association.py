@@ -14,26 +14,28 @@ def mid_rank(value: str, keys: list[str]):
     return F.rank().over(order) + (ties - 1) / F.lit(2.0)
 
 
-def one_per_day(rows: DataFrame) -> DataFrame:
-    """(day, value, status): several rows for a day are ambiguous and have no value."""
+def one_per_day(rows: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """(keys, day, value, status): several rows for a day are ambiguous and have no value."""
     n = F.count("*")
-    return rows.groupBy("day").agg(F.when(n == 1, F.first("value")).alias("value"), F.when(n > 1, F.lit("ambiguous")).otherwise(F.lit("value")).alias("status"))
+    return rows.groupBy(*(keys or []), "day").agg(F.when(n == 1, F.first("value")).alias("value"), F.when(n > 1, F.lit("ambiguous")).otherwise(F.lit("value")).alias("status"))
 
 
-def lagged_spearman(left: DataFrame, right: DataFrame, lags: list[int], least: int = 5) -> DataFrame:
-    """Rank correlation of x(day) with y(day + lag) for each lag, with the pairs and why days have none."""
+def lagged_spearman(left: DataFrame, right: DataFrame, lags: list[int], least: int = 5, keys: list[str] | None = None) -> DataFrame:
+    """Rank correlation of x(day) with y(day + lag) for each of keys and lag, with the pairs and why days have none."""
     if len(lags) > 15 or len(set(lags)) != len(lags) or not all(0 <= k <= 14 for k in lags):
         raise ValueError("lags must be at most 15 different numbers from 0 to 14")
-    x = left.select("day", F.col("value").alias("x"), F.col("status").alias("x_status"), F.explode(F.array(*[F.lit(k) for k in lags])).alias("lag"))
-    y = right.select(F.col("day").alias("y_day"), F.col("value").alias("y"), F.col("status").alias("y_status"))
-    met = x.join(y, F.col("y_day") == F.date_add("day", F.col("lag")), "left")
-    why = ladder((F.col("x_status") == "ambiguous", "x_ambiguous"), (F.col("y_day").isNull(), "y_absent"), (F.col("y_status") == "ambiguous", "y_ambiguous"))
+    keys = keys or []
+    x = left.select(*keys, "day", F.col("value").alias("x"), F.col("status").alias("x_status"), F.explode(F.array(*[F.lit(k) for k in lags])).alias("lag"))
+    y = right.select(*keys, F.col("day").alias("y_day"), F.col("value").alias("y"), F.col("status").alias("y_status"))
+    met = x.withColumn("y_day", F.date_add("day", F.col("lag"))).join(y.withColumn("there", F.lit(True)), [*keys, "y_day"], "left")
+    why = ladder((F.col("x_status") == "ambiguous", "x_ambiguous"), (F.col("there").isNull(), "y_absent"), (F.col("y_status") == "ambiguous", "y_ambiguous"))
     seen = met.withColumn("why", why)
-    ranked = seen.where("why IS NULL").select("lag", mid_rank("x", ["lag"]).alias("rx"), mid_rank("y", ["lag"]).alias("ry"))
-    rho = ranked.groupBy("lag").agg(F.count("*").alias("pairs"), safe_correlation("rx", "ry").alias("rho"))
-    counts = seen.groupBy("lag").agg(*[F.count_if(F.col("why") == w).alias(w) for w in ("x_ambiguous", "y_absent", "y_ambiguous")])
+    by = [*keys, "lag"]
+    ranked = seen.where("why IS NULL").select(*by, mid_rank("x", by).alias("rx"), mid_rank("y", by).alias("ry"))
+    rho = ranked.groupBy(*by).agg(F.count("*").alias("pairs"), safe_correlation("rx", "ry").alias("rho"))
+    counts = seen.groupBy(*by).agg(*[F.count_if(F.col("why") == w).alias(w) for w in ("x_ambiguous", "y_absent", "y_ambiguous")])
     pairs = F.coalesce("pairs", F.lit(0).cast("long"))
-    return counts.join(rho, "lag", "left").select("lag", pairs.alias("pairs"), "x_ambiguous", "y_absent", "y_ambiguous", F.when(pairs >= least, F.col("rho")).alias("rho"))
+    return counts.join(rho, by, "left").select(*by, pairs.alias("pairs"), "x_ambiguous", "y_absent", "y_ambiguous", F.when(pairs >= least, F.col("rho")).alias("rho"))
 
 
 def agreement_dedup(pairs: DataFrame, keys: list[str]) -> DataFrame:
@@ -72,7 +74,26 @@ def stability(pairs: DataFrame, keys: list[str]) -> DataFrame:
     return met.select(*keys, "first_bias", "second_bias", overlap.alias("overlap"), (overlap & inside).alias("stable"))
 
 
-def gate(summary: DataFrame, exploratory: int = 14, provisional: int = 42, span: int = 41) -> DataFrame:
-    """summary (n, span_days, stable) with the level that its evidence allows."""
-    level = ladder((F.col("n") < exploratory, "insufficient"), ((F.col("n") >= provisional) & (F.col("span_days") >= span) & F.col("stable"), "provisional"), otherwise=F.lit("exploratory"))
-    return summary.withColumn("level", level)
+def gate(facts: DataFrame, exploratory: int = 14, provisional: int = 42, span: int = 41) -> DataFrame:
+    """facts (n, strong_n, cohort, canonical, span_days, method_break, stable or null) with both gates, eligibility and reasons."""
+    few = F.when(F.col("n") < exploratory, F.lit("exploratory_n_below_14"))
+    rules = [
+        (F.col("cohort") == "account", "exploratory_only_cohort", F.lit("account_observations_never_canonical")),
+        (~F.col("canonical"), "non_canonical_metric", F.lit("metric_not_canonical_candidate")),
+        (F.col("strong_n") < provisional, "insufficient_n", F.when(F.col("n") < provisional, "provisional_n_below_42").otherwise("strong_gate_n_below_42")),
+        (F.col("cohort") != "device_pair", "not_device_pair", F.lit("provisional_requires_device_pair")),
+        (F.col("span_days").isNull() | (F.col("span_days") < span), "insufficient_span", F.lit("provisional_span_delta_below_41_days")),
+        (F.col("method_break"), "known_method_break", F.lit("known_method_break")),
+        (F.col("stable").isNull(), "stability_missing", F.lit("stability_packet_missing")),
+        (~F.col("stable"), "stability_failed", F.lit("stability_failed")),
+    ]
+    state = ladder(*[(c, code) for c, code, _ in rules], otherwise=F.lit("eligible_for_provisional_proposal"))
+    why = F.when(rules[0][0], rules[0][2])
+    for condition, _, reason in rules[1:]:
+        why = why.when(condition, reason)
+    return facts.withColumns(
+        {
+            "exploratory": F.when(few.isNull(), "exploratory").otherwise("insufficient_n"), "provisional": state,
+            "eligible": state == "eligible_for_provisional_proposal", "reasons": F.concat_ws(",", few, why),
+        }
+    )

@@ -46,3 +46,12 @@ def interval_check(parts: DataFrame, keys: list[str]) -> DataFrame:
     seconds = F.sum(F.unix_seconds("end_ts") - F.unix_seconds("start_ts"))
     first = F.min_by("fault", F.when(F.col("fault").isNotNull(), F.col("ordinal")))
     return seen.groupBy(*keys).agg(F.count("*").alias("parts"), first.alias("fault"), F.when(F.count("fault") == 0, seconds).alias("seconds"))
+
+
+def stage_seconds(parts: DataFrame, keys: list[str], stages: list[str]) -> DataFrame:
+    """Seconds of each named stage of a night; one unmapped stage or reversed interval withholds them all, with the reason."""
+    seconds = (F.unix_micros(F.col("end_ts").cast("timestamp")) - F.unix_micros(F.col("start_ts").cast("timestamp"))) / 1_000_000
+    each = [F.sum(F.when(F.col("stage") == s, seconds).otherwise(0.0)).alias(s.lower()) for s in stages]
+    reason = ladder((F.bool_or(F.col("stage").isNull()), "unmapped_stage"), (F.bool_or(F.col("end_ts") <= F.col("start_ts")), "end_not_after_start"))
+    out = parts.groupBy(*keys).agg(*each, reason.alias("reason"))
+    return out.select(*keys, *[F.when(F.col("reason").isNull(), F.col(s.lower())).alias(s.lower()) for s in stages], "reason")

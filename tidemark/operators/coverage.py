@@ -66,9 +66,9 @@ def islands(days: DataFrame, keys: list[str]) -> DataFrame:
     return days.select(*keys, "day").distinct().select(*keys, "day", run).groupBy(*keys, "run").agg(F.min("day").alias("start"), F.max("day").alias("end"), F.count("*").alias("days")).drop("run")
 
 
-def longest_islands(days: DataFrame, keys: list[str]) -> DataFrame:
-    """All runs that are as long as the longest."""
-    found = islands(days, keys)
+def longest_islands(days: DataFrame, keys: list[str], value: str | None = None, least: float = 10000) -> DataFrame:
+    """All runs of consecutive days that are as long as the longest; with value, of the days whose value is at least least."""
+    found = islands(days if value is None else days.where(F.col(value) >= least), keys)
     return found.withColumn("most", F.max("days").over(Window.partitionBy(*keys))).where(F.col("days") == F.col("most")).drop("most")
 
 

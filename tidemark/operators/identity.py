@@ -41,11 +41,25 @@ def snapshot_diff(before: DataFrame, after: DataFrame, key: str, content: list[s
     return met.select(key, ladder((F.col("b").isNull(), "added"), (F.col("a").isNull(), "removed"), (F.col("a").eqNullSafe(F.col("b")), "retained"), otherwise=F.lit("changed")).alias("change"))
 
 
-def canonical(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
-    """rows with the outcome of each: excluded (with its reason), selected, or competing_evidence."""
-    ranked = Window.partitionBy(*keys, F.col("reason").isNull()).orderBy(*order)
-    n = F.row_number().over(ranked)
-    return rows.withColumn("outcome", F.when(F.col("reason").isNotNull(), F.col("reason")).when(n == 1, F.lit("selected")).otherwise(F.lit("competing_evidence")))
+def canonical(candidates: DataFrame, composition: list[str], group: str, version: str) -> DataFrame:
+    """candidates with the outcome of each: the reason why it is excluded, selected, or competing_evidence.
+
+    One candidate of each (metric, semantic_key) is selected: of the highest revision, then the
+    latest instant, the latest local day, sources before derived values, the greatest evidence_id.
+    Composition metrics count only in the asked compatibility group; derived ones only with
+    input evidence and of the asked version.
+    """
+    reason = ladder(
+        (~F.col("confirmed"), "not_confirmed"),
+        (~F.col("current"), "superseded"),
+        (F.col("metric").isin(*composition) & ~F.coalesce(F.col("grp") == group, F.lit(False)), "incompatible_algorithm_group"),
+        (F.col("derived") & (F.col("inputs") == 0), "missing_input_evidence"),
+        (F.col("derived") & ~F.coalesce(F.col("version") == version, F.lit(False)), "derivation_version_mismatch"),
+    )
+    order = [F.desc("revision"), F.desc_nulls_last("ts"), F.desc_nulls_last("day"), F.asc("derived"), F.desc("evidence_id")]
+    n = F.row_number().over(Window.partitionBy("metric", "semantic_key", F.col("reason").isNull()).orderBy(*order))
+    outcome = F.when(F.col("reason").isNotNull(), F.col("reason")).when(n == 1, F.lit("selected")).otherwise(F.lit("competing_evidence"))
+    return candidates.withColumn("reason", reason).withColumn("outcome", outcome).drop("reason")
 
 
 def retire_absent(current: DataFrame, incoming: DataFrame, key: str, complete: bool) -> DataFrame:

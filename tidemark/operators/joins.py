@@ -52,3 +52,18 @@ def against_reference(rows: DataFrame, keys: list[str], reference: DataFrame) ->
     """Absolute and percent difference from the reference value of the same keys; a zero reference has no percent."""
     delta = F.col("value") - F.col("reference")
     return rows.join(reference, keys, "left").select("*", delta.alias("delta"), F.when(F.col("reference") != 0, F.lit(100.0) * delta / F.col("reference")).alias("percent"), ladder((F.col("value").isNull(), "value_absent"), (F.col("reference").isNull(), "reference_absent"), (F.col("reference") == 0, "zero_reference")).alias("reason"))
+
+
+def overlapping(left: DataFrame, right: DataFrame, keys: list[str], seconds: int) -> DataFrame:
+    """Pairs (left_id, right_id) of half-open intervals [s, e) that overlap, of intervals up to seconds long.
+
+    Equi-joined on the time buckets that each interval touches, two at most, and then each pair
+    is kept only in the bucket in which the later of the two starts.
+    """
+    slot = lambda t: F.floor(F.unix_micros(F.col(t).cast("timestamp")) / (seconds * 1_000_000))
+    last = F.floor((F.unix_micros(F.col("e").cast("timestamp")) - 1) / (seconds * 1_000_000))
+    touched = lambda df: df.withColumns({"own": slot("s"), "slot": F.explode(F.sequence(slot("s"), F.greatest(slot("s"), last)))})
+    a = touched(left).select(*keys, "slot", F.col("id").alias("left_id"), F.col("s").alias("ls"), F.col("e").alias("le"), F.col("own").alias("lo"))
+    b = touched(right).select(*keys, "slot", F.col("id").alias("right_id"), F.col("s").alias("rs"), F.col("e").alias("re"), F.col("own").alias("ro"))
+    meet = (F.col("ls") < F.col("re")) & (F.col("rs") < F.col("le")) & (F.col("slot") == F.greatest("lo", "ro"))
+    return a.join(b, [*keys, "slot"]).where(meet).select(*keys, "left_id", "right_id")

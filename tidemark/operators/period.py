@@ -45,17 +45,69 @@ def duplicates(rows: DataFrame, keys: list[str], identity: list[str]) -> DataFra
     return rows.groupBy(*keys, *identity).agg(F.count("*").alias("n")).groupBy(*keys).agg(F.sum(F.greatest(F.lit(0), F.col("n") - 1)).alias("duplicates"), F.count("*").alias("identities"), F.count_if(F.col("n") > 1).alias("repeated"))
 
 
-def freshness_state(facts: DataFrame, as_of: str) -> DataFrame:
-    """fresh to 36 hours, quiet to 72, else stale; refresh_overdue where the last attempt is over 48 hours old."""
-    hours = lambda c: (F.unix_seconds(F.lit(as_of).cast("timestamp")) - F.unix_seconds(c)) / 3600
-    state = ladder((F.col("latest").isNull(), "never"), (hours(F.col("attempt")) > 48, "refresh_overdue"), (hours(F.col("latest")) <= 36, "fresh"), (hours(F.col("latest")) <= 72, "quiet"), otherwise=F.lit("stale"))
-    return facts.withColumn("state", state)
-
-
-def roll_up(states: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The worst state by the given order."""
-    rank = F.array_position(F.array(*[F.lit(x) for x in order]), F.col("state"))
-    return states.groupBy(*keys).agg(F.min_by("state", rank).alias("state"), F.count("*").alias("scopes"))
+def freshness_state(facts: DataFrame, now: str) -> DataFrame:
+    """Scopes with state and reason at an instant.
+
+    facts: requested, disabled, family (daily, activity, weight), role (required, optional),
+    attempt, success, terminal (status of the last attempt), evidence_at, evidence_day,
+    chronology_issue, attributed, coverage, activities, observed_once, confirmed_weight.
+    A terminal failure after the last success is authoritative and evidence cannot demote it;
+    daily evidence is fresh to 36 hours or the day before, quiet to 72 hours or two days; 48
+    hours without a success are overdue.
+    """
+    at = F.lit(now).cast("timestamp")
+    seconds = lambda c: F.unix_micros(c.cast("timestamp")) / 1_000_000
+    attempt, success, evidence, day = F.col("attempt"), F.col("success"), F.col("evidence_at"), F.col("evidence_day")
+    since = attempt.isNotNull() & (success.isNull() | (attempt > success))  # tried since the last success
+    failed = since & F.col("terminal").isin("reauth_required", "required_stream_unavailable", "failed")
+    overdue = seconds(at) - seconds(success) > 48 * 3600
+    hours, days = (seconds(at) - seconds(evidence)) / 3600, F.datediff(at, day)
+    family, complete = F.col("family"), F.coalesce(F.col("coverage") == "complete", F.lit(False))
+    rules = [
+        (F.col("disabled"), "not_requested", "disabled"),
+        (~F.col("requested"), "not_requested", "not_requested"),
+        ((attempt > at) | (success > at), "unknown", "future_chronology"),
+        (failed & (F.col("terminal") == "failed"), "unavailable", "refresh_failed"),
+        (failed & (F.col("terminal") == "reauth_required"), "unavailable", "reauth_required"),
+        (failed, "unavailable", "required_stream_unavailable"),
+        ((evidence > at) | (day > F.to_date(at)), "unknown", "future_chronology"),
+        (F.col("chronology_issue") == "invalid_chronology", "unknown", "invalid_chronology"),
+        (F.col("chronology_issue").isNotNull(), "unknown", "chronology_unresolved"),
+        (~F.col("attributed"), "unknown", "scope_unresolved"),
+        (since & F.col("terminal").isin("partial", "incomplete", "unknown"), "unknown", "acquisition_incomplete"),
+        (since & success.isNotNull() & (F.col("terminal") == "succeeded"), "unknown", "chronology_unresolved"),
+        ((family == "weight") & F.col("confirmed_weight"), "quiet", "voluntary_sampling"),
+        (family == "weight", "unknown", "never_observed"),
+        ((family == "activity") & success.isNull() & ~complete, "unknown", "coverage_unknown"),
+        ((family == "activity") & success.isNull(), "unknown", "chronology_unresolved"),
+        ((family == "activity") & overdue, "stale", "refresh_overdue"),
+        ((family == "activity") & (~complete | F.col("activities").isNull()), "unknown", "coverage_unknown"),
+        ((family == "activity") & (F.col("activities") < 0), "unknown", "invalid_chronology"),
+        ((family == "activity") & (F.col("activities") > 0), "fresh", "evidence_current"),
+        (family == "activity", "quiet", "event_window_confirmed_empty"),
+        ((F.col("role") == "optional") & ~F.col("observed_once"), "unknown", "never_observed"),
+        (success.isNull() & F.col("observed_once"), "unknown", "chronology_unresolved"),
+        (success.isNull(), "unknown", "never_observed"),
+        (evidence.isNull() & day.isNull(), "unknown", "never_observed"),
+        (evidence.isNotNull() & day.isNotNull(), "unknown", "chronology_unresolved"),
+        (overdue, "stale", "refresh_overdue"),
+        ((hours <= 36) | (days <= 1), "fresh", "evidence_current"),
+        ((hours <= 72) | (days == 2), "quiet", "evidence_within_grace"),
+    ]
+    state = ladder(*[(c, s) for c, s, _ in rules], otherwise=F.lit("stale"))
+    reason = ladder(*[(c, r) for c, _, r in rules], otherwise=F.lit("expected_evidence_absent"))
+    acts = (F.col("role") == "required") & F.col("state").isin("stale", "unavailable", "unknown")
+    return facts.withColumns({"state": state, "reason": reason}).withColumn("actionable", acts)
+
+
+def roll_up(states: DataFrame, keys: list[str]) -> DataFrame:
+    """The worst state of the required scopes that were asked for; unknown without required ones, not_requested if none was asked for."""
+    order = F.array(*[F.lit(x) for x in ("unavailable", "stale", "unknown", "quiet", "fresh")])
+    required = F.col("role") == "required"
+    rank = F.when(required, F.array_position(order, F.col("state")))
+    worst = F.min(F.when(rank > 0, rank))
+    state = ladder((F.count_if(required) == 0, "unknown"), (worst.isNull(), "not_requested"), otherwise=F.element_at(order, worst.cast("int")))
+    return states.groupBy(*keys).agg(state.alias("state"), F.count("*").alias("scopes"), F.count_if(F.col("actionable")).alias("actionable"))
 
 
 def trip_day(days: DataFrame, today: str) -> DataFrame:

@@ -56,12 +56,6 @@ def t3_zones_per_day(spark, sf):
     return evidence.zones_per_day(adapters.measurements(spark, sf), ["user_id"], "event_type")
 
 
-@query("""SELECT user_id, count(*) AS attempts, CASE WHEN bool_and(value > 20) THEN 'succeeded' WHEN NOT bool_or(value > 20) THEN 'failed' ELSE 'partial' END AS run_status FROM events WHERE event_id % 10 = 0 GROUP BY user_id""")
-def y10_run_status(spark, sf):
-    rows = load(spark, sf, "events").where("event_id % 10 = 0").select("user_id", F.when(F.col("value") > 20, "ok").otherwise("error").alias("status"))
-    return evidence.run_status(rows, ["user_id"])
-
-
 @query("""SELECT user_id, count(*) AS attempts, CASE WHEN count(*) FILTER (WHERE value > 20) = count(*) THEN 'succeeded' WHEN count(*) FILTER (WHERE value > 20) = 0 THEN 'failed' ELSE 'partial' END AS run_status FROM events GROUP BY user_id""")
 def y10_run_status_of_all(spark, sf):
     return evidence.run_status(load(spark, sf, "events").select("user_id", F.when(F.col("value") > 20, "ok").otherwise("error").alias("status")), ["user_id"])
@@ -86,14 +80,6 @@ def h6_series_history(spark, sf):
     return rounded(evidence.history(rows, ["cust", "series"]), 3)
 
 
-@query(f"""WITH {M}, c AS (SELECT user_id, avg(value) FILTER (WHERE event_type = 'click') AS l, avg(value) FILTER (WHERE event_type = 'purchase') AS r FROM m WHERE day < DATE '2024-01-04' AND event_type IN ('click', 'purchase') GROUP BY user_id)
-  SELECT user_id, round(r - l, 7) AS delta, CASE WHEN l IS NULL THEN 'left_unavailable' WHEN r IS NULL THEN 'right_unavailable' END AS reason FROM c""")
-def p5_signed_delta(spark, sf):
-    m = adapters.measurements(spark, sf).where("day < date'2024-01-04'")
-    side = lambda t: m.where(F.col("event_type") == t).groupBy("user_id").agg(F.avg("value").alias("mean"), F.count("*").alias("eligible"))
-    return rounded(evidence.signed_delta(side("click"), side("purchase"), ["user_id"]))
-
-
 @query(f"""WITH {M} SELECT event_type, isodow(day)::INT AS weekday, count(*) FILTER (WHERE k % 4 = 0) AS paired_n, count(*) FILTER (WHERE k % 4 > 0) AS reference_n,
   CASE WHEN count(*) FILTER (WHERE k % 4 = 0) >= 3 AND count(*) FILTER (WHERE k % 4 > 0) >= 3 THEN round(avg(value) FILTER (WHERE k % 4 = 0) - avg(value) FILTER (WHERE k % 4 > 0), 7) END AS difference FROM m GROUP BY 1, 2""")
 def z19_context_recovery(spark, sf):
@@ -135,12 +121,6 @@ def o9_prefix_complete_cutoff(spark, sf):
     return cut.groupBy("user_id").agg(F.count_if(F.col("cutoff").isNull() | (F.col("day") < F.col("cutoff"))).alias("kept"), F.max("cutoff").alias("cutoff"))
 
 
-@query("""SELECT DISTINCT coalesce(a.day, b.day) AS day FROM (SELECT DISTINCT ts::DATE AS day FROM events WHERE user_id = 3) a FULL JOIN (SELECT DISTINCT ts::DATE AS day FROM events WHERE user_id = 4) b ON a.day = b.day""", dates="day")
-def u2_union_of_days(spark, sf):
-    m = adapters.measurements(spark, sf)
-    return m.where("user_id = 3").select("day").union(m.where("user_id = 4").select("day")).distinct()
-
-
 @query("""SELECT DISTINCT coalesce(a.id, b.id) AS id, coalesce(a.day, b.day) AS day FROM (SELECT DISTINCT user_id AS id, ts::DATE AS day FROM events) a FULL JOIN (SELECT DISTINCT o_custkey AS id, o_orderdate::DATE AS day FROM orders) b ON a.id = b.id AND a.day = b.day""", dates="day")
 def u2_union_of_days_of_all(spark, sf):
     orders = load(spark, sf, "orders").select(F.col("o_custkey").alias("id"), F.to_date("o_orderdate").alias("day"))
@@ -158,15 +138,6 @@ def u7_distinct_breakdown(spark, sf):
     return adapters.measurements(spark, sf).select("user_id", "day", "event_type").distinct().groupBy("user_id").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT a.event_id AS left_id, b.event_id AS right_id FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = b.event_type AND a.ts::DATE = b.ts::DATE AND a.event_id < b.event_id
-  WHERE b.ts < a.ts + INTERVAL 2 HOURS AND a.ts < b.ts + INTERVAL 2 HOURS""")
-def y16_overlapping_intervals(spark, sf):
-    e = adapters.measurements(spark, sf).select("event_id", "user_id", "event_type", "day", "ts")
-    a, b = e.withColumnsRenamed({"event_id": "left_id", "ts": "s"}), e.withColumnsRenamed({"event_id": "right_id", "ts": "t"})
-    two = F.expr("interval 2 hours")
-    return a.join(b, ["user_id", "event_type", "day"]).where((F.col("left_id") < F.col("right_id")) & (F.col("t") < F.col("s") + two) & (F.col("s") < F.col("t") + two)).select("left_id", "right_id")
-
-
 @query(f"""WITH {M}, n AS (SELECT event_id, count(*) OVER (PARTITION BY user_id, day, event_type) AS n, count(*) OVER (PARTITION BY user_id, day) AS d FROM m) SELECT event_id, n > 1 AS duplicate, d FROM n""")
 def v13_duplicate_identity(spark, sf):
     m = adapters.measurements(spark, sf)
@@ -180,11 +151,6 @@ def p13_partition_check(spark, sf):
     return p.withColumn("partitioned", F.col("usable") + F.col("ambiguous") + F.col("excluded") == F.col("candidate"))
 
 
-@query("""SELECT l_orderkey AS session, max(CASE WHEN l_linenumber = 1 THEN l_quantity END) AS "1", max(CASE WHEN l_linenumber = 2 THEN l_quantity END) AS "2", max(CASE WHEN l_linenumber = 3 THEN l_quantity END) AS "3" FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1""")
-def w11_session_pivot(spark, sf):
-    return load(spark, sf, "lineitem").where("l_linenumber <= 3").groupBy(F.col("l_orderkey").alias("session")).pivot("l_linenumber", [1, 2, 3]).agg(F.max("l_quantity"))
-
-
 @query(f"""WITH {D}, l AS (SELECT grp, arg_max(day, day) AS day, arg_max(value, day) AS v FROM d GROUP BY grp), q AS (SELECT grp, count(*) AS n, median(value) AS med, avg(value) AS mean FROM d GROUP BY grp),
   g AS (SELECT grp, max(step) AS longest FROM (SELECT grp, date_diff('day', lag(day) OVER (PARTITION BY grp ORDER BY day), day) AS step FROM d) GROUP BY grp),
   e AS (SELECT w.grp, count(*) AS excluded FROM w WHERE NOT confirmed OR superseded OR unit <> 'kg' GROUP BY w.grp)

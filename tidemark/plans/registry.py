@@ -124,13 +124,6 @@ def w1_daily_median(spark, sf):
     return rounded(out.withColumn("ids", F.concat_ws(",", F.transform("ids", lambda x: x.cast("string")))))
 
 
-@query(f"""WITH {D}, g AS (SELECT *, date_diff('day', min(day) OVER (PARTITION BY grp), day)::DOUBLE AS age, date_diff('day', lag(day) OVER (PARTITION BY grp ORDER BY day), day)::DOUBLE AS gap FROM d)
-  SELECT grp, day, round(value, 7) AS value,
-  round(pow(2::DOUBLE, -age / 21) * sum((CASE WHEN gap IS NULL THEN 1 ELSE 1 - pow(2::DOUBLE, -gap / 21) END) * value * pow(2::DOUBLE, age / 21)) OVER (PARTITION BY grp ORDER BY day), 7) AS trend FROM g""", dates="day")
-def w3_time_aware_ewma(spark, sf):
-    return rounded(weight.smoothed(medians(spark, sf), ["grp"]))
-
-
 @query(f"""WITH {D}, l AS (SELECT *, max(day) OVER (PARTITION BY grp) AS latest FROM d), i AS (SELECT * FROM l WHERE date_diff('day', day, latest) < 90),
   n AS (SELECT grp, latest, count(*) AS n, date_diff('day', min(day), max(day)) AS span_days FROM i GROUP BY grp, latest),
   s AS (SELECT a.grp, median((b.value - a.value) / date_diff('day', a.day, b.day)) AS slope FROM i a JOIN i b ON a.grp = b.grp AND b.day > a.day GROUP BY a.grp)
@@ -140,52 +133,9 @@ def w4_weekly_rate(spark, sf):
     return rounded(weight.weekly_rate(medians(spark, sf), ["grp"]))
 
 
-@query(f"""WITH {D}, l AS (SELECT grp, max_by(day, day) AS ld, max_by(value, day) AS lv FROM d GROUP BY grp),
-  r AS (SELECT d.grp, d.day, d.value, ld, lv, date_diff('day', d.day, ld) AS apart, row_number() OVER (PARTITION BY d.grp ORDER BY d.day) AS n
-        FROM d JOIN l USING (grp) WHERE date_diff('day', d.day, ld) >= 28 AND abs(lv - d.value) <= 0.01 * d.value)
-  SELECT grp, day, round(value, 7) AS value, ld AS latest_day, round(lv, 7) AS latest_value, apart::INT AS days_apart FROM r WHERE n = 1""", dates="day latest_day")
-def w8_similar_weight(spark, sf):
-    return rounded(weight.similar_pair(medians(spark, sf), ["grp"]))
-
-
-@query("""WITH v AS (SELECT l_orderkey AS session, max(CASE WHEN l_linenumber = 1 THEN l_quantity END) AS weight, max(CASE WHEN l_linenumber = 2 THEN l_quantity * 2.5 END) AS body_fat
-    FROM lineitem WHERE l_linenumber <= 2 GROUP BY 1),
-  r AS (SELECT *, CASE WHEN weight IS NULL THEN 'missing_weight' WHEN body_fat IS NULL THEN 'missing_body_fat' WHEN weight <= 0 THEN 'non_positive_weight'
-    WHEN body_fat < 0 OR body_fat > 100 THEN 'body_fat_out_of_range' END AS reason FROM v)
-  SELECT session, weight, body_fat, CASE WHEN reason IS NULL THEN round(weight * body_fat / 100, 7) END AS fat_mass,
-  CASE WHEN reason IS NULL THEN round(weight * (1 - body_fat / 100), 7) END AS lean_mass, reason FROM r""")
-def w5_composition(spark, sf):
-    rows = load(spark, sf, "lineitem").where("l_linenumber <= 2").select(
-        F.col("l_orderkey").alias("session"), F.when(F.col("l_linenumber") == 1, "weight").otherwise("body_fat").alias("metric"),
-        F.when(F.col("l_linenumber") == 1, F.col("l_quantity")).otherwise(F.col("l_quantity") * 2.5).alias("value"),
-    )
-    biggest = rows.groupBy("session", "metric").agg(F.max("value").alias("value"))
-    return rounded(weight.composition(biggest, ["session"], ["weight", "body_fat"]))
-
-
 # ---- association and agreement ------------------------------------------------------------
 
 
-def _daily_pair(spark, sf):
-    m = adapters.measurements(spark, sf)
-    daily_ = m.groupBy("day", "event_type").agg(F.avg("value").alias("value"))
-    both = [association.one_per_day(daily_.where(F.col("event_type") == t)) for t in ("click", "purchase")]
-    return both[0], both[1]
-
-
-@query("""WITH d AS (SELECT ts::DATE AS day, event_type, avg(value) AS v FROM events GROUP BY 1, 2),
-  x AS (SELECT day, v FROM d WHERE event_type = 'click'), y AS (SELECT day, v FROM d WHERE event_type = 'purchase'),
-  g AS (SELECT lag, x.day, x.v AS xv, y.v AS yv FROM x CROSS JOIN (SELECT unnest(range(0, 15)) AS lag) LEFT JOIN y ON y.day = x.day + lag::INT),
-  r AS (SELECT lag, rank() OVER (PARTITION BY lag ORDER BY xv) + (count(*) OVER (PARTITION BY lag, xv) - 1) / 2.0 AS rx,
-        rank() OVER (PARTITION BY lag ORDER BY yv) + (count(*) OVER (PARTITION BY lag, yv) - 1) / 2.0 AS ry FROM g WHERE yv IS NOT NULL),
-  c AS (SELECT lag, count(*) AS pairs, CASE WHEN count(DISTINCT rx) > 1 AND count(DISTINCT ry) > 1 THEN corr(rx, ry) END AS rho FROM r GROUP BY lag)
-  SELECT g.lag::INT AS lag, coalesce(any_value(pairs), 0) AS pairs, 0 AS x_ambiguous, count(*) FILTER (WHERE yv IS NULL) AS y_absent, 0 AS y_ambiguous,
-  CASE WHEN any_value(pairs) >= 5 THEN round(any_value(rho), 7) END AS rho FROM g LEFT JOIN c ON c.lag = g.lag GROUP BY g.lag""")
-def l4_lagged_spearman(spark, sf):
-    x, y = _daily_pair(spark, sf)
-    return rounded(association.lagged_spearman(x, y, list(range(15))))
-
-
 @query(f"""WITH {A} SELECT cohort, count(*) AS n, round(avg(diff), 3) AS bias, round(avg(abs(diff)), 3) AS mae, round(sqrt(avg(diff * diff)), 3) AS rmse, round(stddev_samp(diff), 3) AS sd,
   round(avg(diff) - 1.96 * stddev_samp(diff), 3) AS loa_low, round(avg(diff) + 1.96 * stddev_samp(diff), 3) AS loa_high, round(median(diff), 3) AS median,
   round(quantile_cont(diff, 0.025), 3) AS q025, round(quantile_cont(diff, 0.975), 3) AS q975, round(corr(a, b), 3) AS pearson FROM x GROUP BY cohort""")
@@ -213,14 +163,6 @@ def a6_stability(spark, sf):
     return rounded(association.stability(adapters.paired(spark, sf), ["cohort"]), 3)
 
 
-@query(_STABILITY + """ SELECT cohort, n, span_days::INT AS span_days, stable,
-  CASE WHEN n < 14 THEN 'insufficient' WHEN n >= 42 AND span_days >= 41 AND stable THEN 'provisional' ELSE 'exploratory' END AS level FROM t""")
-def a7_gate(spark, sf):
-    pairs = adapters.paired(spark, sf)
-    facts = pairs.groupBy("cohort").agg(F.count("*").alias("n"), F.datediff(F.max("day"), F.min("day")).alias("span_days"))
-    return association.gate(facts.join(association.stability(pairs, ["cohort"]).select("cohort", "stable"), "cohort"))
-
-
 # ---- calendar and coverage ------------------------------------------------------------------
 
 
@@ -262,22 +204,6 @@ def c4_freshness(spark, sf):
     return coverage.freshness(adapters.customer_days(spark, sf), ["cust"], "2001-12-31")
 
 
-@query(f"""WITH {C}, e AS (SELECT DISTINCT cust, day FROM o WHERE year(day) = 1996 UNION ALL SELECT cust, DATE '1995-12-31' FROM spans UNION ALL SELECT cust, DATE '1997-01-01' FROM spans),
-  g AS (SELECT *, lead(day) OVER w AS nxt, row_number() OVER w AS n, count(*) OVER (PARTITION BY cust) AS c FROM e WINDOW w AS (PARTITION BY cust ORDER BY day))
-  SELECT cust, (day + 1)::DATE AS gap_start, (nxt - 1)::DATE AS gap_end, (date_diff('day', day, nxt) - 1)::INT AS days,
-  CASE WHEN n = 1 THEN 'leading' WHEN n = c - 1 THEN 'trailing' ELSE 'internal' END AS kind FROM g WHERE date_diff('day', day, nxt) > 1""", dates="gap_start gap_end")
-def a5_gaps(spark, sf):
-    spans = adapters.customer_spans(spark, sf).select("cust", F.lit("1996-01-01").cast("date").alias("start"), F.lit("1996-12-31").cast("date").alias("end"))
-    return coverage.gaps(adapters.customer_days(spark, sf), spans, ["cust"])
-
-
-@query("""WITH d AS (SELECT DISTINCT user_id, ts::DATE AS day FROM events), i AS (SELECT *, day - row_number() OVER (PARTITION BY user_id ORDER BY day)::INT AS run FROM d),
-  r AS (SELECT user_id, min(day) AS s, max(day) AS e, count(*) AS days FROM i GROUP BY user_id, run), t AS (SELECT *, max(days) OVER (PARTITION BY user_id) AS most FROM r)
-  SELECT user_id, s AS start, e AS "end", days FROM t WHERE days = most""", dates="start end")
-def r8_longest_streaks(spark, sf):
-    return coverage.longest_islands(adapters.measurements(spark, sf), ["user_id"])
-
-
 @query("""WITH i AS (SELECT user_id, ts AS s0, ts + INTERVAL 36 HOURS AS e0, TIMESTAMP '2024-01-10' AS a, TIMESTAMP '2024-01-17' AS b FROM events),
   c AS (SELECT user_id, greatest(s0, a) AS s, least(e0, b) AS e, a, b FROM i WHERE greatest(s0, a) < least(e0, b)),
   w AS (SELECT *, max(e) OVER (PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM c)
@@ -381,15 +307,6 @@ def z1_interval_check(spark, sf):
 # ---- joins --------------------------------------------------------------------------------------
 
 
-@query("""WITH r AS (SELECT ts::DATE AS day, user_id, event_type, value FROM events WHERE user_id = 7 OR user_id = 8), a AS (SELECT day, count(*) AS n, any_value(value) AS v FROM r WHERE user_id = 7 GROUP BY day),
-  b AS (SELECT day, count(*) AS n, any_value(value) AS v FROM r WHERE user_id = 8 GROUP BY day)
-  SELECT day, CASE WHEN a.n IS NULL THEN 'left_missing' WHEN b.n IS NULL THEN 'right_missing' WHEN a.n > 1 AND b.n > 1 THEN 'both_ambiguous' WHEN a.n > 1 THEN 'left_ambiguous' WHEN b.n > 1 THEN 'right_ambiguous' ELSE 'paired' END AS outcome,
-  CASE WHEN a.n = 1 AND b.n = 1 THEN round(a.v, 7) END AS a, CASE WHEN a.n = 1 AND b.n = 1 THEN round(b.v, 7) END AS b FROM a FULL JOIN b USING (day)""", dates="day")
-def j8_cohort_pairing(spark, sf):
-    m = adapters.measurements(spark, sf).select("user_id", "day", "value")
-    return rounded(joins.pair_by_day(m.where("user_id = 7"), m.where("user_id = 8")))
-
-
 @query("""WITH r AS (SELECT user_id, ts::DATE AS day, count(*) FILTER (WHERE event_type = 'error') AS na, count(*) FILTER (WHERE event_type = 'purchase') AS nb, max(value) FILTER (WHERE event_type = 'error') AS a, max(value) FILTER (WHERE event_type = 'purchase') AS b FROM events GROUP BY 1, 2)
   SELECT user_id, day, CASE WHEN na = 0 THEN 'left_missing' WHEN nb = 0 THEN 'right_missing' WHEN na > 1 AND nb > 1 THEN 'both_ambiguous' WHEN na > 1 THEN 'left_ambiguous' WHEN nb > 1 THEN 'right_ambiguous' ELSE 'paired' END AS outcome,
   CASE WHEN na = 1 AND nb = 1 THEN round(a, 7) END AS a, CASE WHEN na = 1 AND nb = 1 THEN round(b, 7) END AS b FROM r WHERE na > 0 OR nb > 0""", dates="day")
@@ -466,12 +383,6 @@ def y24_snapshot_diff(spark, sf):
     return identity.snapshot_diff(c.where("id % 5 <> 0"), after, "id", ["c_mktsegment", "v"])
 
 
-@query(f"""WITH {W}, r AS (SELECT *, CASE WHEN NOT confirmed THEN 'not_confirmed' WHEN superseded THEN 'superseded' WHEN unit <> 'kg' THEN 'invalid_unit' END AS reason FROM w)
-  SELECT id, CASE WHEN reason IS NOT NULL THEN reason WHEN row_number() OVER (PARTITION BY grp, day, reason IS NULL ORDER BY value DESC, id) = 1 THEN 'selected' ELSE 'competing_evidence' END AS outcome FROM r""")
-def h1_canonical_selection(spark, sf):
-    return identity.canonical(weight.candidates(adapters.weights(spark, sf)), ["grp", "day"], [F.desc("value"), "id"]).select("id", "outcome")
-
-
 @query("""SELECT sha256(concat_ws(chr(31), 'v' || user_id, 'v' || event_type, 'v' || ts::DATE)) AS key, count(*) AS n FROM events GROUP BY ALL""")
 def d4_idempotency_key(spark, sf):
     return adapters.measurements(spark, sf).groupBy(idempotency_key(F.col("user_id"), F.col("event_type"), F.col("day")).alias("key")).agg(F.count("*").alias("n"))
@@ -501,15 +412,6 @@ def p15_previous_window(spark, sf):
     return rounded(period.previous_window(adapters.measurements(spark, sf), ["user_id"], "2024-01-16", 7), 3)
 
 
-@query(f"""WITH {P}, c AS (SELECT user_id, event_type, count(value) AS eligible, count(*) FILTER (WHERE status = 'ambiguous') AS ambiguous FROM p WHERE day <= DATE '2024-01-03' GROUP BY ALL),
-  a AS (SELECT user_id, count(*) FILTER (WHERE eligible > 0 OR ambiguous > 0) AS competing, count(*) FILTER (WHERE eligible > 0) AS able, arg_max(event_type, eligible) AS s FROM c GROUP BY user_id)
-  SELECT user_id, CASE WHEN competing = 1 AND able = 1 THEN s END AS source, CASE WHEN competing = 0 THEN 'no_source' WHEN competing > 1 THEN 'several_sources' WHEN able = 0 THEN 'only_ambiguous' END AS reason FROM a""")
-def p8_source_selection(spark, sf):
-    p = points(spark, sf).where("day <= date'2024-01-03'")
-    cells = p.groupBy("user_id", F.col("event_type").alias("source")).agg(F.count("value").alias("eligible"), F.count_if(F.col("status") == "ambiguous").alias("ambiguous"))
-    return period.unique_source(cells, ["user_id"])
-
-
 @query("""SELECT user_id, event_type, n FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, event_type) AS r FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL)) WHERE r = 1""")
 def p14_most_frequent_type(spark, sf):
     return period.most_frequent(load(spark, sf, "events"), ["user_id"], "event_type")
@@ -520,26 +422,6 @@ def p7_duplicates(spark, sf):
     return period.duplicates(load(spark, sf, "conversations"), ["role"], ["text"])
 
 
-_FRESH = """f AS (SELECT user_id, event_type, max(ts) FILTER (WHERE value > 100) AS latest, max(ts) AS attempt FROM events GROUP BY ALL),
-  s AS (SELECT *, CASE WHEN latest IS NULL THEN 'never' WHEN epoch(TIMESTAMP '2024-01-31' - attempt) > 48 * 3600 THEN 'refresh_overdue' WHEN epoch(TIMESTAMP '2024-01-31' - latest) <= 36 * 3600 THEN 'fresh'
-    WHEN epoch(TIMESTAMP '2024-01-31' - latest) <= 72 * 3600 THEN 'quiet' ELSE 'stale' END AS state FROM (SELECT user_id, event_type, date_trunc('second', latest) AS latest, date_trunc('second', attempt) AS attempt FROM f))"""
-
-
-def _fresh(spark, sf):
-    e = load(spark, sf, "events").groupBy(*KEYS).agg(F.date_trunc("second", F.max(F.when(F.col("value") > 100, F.col("ts")))).alias("latest"), F.date_trunc("second", F.max("ts")).alias("attempt"))
-    return period.freshness_state(e, "2024-01-31 00:00:00")
-
-
-@query(f"WITH {_FRESH} SELECT user_id, event_type, latest, attempt, state FROM s")
-def f1_freshness_ladder(spark, sf):
-    return _fresh(spark, sf)
-
-
-@query(f"""WITH {_FRESH} SELECT user_id, arg_min(state, list_position(['never', 'refresh_overdue', 'stale', 'quiet', 'fresh'], state)) AS state, count(*) AS scopes FROM s GROUP BY user_id""")
-def f3_freshness_roll_up(spark, sf):
-    return period.roll_up(_fresh(spark, sf), ["user_id"], ["never", "refresh_overdue", "stale", "quiet", "fresh"])
-
-
 @query(f"""WITH {M}, d AS (SELECT user_id, day, sum(k) FILTER (WHERE event_type = 'click') AS c, sum(k) FILTER (WHERE event_type = 'view') AS o FROM m GROUP BY ALL),
   s AS (SELECT *, CASE WHEN day > DATE '2024-01-25' THEN 'future' WHEN c < o THEN 'conflict' WHEN c = 0 THEN 'zero' WHEN c IS NOT NULL THEN 'completed' WHEN o IS NOT NULL THEN 'incomplete' ELSE 'missing' END AS state FROM d)
   SELECT user_id, day, c::BIGINT AS completed, o::BIGINT AS observed, state, CASE WHEN state IN ('completed', 'zero') THEN c::BIGINT END AS counted FROM s""", dates="day")
@@ -569,11 +451,6 @@ def u1_union_ids(spark, sf):
     return e.where("event_type = 'click'").select("user_id").union(e.where("value > 400").select("user_id")).distinct()
 
 
-@query("""SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders""")
-def u3_missing_ids(spark, sf):
-    return load(spark, sf, "customer").select("c_custkey").distinct().join(load(spark, sf, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti")
-
-
 @query("""SELECT event_id, CASE WHEN regexp_full_match(json_extract_string(props, '$.k'), '(0|[1-9][0-9]{0,18})') THEN json_extract_string(props, '$.k')::BIGINT END AS k FROM events""")
 def n4_exact_count(spark, sf):
     return load(spark, sf, "events").select("event_id", exact_count(F.get_json_object("props", "$.k")).alias("k"))
