@@ -166,10 +166,11 @@ def test_ngram_join_edge_rows(spark, empty):
 
 def test_prefix_lengthens_with_heavy_shingles():
     s = np.arange(1, 41, dtype=np.uint64)
-    light, e1 = choose_prefix(s, np.zeros(0, np.uint64), np.zeros(0, np.int64), 75)
-    heavy, e2 = choose_prefix(s, s, np.full(40, 5000), 75)
+    light, e1, few = choose_prefix(s, np.zeros(0, np.uint64), np.zeros(0, np.int64), 75)
+    heavy, e2, many = choose_prefix(s, s, np.full(40, 5000), 75)
     assert (len(light), e1) == (11, 1)
     assert e2 > 1 and len(heavy) == 10 + e2
+    assert few == 0 and many == 5000 * len(heavy)
 
 
 def test_components_of_a_chain_and_a_star(spark):

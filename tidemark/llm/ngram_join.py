@@ -7,14 +7,18 @@ e; two sets of Jaccard similarity t share at least min(e, e') shingles of their
 document picks the e from 1 to MAX_EXTENSION of least estimated cost: the shingles it has to
 send, and the candidates, at most (sum of the prefix's document counts) / e of them.
 
-Equal sets are one class from the start (a 64-bit hash of the set with its size). Prefixes are
-gathered by shingle. Each list names a leader for each size band, and each class is verified
-against the leader that most of its lists name. What that joins needs no more pairs. Lists of
-CLUSTER members or more that are still in several components are compared whole, block against
-block. Then all classes that are still in different components, were not compared in a cluster
-and share enough prefix shingles are paired. So copies of one document cost a pair
-each and not a square, while every link between components is looked at.
-Verification gathers the texts of a leader and of at most FOLLOWERS classes and counts.
+Equal sets are one class from the start (a 64-bit hash of the set with its size); copies only
+meet their class again at the end. Prefixes are gathered by shingle, each list in order of how
+many candidates its members expect. The first member of each size band leads the list, and each
+class is verified against the leader that most of its lists name.
+What that joins needs no more pairs. Lists of CLUSTER members or more that still hold several
+labels are compared whole, block against block. Then all classes that still have different
+labels, were not compared in a cluster and share enough prefix shingles are paired. So copies
+of one document cost a pair each and not a square, while every link between labels is looked
+at. Between these steps a label is the leader that a class leads to within a few links: equal
+labels mean one component, unequal ones nothing, which is all that the pruning needs; the exact
+components are worked out once, at the end. Verification gathers the texts of a leader and of
+at most FOLLOWERS classes and counts.
 """
 
 from __future__ import annotations
@@ -39,6 +43,7 @@ FOLLOWERS = 256
 CLUSTER = 16  # members from which an unsettled list is compared as a whole
 PICKS = 2  # such lists for each set
 BLOCK = 512
+HOT = 4096  # parts of all rows; a class above one part meets its copies by a broadcast
 _U = np.uint64
 
 
@@ -91,8 +96,8 @@ def heavy_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     return tokens[order], np.array([r["n"] for r in rows], dtype=np.int64)[order]
 
 
-def choose_prefix(s: np.ndarray, heavy: np.ndarray, counts: np.ndarray, percent: int, per_candidate: float = 30.0) -> tuple[np.ndarray, int]:
-    """(prefix, extension) of a set: the extension with the least cost of shingles sent plus candidates met."""
+def choose_prefix(s: np.ndarray, heavy: np.ndarray, counts: np.ndarray, percent: int, per_candidate: float = 30.0) -> tuple[np.ndarray, int, int]:
+    """(prefix, extension, expected candidates) of a set: the extension with the least cost of shingles sent plus candidates met."""
     n = len(s)
     base = n - -(-percent * n // 100)
     at = np.searchsorted(heavy, s)
@@ -105,10 +110,17 @@ def choose_prefix(s: np.ndarray, heavy: np.ndarray, counts: np.ndarray, percent:
     met = np.cumsum(weight)
     cost = [base + e + per_candidate * met[base + e - 1] / e for e in range(1, most + 1)]
     e = int(np.argmin(cost)) + 1
-    return s[ordered[: base + e]], e
+    return s[ordered[: base + e]], e, int(met[base + e - 1])
 
 
-_SETS = "token long, member long, size int, extension int, doc_id long"
+_SETS = "token long, member long, packed long, doc_id long"
+WEIGHT_BITS = 20
+
+
+def _pack(size: np.ndarray, extension: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """One long that sorts the greatest weight first, then by size and extension."""
+    most = (1 << WEIGHT_BITS) - 1
+    return (most - np.minimum(weight, most)) << 40 | size << 8 | extension
 
 
 def _emit_prefixes(batches: Iterator[pa.RecordBatch], k: int, percent: int, heavy: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -123,20 +135,18 @@ def _emit_prefixes(batches: Iterator[pa.RecordBatch], k: int, percent: int, heav
             sizes.append(len(s))
             if len(s) and (g, len(s)) not in seen:
                 seen.add((g, len(s)))
-                prefix, e = choose_prefix(s, heavy, counts, percent)
-                parts.append((prefix, g, len(s), e))
-        n = len(rows)
-        yield pa.RecordBatch.from_arrays(
-            [pa.nulls(n, pa.int64()), pa.array(members, pa.int64()), pa.array(sizes, pa.int32()), pa.array([0] * n, pa.int32()), ids.take(pa.array(rows, pa.int64()))], names=[x.split()[0] for x in _SETS.split(", ")]
-        )
+                parts.append((g, len(s), *choose_prefix(s, heavy, counts, percent)))
+        n, names = len(rows), [x.split()[0] for x in _SETS.split(", ")]
+        none = np.zeros(n, np.int64)
+        packed = _pack(np.array(sizes, dtype=np.int64), none, none)
+        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.array(members, pa.int64()), pa.array(packed), ids.take(pa.array(rows, pa.int64()))], names=names)
         for i in range(0, len(parts), 512):
             some = parts[i : i + 512]
-            each = [len(p[0]) for p in some]
-            tokens = np.concatenate([p[0] for p in some])
-            member, size, e = (np.repeat(np.array([p[j] for p in some], dtype=np.int64), each) for j in (1, 2, 3))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(tokens.view(np.int64)), pa.array(member), pa.array(size.astype(np.int32)), pa.array(e.astype(np.int32)), pa.nulls(len(tokens), pa.int64())], names=[x.split()[0] for x in _SETS.split(", ")]
-            )
+            each = [len(p[2]) for p in some]
+            tokens = np.concatenate([p[2] for p in some])
+            member, size, e, weight = (np.array([p[j] for p in some], dtype=np.int64) for j in (0, 1, 3, 4))
+            packed = np.repeat(_pack(size, e, weight), each)
+            yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(np.repeat(member, each)), pa.array(packed), pa.nulls(len(tokens), pa.int64())], names=names)
 
 
 def _verify(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -191,27 +201,31 @@ def similar_documents(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFra
     texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
     heavy, counts = heavy_shingles(texts, k)
     emitted = texts.mapInArrow(lambda x: _emit_prefixes(x, k, percent, heavy, counts), _SETS)
-    # One shuffle for both kinds of rows: documents by their set, shingles by their hash.
-    key = F.coalesce("token", F.col("member")).alias("key")
-    dealt = emitted.select(key, F.col("token").isNotNull().alias("listed"), "member", "size", "extension", "doc_id")
-    ordered = dealt.repartition("key").sortWithinPartitions("listed", "key", "member", "size")
+    # One shuffle for both kinds of rows: shingles by their hash, documents by their own id, so that no set gathers its copies.
+    key = F.coalesce("token", F.xxhash64("doc_id")).alias("key")
+    dealt = emitted.select(key, F.col("token").isNotNull().alias("listed"), "packed", "member", "doc_id")
+    ordered = dealt.repartition("key").sortWithinPartitions("listed", "key", "doc_id", "packed", "member")
     lists = written(ordered.mapInArrow(_shared_lists, _LISTS), "join-lists")
-    sets = lists.where("token IS NULL").select("doc_id", "member", F.col("size").alias("n_shingles"))
-    heads = sets.where("n_shingles > 0").groupBy("member", "n_shingles").agg(F.min("doc_id").alias("head"))
-    copies = sets.where("n_shingles > 0").join(heads, ["member", "n_shingles"]).where("doc_id <> head").select(F.col("head").alias("a"), F.col("doc_id").alias("b"))
-    named = heads.select("member", F.col("n_shingles").alias("size"), F.col("head").alias("id"))
-
-    posted = written(lists.where("token IS NOT NULL").join(named, ["member", "size"]).select("token", "size", "extension", "id"), "join-posted")
-    rest = written(_unsettled(posted, None), "join-rest")
-    links = _verified(texts, _stars(rest, percent), k, percent)
-    discard(rest)
-    rest = written(_unsettled(posted, components(links)), "join-rest")
+    sets = lists.where("token IS NULL").select("doc_id", "member", "size", (F.col("extension") == 1).alias("again"))
+    classes = written(sets.where("size > 0").groupBy("member", "size").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")), "join-classes")
+    posted = lists.where("token IS NOT NULL")
+    stars = _verified(texts, _stars(posted, classes, percent), k, percent)
+    labels = _labels(stars).toDF("id", "component")
+    placed = written(classes.join(labels, "id", "left").select("member", "size", "id", F.coalesce("component", "id").alias("component")), "join-labels")
+    known = posted.select("token", "member", "size", "extension").join(placed, ["member", "size"])
+    rest = written(_mixed_lists(known).select("id", "token", "size", "extension", "component"), "join-rest")
+    discard(placed)
     picks = written(_picks(rest), "join-picks")
-    links = links.unionAll(_verified_clusters(texts, picks, k, percent))
-    discard(rest)
-    rest = written(_unsettled(posted, components(links)), "join-rest").join(picks, "id", "left")
-    # What is left: pairs of two components that no cluster has compared, by size and shared shingles.
-    sides = [rest.select("token", *[F.col(c).alias(f"{side}_{c}") for c in ("id", "size", "extension", "component", "picks")]) for side in "xy"]
+    links, left = stars, rest
+    if not picks.isEmpty():
+        links = stars.unionAll(_verified_clusters(texts, picks, k, percent))
+        labels = components(links).toDF("id", "component")
+        known = rest.drop("component").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        left = written(_mixed_lists(known), "join-rest")
+        discard(rest)
+    left = left.join(picks, "id", "left")
+    # What is left: pairs of two labels that no cluster has compared, by size and shared shingles.
+    sides = [left.select("token", *[F.col(c).alias(f"{side}_{c}") for c in ("id", "size", "extension", "component", "picks")]) for side in "xy"]
     close = (
         (F.col("x_id") < F.col("y_id"))
         & (F.col("x_component") != F.col("y_component"))
@@ -221,38 +235,59 @@ def similar_documents(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFra
     shared = sides[0].join(sides[1], "token").where(close).groupBy("x_id", "y_id")
     met = shared.agg(F.count("*").alias("n"), F.min(F.least("x_extension", "y_extension")).alias("e")).where("n >= e")
     more = _verified(texts, met.select(F.col("x_id").alias("a"), F.col("y_id").alias("b")), k, percent)
-    final = components(links.unionAll(more).unionAll(copies))
-    return sets.join(final, sets["doc_id"] == final["node"], "left").select(
-        "doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")
-    )
+    links = links.unionAll(more)
+    if not sets.where("again").isEmpty():  # rows of one doc_id with different texts
+        twice = sets.join(sets.where("again").select("doc_id").distinct(), "doc_id", "left_semi").join(classes, ["member", "size"])
+        links = links.unionAll(twice.groupBy("doc_id").agg(F.min("id").alias("a"), F.collect_set("id").alias("b")).select("a", F.explode("b").alias("b")))
+    final = components(links)
+    placed = classes.join(final, classes["id"] == final["node"], "left").select("member", "size", "n", F.coalesce("component", "id").alias("component_id"))
+    return _spread(sets, placed).select("doc_id", F.col("size").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def _spread(sets: DataFrame, placed: DataFrame) -> DataFrame:
+    """sets with the component_id of their class. A class of more than a 4096th of all rows is broadcast: there are fewer than 4096 of them."""
+    on = ["member", "size"]
+    hot = F.broadcast(placed.where(F.col("n") > F.lit(placed.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"] / HOT)).drop("n"))
+    rows = sets.select("doc_id", *on)
+    few = rows.join(hot, on, "left_anti").join(placed.drop("n"), on, "left")
+    return rows.join(hot, on).select("doc_id", "size", "component_id").unionAll(few.select("doc_id", "size", "component_id"))
+
+
+def _labels(stars: DataFrame) -> DataFrame:
+    """(node, component) of stars (a, b), where b has one leader a: where five steps of leaders' leaders lead to.
+
+    Of two that lead each other the lesser follows no one. Nodes without a leader are left out.
+    """
+    up = stars.groupBy("b").agg(F.min("a").alias("a"))
+    back = up.select(F.col("b").alias("a"), F.col("a").alias("b"), F.lit(True).alias("back"))
+    up = written(up.join(back, ["a", "b"], "left").where("back IS NULL OR b > a").select("b", "a"), "join-leaders")
+    onward = written(up.join(up.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select(F.col("b").alias("top"), F.col("a").alias("next")), "join-leaders")  # leaders' leaders
+    led = up.select(F.col("b").alias("node"), F.col("a").alias("top"))
+    for _ in range(4):
+        led = led.join(onward, "top", "left").select("node", F.coalesce("next", "top").alias("top"))
+    return led.select("node", F.col("top").alias("component"))
 
 
-def _unsettled(posted: DataFrame, found: DataFrame | None) -> DataFrame:
-    """(id, token, size, extension, component) of the lists whose members are not all in one component."""
-    placed = posted.withColumn("component", F.col("id"))
-    if found is not None:
-        placed = posted.join(found.toDF("id", "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = placed.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("token")
-    return placed.join(mixed, "token").select("id", "token", "size", "extension", "component")
+def _mixed_lists(known: DataFrame) -> DataFrame:
+    """The rows of those lists whose members do not all have one label."""
+    dealt = known.repartition("token")  # read twice, computed and shuffled once
+    mixed = dealt.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("token")
+    return dealt.join(mixed, "token")
 
 
-def _stars(rest: DataFrame, percent: int) -> DataFrame:
-    """(a, b): each member b with the leader a that most of its lists name.
+def _stars(posted: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(a, b): each class b with the leader a that most of its lists name, by the least doc_id of either.
 
-    A list's leader in each size band is its member whose lists are the longest together: what
-    copies were made from shares more with them than they share with each other. Members that
-    share too few lists with their leader wait for the clusters and the pairing.
+    A list is led by the member that expects the most candidates: what copies were made from
+    shares more with them than they share with each other. Members that share too few lists
+    with their leader wait for the clusters and the pairing.
     """
-    band = F.floor(F.log(F.col("size")) / F.lit(math.log(4 / 3))).alias("band")
-    lengths = rest.groupBy("token").agg(F.count("*").alias("members"))
-    led = rest.join(lengths, "token").select("*", band)
-    weight = led.groupBy("id").agg(F.sum("members").alias("weight"))
-    weighed = led.join(weight, "id")
-    leaders = weighed.groupBy("token", "band").agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("a"))
-    named = led.join(leaders, ["token", "band"]).where("id <> a").groupBy("id", "size", "extension", "a").agg(F.count("*").alias("n"))
+    led = posted.where("leader <> member OR leader_size <> size").groupBy("member", "size", "extension", "leader", "leader_size").agg(F.count("*").alias("n"))
     enough = F.greatest(F.lit(2), (F.col("size") * (100 - percent) / 100 + F.col("extension")) / 10)
-    best = named.where((F.col("n") >= enough) | (F.col("size") < 20)).groupBy("id").agg(F.max_by("a", F.struct("n", "a")).alias("a"))
-    return best.select("a", F.col("id").alias("b"))
+    best = led.where((F.col("n") >= enough) | (F.col("size") < 20)).groupBy("member", "size").agg(F.max_by(F.struct("leader", "leader_size"), F.struct("n", "leader", "leader_size")).alias("to"))
+    a = classes.select(F.col("member").alias("leader"), F.col("size").alias("leader_size"), F.col("id").alias("a"))
+    named = best.select("member", "size", "to.*").join(a, ["leader", "leader_size"]).join(classes, ["member", "size"])
+    return named.select("a", F.col("id").alias("b")).where("a <> b")
 
 
 def _picks(rest: DataFrame) -> DataFrame:
@@ -280,7 +315,7 @@ def _verified_clusters(docs: DataFrame, picks: DataFrame, k: int, percent: int)
 
 
 def _verify_groups(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by group: a spanning forest of the links inside each group of two blocks."""
+    """Rows sorted by group: what the links inside each group of two blocks join, each tied to its first row."""
     group, ids, sets = None, [], []
     for batch in batches:
         groups, doc_ids = batch["grp"].to_numpy(), batch["doc_id"].to_numpy()
@@ -309,46 +344,73 @@ def _forest(ids: list[int], sets: list[np.ndarray], percent: int) -> pa.RecordBa
             m = np.zeros((n, 4096), np.float32)
             m[doc[lo:hi], token[lo:hi] - at] = 1
             both += m @ m.T
+    both, sizes = np.rint(both).astype(np.int64), sizes.astype(np.int64)
     linked = (100 * both >= percent * (sizes[:, None] + sizes[None] - both)) & (both > 0)
-    parent = list(range(n))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    a, b = [], []
-    for i, j in np.argwhere(np.triu(linked, 1)):
-        x, y = root(i), root(j)
-        if x != y:
-            parent[y] = x
-            a.append(ids[i])
-            b.append(ids[j])
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-
-_LISTS = "token long, member long, size int, extension int, doc_id long"
+    linked |= np.eye(n, dtype=bool)
+    first = np.arange(n)
+    while n:  # the least row that links lead to
+        after = np.where(linked, first[None], n).min(axis=1)
+        after = after[after]
+        if (after == first).all():
+            break
+        first = after
+    ids = np.array(ids, dtype=np.int64)
+    tied = np.flatnonzero(first != np.arange(n))
+    return pa.RecordBatch.from_arrays([pa.array(ids[first[tied]]), pa.array(ids[tied])], names=["a", "b"])
+
+
+_LISTS = "token long, member long, size int, extension int, doc_id long, leader long, leader_size int"
+
+
+def _leaders(token: np.ndarray, member: np.ndarray, size: np.ndarray, carried: tuple) -> tuple[np.ndarray, np.ndarray, tuple]:
+    """Of rows sorted by list, the first member of each size band leads. carried: the last list of the rows before and its leaders by band."""
+    band = (np.log(size) / math.log(4 / 3)).astype(np.int64)
+    run = np.cumsum(np.append(False, token[1:] != token[:-1]))
+    _, first, of = np.unique(run << 8 | band, return_index=True, return_inverse=True)
+    leader, leader_size = member[first][of], size[first][of]
+    last, by_band = carried
+    if last == int(token[0]):
+        for b, (m, n) in by_band.items():
+            here = (run == 0) & (band == b)
+            leader[here], leader_size[here] = m, n
+    else:
+        by_band = {}
+    if run[-1] > 0:
+        by_band = {}
+    for i in first[run[first] == run[-1]].tolist():
+        by_band.setdefault(int(band[i]), (int(leader[i]), int(leader_size[i])))
+    return leader, leader_size, (int(token[-1]), by_band)
 
 
 def _shared_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents as they are; of the sorted lists, those with at least two sets, each set once."""
-    last, shared = None, SharedStream()
+    """Documents (extension 1: another set of this doc_id came before); of the sorted lists, those with at least two sets, each set once and with its leader."""
+    last, last_doc, shared, carried = None, None, SharedStream(), (None, {})
     for batch in batches:
         listed = batch["listed"].to_numpy(zero_copy_only=False)
         docs = np.flatnonzero(~listed)
         if len(docs):
             d = batch.take(pa.array(docs))
-            yield _list_rows(pa.nulls(len(docs), pa.int64()), d["member"], d["size"], d["extension"], d["doc_id"])
+            ids, sets = d["doc_id"].to_numpy(), d["member"].to_numpy()
+            again = np.append(last_doc is not None and ids[0] == last_doc[0] and sets[0] != last_doc[1], (ids[1:] == ids[:-1]) & (sets[1:] != sets[:-1]))
+            last_doc = (int(ids[-1]), int(sets[-1]))
+            size = d["packed"].to_numpy() >> 8 & 0xFFFFFFFF
+            none = pa.nulls(len(docs), pa.int64())
+            yield _list_rows(none, d["member"], pa.array(size.astype(np.int32)), pa.array(again.astype(np.int32)), d["doc_id"], none, none.cast(pa.int32()))
         rows = np.flatnonzero(listed)
         if not len(rows):
             continue
-        key, member, size, ext = (batch[c].to_numpy(zero_copy_only=False)[rows].astype(np.int64) for c in ("key", "member", "size", "extension"))
-        again = np.append(last == (int(key[0]), int(member[0]), int(size[0])), (key[1:] == key[:-1]) & (member[1:] == member[:-1]) & (size[1:] == size[:-1]))
-        last = (int(key[-1]), int(member[-1]), int(size[-1]))
-        key, member, size, ext = shared.step(key[~again], tuple(x[~again] for x in (key, member, size, ext)))
+        key, member, packed = (batch[c].to_numpy(zero_copy_only=False)[rows].astype(np.int64) for c in ("key", "member", "packed"))
+        again = np.append(last == (int(key[0]), int(member[0]), int(packed[0])), (key[1:] == key[:-1]) & (member[1:] == member[:-1]) & (packed[1:] == packed[:-1]))
+        last = (int(key[-1]), int(member[-1]), int(packed[-1]))
+        key, member, packed = (x[~again] for x in (key, member, packed))
+        if not len(key):
+            continue
+        size, ext = packed >> 8 & 0xFFFFFFFF, packed & 0xFF
+        leader, leader_size, carried = _leaders(key, member, size, carried)
+        key, member, size, ext, leader, leader_size = shared.step(key, (key, member, size, ext, leader, leader_size))
         if len(key):
-            yield _list_rows(pa.array(key), pa.array(member), pa.array(size.astype(np.int32)), pa.array(ext.astype(np.int32)), pa.nulls(len(key), pa.int64()))
+            small = lambda x: pa.array(x.astype(np.int32))
+            yield _list_rows(pa.array(key), pa.array(member), small(size), small(ext), pa.nulls(len(key), pa.int64()), pa.array(leader), small(leader_size))
 
 
 def _list_rows(*columns) -> pa.RecordBatch:
