@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark import functions as fn
-from tidemark.operators import association, baseline, clock, coverage, daily, identity, joins, period, weight
+from tidemark.operators import association, baseline, clock, coverage, daily, identity, joins, night, payload, period, revision, weight
 
 D0 = dt.date(2026, 1, 1)
 
@@ -156,3 +156,50 @@ def test_scalar_functions(spark):
     assert [r["d"] for r in rows] == [1.5, None, -3.25, None]
     assert [r["kg"] for r in rows] == [0.90718474, 2.0, None, None]
     assert spark.range(1).select(fn.signed_circular(F.lit(10.0), F.lit(1430.0)).alias("x")).first()["x"] == 20.0
+
+
+def test_smoothing_over_many_years(spark):
+    """Powers of the age stay in range, however long the series."""
+    rows = [("g", dt.date(1950, 1, 1), 80.0), ("g", dt.date(1990, 1, 1), 90.0), ("g", dt.date(1990, 1, 22), 70.0), ("g", dt.date(2015, 1, 1), 60.0), ("g", dt.date(2015, 1, 22), 62.0)]
+    got = [r["trend"] for r in weight.smoothed(spark.createDataFrame(rows, "grp string, day date, value double"), ["grp"]).orderBy("day").collect()]
+    assert got == pytest.approx([80.0, 90.0, 80.0, 60.0, 61.0])
+
+
+def test_intervals_overlap_across_buckets(spark):
+    t = dt.datetime(2026, 1, 1, 23, 30)
+    h = lambda m: t + dt.timedelta(minutes=m)
+    rows = [(1, "u", h(0), h(120)), (2, "u", h(60), h(180)), (3, "u", h(120), h(130)), (4, "u", h(119), h(121)), (5, "v", h(0), h(120)), (6, "u", h(-60), h(0))]
+    df = spark.createDataFrame(rows, "id int, k string, s timestamp, e timestamp")
+    got = sorted((r["left_id"], r["right_id"]) for r in joins.overlapping(df, df, ["k"], 7200).where("left_id < right_id").collect())
+    assert got == [(1, 2), (1, 4), (2, 3), (2, 4), (3, 4)]
+
+
+def test_canonical_selection_ranks_by_revision_and_time_never_by_value(spark):
+    base = {"metric": "weight", "semantic_key": "k", "confirmed": True, "current": True, "grp": None, "derived": False, "inputs": 0, "version": None, "revision": 1, "ts": None, "day": day(0), "value": 1.0}
+    rows = [base | {"evidence_id": "a", "value": 99.0}, base | {"evidence_id": "b", "revision": 2}, base | {"evidence_id": "c", "revision": 3, "confirmed": False}, base | {"evidence_id": "d", "revision": 4, "derived": True}, base | {"evidence_id": "e", "metric": "body_fat", "grp": "other"}]
+    schema = "metric string, semantic_key string, confirmed boolean, current boolean, grp string, derived boolean, inputs int, version string, revision int, ts timestamp, day date, value double, evidence_id string"
+    df = spark.createDataFrame([tuple(r[c.split()[0]] for c in schema.split(", ")) for r in rows], schema)
+    got = {r["evidence_id"]: r["outcome"] for r in identity.canonical(df, ["body_fat"], "mine", "v1").collect()}
+    assert got == {"a": "competing_evidence", "b": "selected", "c": "not_confirmed", "d": "missing_input_evidence", "e": "incompatible_algorithm_group"}
+
+
+def test_nights_prefer_the_marked_main_session_and_never_guess(spark):
+    s = "k string, day date, status string, role string, duration double, id int"
+    rows = [("a", day(0), "ok", "main", 8.0, 1), ("a", day(0), "ok", "uncertain", 7.0, 2), ("a", day(1), "ok", "uncertain", 7.0, 3), ("a", day(2), "ok", "uncertain", 7.0, 4), ("a", day(2), "ok", "uncertain", 6.0, 5), ("a", day(3), "ok", "nap", 1.0, 6), ("a", None, "ok", "main", 1.0, 7), ("a", day(4), "retired", "main", 1.0, 8)]
+    got = {r["id"]: r["outcome"] for r in night.resolve_nights(spark.createDataFrame(rows, s), ["k"]).collect()}
+    assert got == {1: "selected", 2: "not_main", 3: "selected", 4: "ambiguous_night", 5: "ambiguous_night", 6: "nap", 7: "missing_wake_date", 8: "retired"}
+
+
+def test_payload_states(spark):
+    spec = payload.Spec("hr", ("heartRate", "hr.value"), "number", "bpm")
+    texts = ['{"heartRate": 0}', '{"heartRate": null, "hr": {"value": 5}}', '{"hr": {"value": 5.5}}', '{"heartRate": true}', '{"heartRate": "5"}', '{"heartRate": {}}', "{}", "nonsense", None]
+    got = [(r["state"], r["number"], r["reason"]) for r in payload.normalize(spark.createDataFrame(list(enumerate(texts)), "id int, t string"), ["id"], "t", [spec]).orderBy("id").collect()]
+    assert got == [("value", 0.0, None), ("null", None, None), ("value", 5.5, None), ("invalid", None, "boolean_not_numeric"), ("invalid", None, "numeric_string_not_coerced"), ("invalid", None, "shape_drift"), *[("missing", None, None)] * 3]
+
+
+def test_revisions_follow_the_provider_time(spark):
+    now = spark.createDataFrame([(1, 5, 1, "a"), (2, 5, 1, "b"), (3, 5, 1, "c"), (4, None, 1, "d"), (5, 5, 1, "e"), (7, 5, 1, "g")], "id int, updated int, interval int, v string")
+    new = spark.createDataFrame([(1, 4, 1, "x"), (2, 6, 2, "y"), (3, 5, 1, "z"), (4, 1, 1, "w"), (5, 5, 2, "v"), (6, None, 1, "n"), (7, None, 1, "q")], "id int, updated int, interval int, v string")
+    got = {r["id"]: (r["v"], r["outcome"]) for r in revision.by_provider_time(now, new, "id", ["v"], "unless_moved").collect()}
+    assert got == {1: ("a", "kept"), 2: ("y", "revised"), 3: ("z", "revised"), 4: ("w", "revised"), 5: ("e", "kept"), 6: ("n", "inserted"), 7: ("g", "kept")}
+    assert {r["id"]: r["outcome"] for r in revision.by_provider_time(now, new, "id", ["v"], "invalid").collect()}[3] == "invalid"

@@ -388,7 +388,7 @@ def d4_idempotency_key(spark, sf):
     return adapters.measurements(spark, sf).groupBy(idempotency_key(F.col("user_id"), F.col("event_type"), F.col("day")).alias("key")).agg(F.count("*").alias("n"))
 
 
-@query()
+@query("""SELECT event_id, sha256('{"k":' || CAST(json_extract_string(props, '$.k') AS INT) || '}') AS hash FROM events""")
 def d2_canonical_json_hash(spark, sf):
     return load(spark, sf, "events").select("event_id", manifest_hash(F.col("props")).alias("hash"))
 
@@ -490,3 +490,8 @@ def x13_session_windows(spark, sf):
 def x12_sliding_windows(spark, sf):
     w = F.window("ts", "7 days", "1 day")
     return rounded(load(spark, sf, "events").groupBy(w.alias("w")).agg(F.count("*").alias("n"), F.avg("value").alias("mean")).select(F.col("w.start").alias("start"), "n", "mean"), 3)
+
+
+@query("""SELECT user_id, ts::DATE AS day, count(*) AS pages FROM events GROUP BY 1, 2 HAVING max(hour(ts)) = 23""", dates="day")
+def x6_closed_days_stream(spark, sf):
+    return pipelines.closed_days(spark, sf)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,3 +36,19 @@ def build_session(cpus: int | str | None = None, shuffle_partitions: int = 8) ->
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """One table of a data folder; the path may be any URI that Spark's readers open."""
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which the driver and all executors share.
+
+    Where that is unset, a local session gets a folder of its own; any other master is refused,
+    as its executors could not see one.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="tidemark-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")

@@ -1,11 +1,8 @@
-"""Sources and sinks: content-addressed originals, landed JSON, paged providers, evidence export, keyed merges."""
+"""Sources and sinks: content-addressed originals, landed JSON, page chains, evidence export, keyed merges."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 #: Leading bytes of media types (fixed values).
 MAGIC = {"image/png": "89504e470d0a1a0a", "image/jpeg": "ffd8ff", "application/pdf": "255044462d", "application/gzip": "1f8b"}
@@ -60,38 +57,11 @@ def first_present(payload: Column, paths: list[str], kind: str = "double") -> Co
     return out
 
 
-class _Page(InputPartition):
-    def __init__(self, number: int):
-        self.number = number
-
-
-class PagedReader(DataSourceReader):
-    """One partition for each page; a short page is the last, pages after it are empty."""
-
-    def __init__(self, options: dict):
-        self.total, self.size, self.pages = int(options["total"]), int(options.get("pageSize", 20)), int(options.get("maxPages", 5))
-
-    def partitions(self) -> list[InputPartition]:
-        return [_Page(i) for i in range(self.pages)]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        start = partition.number * self.size
-        for i in range(start, min(start + self.size, self.total)):
-            yield i, partition.number, start + self.size > self.total
-
-
-class PagedProvider(DataSource):
-    """A provider read page by page (spark.dataSource.register): options total, pageSize, maxPages stand for its answers."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "paged_provider"
-
-    def schema(self) -> str:
-        return "item long, page int, terminal boolean"
-
-    def reader(self, schema) -> DataSourceReader:
-        return PagedReader(self.options)
+def page_chains(pages: DataFrame, keys: list[str]) -> DataFrame:
+    """Of landed pages (page, terminal) those chains that are whole: numbered from 0 without a hole and ended by the one terminal page; else why not."""
+    n, last = F.count("*"), F.max("page")
+    reason = F.when((F.min("page") != 0) | (F.count_distinct("page") != last + 1), "missing_page").when(n != last + 1, "repeated_page").when(F.count_if(F.col("terminal")) != 1, "no_single_terminal").when(~F.max_by("terminal", "page"), "page_after_terminal")
+    return pages.groupBy(*keys).agg(n.alias("pages"), reason.alias("reason"))
 
 
 def export_evidence(df: DataFrame, path: str, max_bytes: int = 4 << 20) -> int:

@@ -2,25 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.operators.identity import newest_wins
+from tidemark.session import shared_dir
 
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; one of our own only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def landed(spark: SparkSession, sf_dir: str, table: str = "events", schema: str = EVENTS) -> DataFrame:
     """A stream over a table of a data folder: its one file or its folder of files."""
     return spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/{table}.parquet")
@@ -51,17 +41,36 @@ def tumbling(spark: SparkSession, sf_dir: str, width: str = "1 day", late: str =
     return spark.read.parquet(f"{path}/out")
 
 
-def latest_by_key(spark: SparkSession, sf_dir: str, key: str = "user_id") -> DataFrame:
-    """The newest row of each key, merged batch by batch into a new version of the table; older receipts never roll back."""
-    path = f"{shared_dir(spark)}/latest_{uuid.uuid4().hex}"
-    versions: list[str] = []
+def latest_by_key(spark: SparkSession, sf_dir: str, key: str = "user_id", path: str | None = None) -> DataFrame:
+    """The newest row of each key; older receipts never roll back.
+
+    The state store holds one row a key. A batch writes only the keys that it changed, under its
+    own number, so a repeated batch replaces itself and nothing is rewritten; a run with the
+    same path goes on where the last one ended.
+    """
+    path = path or f"{shared_dir(spark)}/latest_{uuid.uuid4().hex}"
+    newest = landed(spark, sf_dir).groupBy(key).agg(F.max(F.struct("ts", "event_id")).alias("m"))
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.select(key, "m.event_id", "m.ts").write.mode("overwrite").parquet(f"{path}/out/batch={number}")
+
+    _drain(newest.writeStream.outputMode("update").foreachBatch(keep), path)
+    changes = spark.read.schema(f"{key} long, event_id long, ts timestamp, batch int").parquet(f"{path}/out")
+    return changes.groupBy(key).agg(F.max_by(F.struct("event_id", "ts"), "batch").alias("m")).select(key, "m.*")
 
-    def merge(batch: DataFrame, number: int) -> None:
-        rows = batch.select(key, "event_id", "ts")
-        if versions:
-            rows = rows.unionByName(spark.read.parquet(versions[-1]))
-        newest_wins(rows, [key], "ts", "event_id").write.mode("overwrite").parquet(f"{path}/v{number}")
-        versions.append(f"{path}/v{number}")
 
-    _drain(landed(spark, sf_dir).writeStream.foreachBatch(merge), path)
-    return spark.read.parquet(versions[-1]) if versions else spark.createDataFrame([], f"{key} long, event_id long, ts timestamp")
+def closed_days(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    """(user_id, day, pages) of the days that a stream of pages has closed; a day that is still open shows nothing.
+
+    The page of a day's last hour is its terminal one. Counts live in the state store, so late
+    pages of a day add to it.
+    """
+    path = path or f"{shared_dir(spark)}/days_{uuid.uuid4().hex}"
+    pages = landed(spark, sf_dir).select("user_id", F.to_date("ts").alias("day"), (F.hour("ts") == 23).alias("terminal"))
+    days = pages.groupBy("user_id", "day").agg(F.count("*").alias("pages"), F.bool_or("terminal").alias("closed"))
+
+    def replace(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/out")
+
+    _drain(days.writeStream.outputMode("complete").foreachBatch(replace), path)
+    return spark.read.parquet(f"{path}/out").where("closed").select("user_id", "day", "pages")
