@@ -1,19 +1,26 @@
-"""Sharding: best-fit-decreasing packing of indivisible groups of equal texts.
-
-Groups above a share of all bytes are items of their own; all smaller ones are gathered by
-hash into BUNDLES items of many whole groups. Both kinds are bounded in number whatever the
-input, so the packing itself, one sequential pass through a balanced tree of remaining
-capacities, works on a few thousand items. Slots are a prefix sum over cells (an item, or a
-hash slice of a large one), not a window over a whole shard.
+"""Sharding: best-fit-decreasing packing of indivisible groups of equal texts, in two levels.
+
+Every group is packed by the same rule. Groups are dealt over tasks by hash; each task sorts
+its own by size, largest first, and puts each into the tightest remaining capacity of its bins,
+which a balanced tree holds. A bin holds a small part of a shard (a group above that is a bin
+of its own), so the bins of all tasks are at most some thousands, and those the driver packs
+into the shards, by the same rule. Slots are prefix sums: over the bins of a shard on the
+driver, over the groups of a bin in its task, over SLICES hash slices of a group, and a rank
+inside a slice, so no task holds a shard, a bin or a large group.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tidemark.llm._common import text_or_empty, written
+from tidemark.llm._common import partitions, text_or_empty, written
 
-BUNDLES = 4096
+PARTS = 4096  # bins of the first level for each whole input, at least; with a capacity, 64 for each shard
+MOST_PARTS = 1 << 18  # bins of the first level that the driver packs, unless more shards than that are asked for
 SLICES = 64
 
 
@@ -79,64 +86,103 @@ def best_fit_decreasing(sizes: dict, capacity: int, bins: int | None = None) ->
     return out
 
 
-def pack_into(sizes: dict, bins: int) -> dict:
-    """item -> bin 0..bins-1 for the least capacity, found by bisection, at which best fit needs no more bins."""
+def pack_into(sizes: dict, bins: int, steps: int = 14) -> dict:
+    """item -> bin 0..bins-1 at the least capacity that `steps` bisections find at which best fit needs no more bins.
+
+    The mean plus the largest item always suffices: were an item left over, all bins would hold
+    more than the mean.
+    """
     if not sizes:
         return {}
-    low, high = max(-(-sum(sizes.values()) // bins), max(sizes.values())), sum(sizes.values())
-    best = best_fit_decreasing(sizes, high, bins)
-    while low < high:
+    mean, largest = -(-sum(sizes.values()) // bins), max(sizes.values())
+    low, high = max(mean, largest), mean + largest
+    best = None
+    for _ in range(steps):
+        if low >= high:
+            break
         middle = (low + high) // 2
         found = best_fit_decreasing(sizes, middle, bins)
         if found is None:
             low = middle + 1
         else:
             best, high = found, middle
-    return best_fit_decreasing(sizes, low, bins) or best
+    return best if best is not None else best_fit_decreasing(sizes, high, bins)
+
+
+_PACKED = "g1 long, g2 long, item long, start long"
+
+
+def _pack_groups(batches: Iterator[pa.RecordBatch], capacity: int) -> Iterator[pa.RecordBatch]:
+    """First level, over the rows (g1, g2, bytes, n) of one task, largest first: their bin and the rows of the bin before them."""
+    tree, opened = CapacityTree(), 0
+    first = TaskContext.get().partitionId() << 32
+    filled: dict[int, int] = {}  # rows in each bin that is still open
+    for batch in batches:
+        items, starts = [], []
+        for size, n in zip(batch["bytes"].to_pylist(), batch["n"].to_pylist(), strict=True):
+            found = tree.take(size)
+            if found is None:
+                found, opened = (max(capacity, size), opened), opened + 1
+            left, at = found[0] - size, found[1]
+            items.append(first + at)
+            starts.append(filled.get(at, 0))
+            if left > 0:
+                tree.insert((left, at))
+                filled[at] = starts[-1] + n
+            else:
+                filled.pop(at, None)
+        yield pa.RecordBatch.from_arrays([batch["g1"], batch["g2"], pa.array(items, pa.int64()), pa.array(starts, pa.int64())], names=["g1", "g2", "item", "start"])
 
 
 def shard(docs: DataFrame, shards: int | None = 8, capacity: int | None = None) -> DataFrame:
     """docs with size, shard and slot; rows of equal text never part.
 
-    Give shards for that many of nearly equal size, or capacity for the fewest shards of that
-    many bytes (a bundle above it, like a group above it, has a shard of its own; the number
-    of bundles follows the capacity, so this only concerns groups). Size is the text's UTF-8
-    bytes plus one; null text has no bytes and goes with empty texts. Slots run from 0 without
-    gaps in each shard. Null and repeated doc_id are rows like any other. Extra columns stay,
-    but for the names of the results and of the packing (size, shard, slot, g1, g2, item,
-    part, rank, start).
+    Give shards for that many of nearly equal size, or capacity for shards of at most that many
+    bytes, as few as the packing finds (a group above it has a shard of its own). Size is the
+    text's UTF-8 bytes plus one; null text has no bytes and goes with empty texts. Slots run
+    from 0 without gaps in each shard. Null and repeated doc_id are rows like any other. Extra
+    columns stay, but for those named size, shard or slot, which the results replace.
     """
     spark = docs.sparkSession
-    taken = [c for c in docs.columns if c in {"size", "shard", "slot", "g1", "g2", "item", "part", "rank", "start"}]
-    text = text_or_empty()
-    base = docs.drop(*taken)
-    keys = docs.select(*_keys(text))
-    total = keys.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()["n"]
-    bundles = BUNDLES if capacity is None else max(BUNDLES, min(1 << 18, 64 * (total // max(capacity, 1) + 1)))
-    large = max(1, total // bundles)
-    groups = keys.groupBy("g1", "g2").agg(F.sum("size").alias("bytes"))
-    # Bounded: fewer than `bundles` groups can each hold more than 1 / bundles of all bytes.
-    big = written(groups.where(F.col("bytes") > large), "shard-big")
-    item = F.when(F.col("bytes").isNotNull(), F.col("g1").cast("string")).otherwise(F.pmod(F.col("g1"), F.lit(bundles)).cast("string"))
-    part = F.when(F.col("bytes").isNotNull(), F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(SLICES))).otherwise(F.lit(0))
-
-    def placed(df: DataFrame) -> DataFrame:
-        return df.join(F.broadcast(big), ["g1", "g2"], "left").withColumns({"item": item, "part": part}).drop("bytes")
-
-    cells = written(placed(docs.select("doc_id", *_keys(text))).groupBy("item", "part").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")), "shard-cells")
-    sizes = {r["item"]: r["bytes"] for r in cells.groupBy("item").agg(F.sum("bytes").alias("bytes")).toLocalIterator()}
-    bins = best_fit_decreasing(sizes, capacity) if capacity is not None else pack_into(sizes, shards)
-    where = spark.createDataFrame(list(bins.items()), "item string, shard int")
-    order = Window.partitionBy("shard").orderBy("item", "part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = cells.join(F.broadcast(where), "item").withColumn("start", F.coalesce(F.sum("n").over(order), F.lit(0))).select("item", "part", "shard", "start")
-    within = Window.partitionBy("item", "part").orderBy("doc_id", "g1")
+    base = docs.drop(*[c for c in docs.columns if c in {"size", "shard", "slot"}])
+    own = {f"tidemark_{c}": x for c, x in _keys(spark).items()}
+    # rows of each slice of each group
+    slices = docs.select(*(x.alias(c) for c, x in _keys(spark).items())).groupBy("g1", "g2", "part").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    slices = written(slices, "shard-slices")
+    total = slices.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("n")).first()["n"]
+    bin_size = max(1, total // PARTS) if capacity is None else min(capacity, max(capacity // 64, total // MOST_PARTS, 1))
+    groups = slices.groupBy("g1", "g2").agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("n"))
+    dealt = groups.repartition("g1").sortWithinPartitions(F.desc("bytes"), "g1", "g2")
+    packed = written(dealt.mapInArrow(lambda x: _pack_groups(x, bin_size), _PACKED).join(groups, ["g1", "g2"]), "shard-groups")
+    bins = packed.groupBy("item").agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("n"))
+    found = {r["item"]: (r["bytes"], r["n"]) for r in bins.toLocalIterator()}  # two for each full part, one for each task
+    sizes = {item: x[0] for item, x in found.items()}
+    where = best_fit_decreasing(sizes, capacity) if capacity is not None else pack_into(sizes, shards)
+    before: dict[int, int] = {}
+    placed = []
+    for item in sorted(where):
+        placed.append((item, where[item], before.get(where[item], 0)))
+        before[where[item]] = placed[-1][2] + found[item][1]
+    bins = spark.createDataFrame(placed, "item long, shard int, first long")
+    order = Window.partitionBy("g1", "g2").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = slices.withColumn("inside", F.coalesce(F.sum("n").over(order), F.lit(0))).join(packed.drop("n", "bytes"), ["g1", "g2"]).join(F.broadcast(bins), "item")
+    starts = starts.select(*(F.col(c).alias(f"tidemark_{c}") for c in ("g1", "g2", "part")), "shard", (F.col("first") + F.col("start") + F.col("inside")).alias("tidemark_start"))
+    cell = ["tidemark_g1", "tidemark_g2", "tidemark_part"]
+    rank = F.row_number().over(Window.partitionBy(*cell).orderBy("doc_id")) - 1
     return (
-        placed(base.select("*", *_keys(text)))
-        .withColumn("rank", F.row_number().over(within) - 1)
-        .join(F.broadcast(starts), ["item", "part"])
-        .select(*base.columns, "size", "shard", (F.col("start") + F.col("rank")).cast("long").alias("slot"))
+        base.select("*", *(x.alias(c) for c, x in own.items()))
+        .withColumn("tidemark_rank", rank)
+        .join(starts, cell)
+        .select(*(F.col(f"`{c}`") for c in base.columns), F.col("tidemark_size").alias("size"), "shard", (F.col("tidemark_start") + F.col("tidemark_rank")).cast("long").alias("slot"))
     )
 
 
-def _keys(text):
-    return F.xxhash64(text).alias("g1"), F.xxhash64(F.lit(7), text).alias("g2"), (F.octet_length(text) + F.lit(1)).cast("long").alias("size")
+def _keys(spark) -> dict:
+    """g1 and g2 name a group of equal texts, part is a slice of it by doc_id; size."""
+    text = text_or_empty()
+    return {
+        "g1": F.xxhash64(text),
+        "g2": F.xxhash64(F.lit(7), text),
+        "part": F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(max(SLICES, partitions(spark)))).cast("int"),
+        "size": (F.octet_length(text) + F.lit(1)).cast("long"),
+    }
