@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 
 from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tidemark.session import shared_dir
+
 #: [\x20\x09-\x0D]: the whitespace of the word and line rules (fixed values).
 WHITESPACE = " \t\n\x0b\x0c\r"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -17,20 +18,9 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _folders: set[str] = set()
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """This application's folder in the cluster's shared checkpoint folder (spark.checkpoint.dir).
-
-    Where that is unset, a local session gets a folder of its own; any other master is refused,
-    as its executors could not see one. The folder is removed when the driver ends.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        master = spark.conf.get("spark.master", "")
-        if master != "local" and not master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    folder = f"{found.rstrip('/')}/tidemark-{spark.conf.get('spark.app.id')}"
+def run_dir(spark: SparkSession) -> str:
+    """This application's folder in the cluster's shared folder; it is removed when the driver ends."""
+    folder = f"{shared_dir(spark)}/tidemark-{spark.conf.get('spark.app.id')}"
     if folder not in _folders:
         _folders.add(folder)
         atexit.register(_delete_at_exit, spark._jvm, spark._jsparkSession.sessionState().newHadoopConf(), folder)
@@ -56,7 +46,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     replaces them.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
