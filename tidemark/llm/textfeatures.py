@@ -37,6 +37,28 @@ def word_prefixes(c: Chunk, hashes: RangeHash, sizes: tuple[int, ...]) -> list[F
     return out
 
 
+def fold_latin(c: Chunk) -> Chunk:
+    """The chunk with the upper-case letters of Latin-1 beyond ASCII in lower case, as their two UTF-8 bytes allow; ASCII is left to the hashes."""
+    lead = np.append(np.uint8(0), c.data[:-1]) == 0xC3
+    upper = lead & (c.data >= 0x80) & (c.data <= 0x9E) & (c.data != 0x97)
+    return Chunk(c.first, c.data + (upper * np.uint8(0x20)), c.bounds)
+
+
+def repeated(feature: Feature, n: int, times: tuple[int, ...]) -> list[Feature]:
+    """For each of times: the features that occur that often in a document, each once, under a hash of their own."""
+    hashes, bounds = feature
+    doc = np.repeat(np.arange(n), np.diff(bounds))
+    order = np.lexsort((hashes, doc))
+    h, doc = hashes[order], doc[order]
+    start = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]))) if len(h) else np.zeros(0, np.int64)
+    count = np.diff(np.append(start, len(h)))
+    out = []
+    for k in times:
+        keep = start[count >= k]
+        out.append((mix(h[keep] + _U(77 + k)), np.searchsorted(doc[keep], np.arange(n + 1))))
+    return out
+
+
 def sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """The sum of values in each document."""
     total = np.append(0.0, np.cumsum(values, dtype=np.float64))

@@ -1,8 +1,10 @@
 """Toxicity: non-negative positive-unlabelled learning over hashed word features.
 
 Confirmed toxic texts are the positives, a bounded sample of any texts is the unlabelled set.
-Features that occur in the two at rates that differ by FEATURE_Z standard errors are kept, at
-most FEATURES of them. A linear classifier minimises the class-prior-corrected risk
+Features are words, their first letters (also where several words of a text begin alike) and
+character n-grams, without regard to case. Those that occur in the two at rates that differ by
+FEATURE_Z standard errors are kept, at most FEATURES of them; the decay of the weights, not the
+cut, keeps chance ones down, so that a few dozen positives suffice. A linear classifier minimises the class-prior-corrected risk
 prior * E_p[l(g)] + max(0, E_u[l(-g)] - prior * E_p[l(-g)]) with the logistic loss; when the
 second part turns negative, its gradient is walked back instead. One task trains; scoring
 looks features up in a small table and counts each once per document.
@@ -21,20 +23,24 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm._common import text_or_empty
 from tidemark.llm.textbytes import Chunk, RangeHash, chunks
-from tidemark.llm.textfeatures import char_grams, word_features, word_prefixes
+from tidemark.llm.textfeatures import char_grams, fold_latin, repeated, word_features, word_prefixes
 
 BITS = 20
 PREFIXES = (4, 5, 6)
 GRAM = 5
 FEATURES = 2048
-FEATURE_Z = 4.5
+FEATURE_Z = 3.0
+REPEATS = (2, 3)  # words of a text that begin alike
 _SHIFT = np.uint64(64 - BITS)
 
 
 def buckets(c: Chunk) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each kind: bucket numbers and bounds by document."""
+    c = fold_latin(c)
     hashes = RangeHash(c.data, 5, lower=True)
-    kinds = [word_features(c, lower=True)[0], *word_prefixes(c, hashes, PREFIXES), char_grams(c, hashes, GRAM)]
+    prefixes = word_prefixes(c, hashes, PREFIXES)
+    kinds = [word_features(c, lower=True)[0], *prefixes, char_grams(c, hashes, GRAM)]
+    kinds += [f for p in prefixes[:2] for f in repeated(p, c.n, REPEATS)]
     return [((h >> _SHIFT).astype(np.int64), bounds) for h, bounds in kinds]
 
 
@@ -57,7 +63,7 @@ def present(c: Chunk, column: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return code // max(n, 1), code % max(n, 1)
 
 
-def nnpu(x: np.ndarray, positive: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+def nnpu(x: np.ndarray, positive: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-3) -> tuple[np.ndarray, float]:
     """Weights and bias by full-batch Adam on the non-negative risk. x: float32 rows, positive: which of them are confirmed."""
     w, b = np.zeros(x.shape[1], np.float32), np.float32(np.log(prior / (1 - prior)))
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
