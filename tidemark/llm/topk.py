@@ -3,7 +3,10 @@
 Vectors are dealt by hash into blocks of bounded size, queries likewise; each pair of blocks is
 one group of a cogroup, in which every dimension's list is sorted once and each query walks
 its lists in parallel, scoring what it meets and stopping when no unseen vector can reach its
-kth score. The k best of each block then meet in a ranked window (pruned before the shuffle).
+kth score. A first search of one data block for each query block gives every query a kth score
+to start from, which it carries to all other blocks: a block whose lists begin below it is left
+at once, and only what reaches it comes back. The k best of each block then meet in a ranked
+window (pruned before the shuffle).
 """
 
 from __future__ import annotations
@@ -11,11 +14,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-DATA_BLOCK = 4096
-QUERY_BLOCK = 1024
+from tidemark.llm._common import written
+
+DATA_BLOCK = 1 << 14
+QUERY_BLOCK = 1 << 12
 FOUND = "query_id long, vec_id long, score long"
 
 
@@ -30,20 +35,23 @@ def usable(column: str = "embedding") -> Column:
     return F.col(column).isNotNull() & (F.size(column) > 0) & F.coalesce(finite, F.lit(False))
 
 
-def threshold_search(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def threshold_search(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, floors: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(query id, vector ids, scores) of the k best rows of a block for each query; ties to the smaller id, the query's own id left out.
 
-    vectors and queries hold whole numbers as float64, exact below 2**53.
+    floors: a score for each query below which nothing is wanted. vectors and queries hold whole
+    numbers as float64, exact below 2**53.
     """
     n, dims = vectors.shape
     order = np.argsort(vectors, axis=0, kind="stable")
     lists = np.take_along_axis(vectors, order, axis=0)
-    for qid, q in zip(query_ids, queries, strict=True):
+    for qid, q, floor in zip(query_ids, queries, floors if floors is not None else np.full(len(query_ids), -np.inf), strict=True):
         up, down = np.flatnonzero(q > 0), np.flatnonzero(q < 0)
         seen = np.zeros(n, dtype=bool)
         best_ids, best = np.zeros(0, dtype=np.int64), np.zeros(0)
         depth, step = 0, 32
         while depth < n:
+            if depth == 0 and q[up] @ lists[-1, up] + q[down] @ lists[0, down] < floor:
+                break
             to = min(n, depth + step)
             met = np.zeros(n, dtype=bool)
             met[order[n - to : n - depth, up].ravel()] = True
@@ -62,8 +70,10 @@ def threshold_search(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray
                     best_ids, best = best_ids[top], best[top]
             depth, step = to, step * 4
             bound = q[up] @ lists[n - depth, up] + q[down] @ lists[depth - 1, down]
-            if len(best) >= k and bound < best.min():
+            if bound < floor or (len(best) >= k and bound < best.min()):
                 break
+        kept = best >= floor
+        best_ids, best = best_ids[kept], best[kept]
         at = np.lexsort((best_ids, -best))
         yield int(qid), best_ids[at], best[at]
 
@@ -82,26 +92,36 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_column: str =
     m = asked.count()
     data_blocks, query_blocks = max(1, -(-n // DATA_BLOCK)), max(1, -(-m // QUERY_BLOCK))
 
-    def dealt(df: DataFrame, own: str, own_n: int, other: str, other_n: int) -> DataFrame:
+    def dealt(df: DataFrame, own: str, own_n: int, other: str, other_n: int, *more: Column) -> DataFrame:
         return df.select(
-            "vec_id", "v", F.size("v").alias("dims"), F.pmod(F.xxhash64("vec_id"), F.lit(own_n)).cast("int").alias(own),
+            "vec_id", "v", *more, F.size("v").alias("dims"), F.pmod(F.xxhash64("vec_id"), F.lit(own_n)).cast("int").alias(own),
             F.explode(F.sequence(F.lit(0), F.lit(other_n - 1))).alias(other),
         )
 
-    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(left) and len(right):
-            a, b = (np.array(x["v"].tolist(), dtype=np.float64) for x in (left, right))
-            for qid, ids, scores in threshold_search(left["vec_id"].to_numpy(), a, right["vec_id"].to_numpy(), b, k):
-                out.append(pd.DataFrame({"query_id": qid, "vec_id": ids, "score": scores.astype(np.int64)}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
+    def search(left: pa.Table, right: pa.Table) -> pa.Table:
+        parts = []
+        if left.num_rows and right.num_rows:
+            a, b = (np.array(x["v"].to_pylist(), dtype=np.float64) for x in (left, right))
+            floors = right["floor"].to_numpy().astype(np.float64)
+            for qid, ids, scores in threshold_search(left["vec_id"].to_numpy(), a, right["vec_id"].to_numpy(), b, k, floors):
+                parts.append((np.full(len(ids), qid), ids, scores.astype(np.int64)))
+        found = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 3
+        return pa.table({name: pa.array(x.astype(np.int64)) for name, x in zip(("query_id", "vec_id", "score"), found, strict=True)})
 
     keys = ["dims", "db", "qb"]
-    found = (
-        dealt(rows, "db", data_blocks, "qb", query_blocks)
-        .groupBy(*keys)
-        .cogroup(dealt(asked, "qb", query_blocks, "db", data_blocks).groupBy(*keys))
-        .applyInPandas(search, FOUND)
-    )
+
+    def searched(data: DataFrame, wanted: DataFrame) -> DataFrame:
+        return data.groupBy(*keys).cogroup(wanted.groupBy(*keys)).applyInArrow(search, FOUND)
+
+    data, wanted = dealt(rows, "db", data_blocks, "qb", query_blocks), dealt(asked, "qb", query_blocks, "db", data_blocks)
+    first = F.col("db") == F.col("qb") % data_blocks  # the block that each query block looks at first
+    none = F.lit(-(1 << 62))
+    found = searched(data.where(first), wanted.where(first).withColumn("floor", none))
+    if data_blocks > 1:
+        head = written(found, "topk-first")
+        place = Window.partitionBy("query_id").orderBy(F.desc("score"))
+        floors = head.withColumn("n", F.row_number().over(place)).where(F.col("n") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("floor"))
+        floored = dealt(asked.join(floors, "vec_id", "left"), "qb", query_blocks, "db", data_blocks, F.coalesce("floor", none).alias("floor"))
+        found = head.unionAll(searched(data.where(~first), floored.where(~first)))
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
