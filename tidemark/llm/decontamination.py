@@ -2,8 +2,9 @@
 
 Passages are WINDOW words of a document, STRIDE apart; their TF-IDF columns are the words of
 the benchmark (another word is zero in every query). A first pass counts columns over all
-passages, a second accumulates (A'A) times a random start, whose orthonormal basis spans the
-latent space; the third projects every passage and every item, takes pairs whose cosine reaches
+passages, a second accumulates A'A times a random start, from which the driver works out the
+leading singular values and right singular vectors of the passages (a single-pass randomised
+SVD); the third projects every passage and every item on them, takes pairs whose cosine reaches
 `cosine` of what the item itself would score, and checks each pair: the longest common
 subsequence with the item's words around the passage, as a share of the item, and the share of
 the item's rarest words, its answer words, that occur there. A paraphrase with words changed,
@@ -31,6 +32,7 @@ from tidemark.llm.textbytes import Chunk, RangeHash, Words, chunks, mix, words
 
 WINDOW, STRIDE = 64, 32
 DIMS = 128
+CHUNK = 1 << 16  # bytes of text at once: the fewer, the fewer columns its dense blocks have
 ITEMS = 2048
 COMMON = 0.02  # a column in more passages than this share weighs less, so that it has the energy of one in this share; none weighs nothing
 _PUNCTUATION = np.zeros(256, dtype=bool)
@@ -92,10 +94,18 @@ def _counts(batches: Iterator[pa.RecordBatch], vocabulary: np.ndarray) -> Iterat
     yield pa.RecordBatch.from_arrays([pa.array(np.append(-1, at)), pa.array(np.append(n, total[at]))], names=["col", "n"])
 
 
-def _rows_of(passage: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where each passage's run of entries begins, and its length as a vector."""
+def _blocks(passage: np.ndarray, column: np.ndarray, value: np.ndarray, most: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(passages, columns, unit rows) of up to `most` passages at a time, as dense matrices over the columns that they hold."""
     head = np.flatnonzero(np.append(True, passage[1:] != passage[:-1])) if len(passage) else np.zeros(0, np.int64)
-    return head, np.sqrt(np.add.reduceat(value**2, head)) if len(head) else np.zeros(0)
+    ends = np.append(head, len(passage))
+    for i in range(0, len(head), most):
+        j = min(i + most, len(head))
+        lo, hi = ends[i], ends[j]
+        columns, at = np.unique(column[lo:hi], return_inverse=True)
+        m = np.zeros((j - i, len(columns)), np.float32)
+        m[np.repeat(np.arange(j - i), np.diff(ends[i : j + 1])), at] = value[lo:hi]
+        m /= np.sqrt((m**2).sum(axis=1, keepdims=True))
+        yield passage[head[i:j]], columns, m
 
 
 def _sketch(batches: Iterator[pa.RecordBatch], vocabulary: np.ndarray, idf: np.ndarray, start: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -103,19 +113,11 @@ def _sketch(batches: Iterator[pa.RecordBatch], vocabulary: np.ndarray, idf: np.n
     table, weight, omega = Table(vocabulary), idf.astype(np.float32), start.astype(np.float32)
     total = np.zeros(omega.shape)
     for batch in batches:
-        for c in chunks(batch["text"], 1 << 18):
+        for c in chunks(batch["text"], CHUNK):
             w = bare_words(c)
             passage, column, count, _ = passages(table.find(w.hash.view(np.int64)), w.of_doc)
-            if not len(passage):
-                continue
-            value = (count * weight[column]).astype(np.float32)
-            head, length = _rows_of(passage, value)
-            value /= np.repeat(length, np.diff(np.append(head, len(passage))))
-            rows = np.add.reduceat(value[:, None] * omega[column], head, axis=0)
-            back = value[:, None] * np.repeat(rows, np.diff(np.append(head, len(passage))), axis=0)
-            order = np.argsort(column, kind="stable")
-            which = np.flatnonzero(np.append(True, column[order][1:] != column[order][:-1]))
-            total[column[order][which]] += np.add.reduceat(back[order], which, axis=0)
+            for _, columns, m in _blocks(passage, column, count * weight[column]):
+                total[columns] += m.T @ (m @ omega[columns])
     at = np.flatnonzero(total.any(axis=1))
     yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(total[at, d]) for d in range(total.shape[1]))], names=["col", *(f"d{d}" for d in range(total.shape[1]))])
 
@@ -134,6 +136,31 @@ class Index:
     latent: np.ndarray  # item passages x dims, scaled so that the passage itself scores 1
 
 
+def right_singular(image: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The leading right singular vectors and singular values of A, from A'A times a random start alone.
+
+    The Nystroem form of the randomised SVD: with Y = A'A S, A'A is close to Y (S'Y)^-1 Y'. A
+    small shift keeps the Cholesky factor of S'Y sound and is taken off the eigenvalues again.
+    Directions without energy are left out.
+    """
+    start, upper = np.linalg.qr(start)
+    y = np.linalg.solve(upper.T, image.T).T  # the image of the orthonormal start
+    shift = np.finfo(float).eps * max(np.linalg.norm(y), 1e-300) * np.sqrt(len(y))
+    y = y + shift * start
+    core = start.T @ y
+    core = (core + core.T) / 2
+    while True:
+        try:
+            lower = np.linalg.cholesky(core)
+            break
+        except np.linalg.LinAlgError:  # rank-deficient: a larger shift
+            y, core, shift = y + 9 * shift * start, core + 9 * shift * np.eye(len(core)), 10 * shift
+    vectors, values, _ = np.linalg.svd(np.linalg.solve(lower, y.T).T, full_matrices=False)
+    values = np.maximum(values**2 - shift, 0.0)
+    keep = values > 1e-10 * max(values.max(initial=0.0), 1e-300)
+    return vectors[:, keep], np.sqrt(values[keep])
+
+
 def fit(docs: DataFrame, item_ids: list, item_texts: list[str], dims: int = DIMS, seed: int = 5) -> Index:
     """The index of one block of items over all passages of docs."""
     item_words = []
@@ -153,8 +180,8 @@ def fit(docs: DataFrame, item_ids: list, item_texts: list[str], dims: int = DIMS
     piece, column, count, first = passages(table.find(np.concatenate(item_words)), bounds)
     piece_of = np.repeat(np.arange(len(item_words)), np.diff(first))
     value = count * idf[column]
-    head, length = _rows_of(piece, value)
-    value /= np.repeat(length, np.diff(np.append(head, len(piece))))
+    head = np.flatnonzero(np.append(True, piece[1:] != piece[:-1]))
+    value /= np.repeat(np.sqrt(np.add.reduceat(value**2, head)), np.diff(np.append(head, len(piece))))
     rows = lambda m: np.add.reduceat(value[:, None] * m[column], head, axis=0)  # noqa: E731  item passages times m
 
     def back(m: np.ndarray) -> np.ndarray:
@@ -169,7 +196,7 @@ def fit(docs: DataFrame, item_ids: list, item_texts: list[str], dims: int = DIMS
     sums = texts.mapInArrow(lambda x: _sketch(x, vocabulary, idf, start), schema).groupBy("col").agg(*(F.sum(f"d{d}").alias(f"d{d}") for d in range(dims))).toArrow()
     image = back(rows(start))  # the items are passages too
     image[sums["col"].to_numpy()] += np.stack([sums[f"d{d}"].to_numpy() for d in range(dims)], axis=1) if sums.num_rows else 0
-    basis, _ = np.linalg.qr(image)
+    basis = right_singular(image, start)[0]
     latent = rows(basis)
     own = np.maximum((latent**2).sum(1, keepdims=True), 1e-12)
     answers = []
@@ -190,7 +217,7 @@ def _search(batches: Iterator[pa.RecordBatch], index: Index, cosine: float, lcs:
     for batch in batches:
         ids = batch["doc_id"].to_numpy()
         best: dict[tuple[int, int], tuple[float, float, float]] = {}
-        for c in chunks(batch["text"], 1 << 18):
+        for c in chunks(batch["text"], CHUNK):
             w = bare_words(c)
             h = w.hash.view(np.int64)
             found = table.find(h)
@@ -201,22 +228,17 @@ def _search(batches: Iterator[pa.RecordBatch], index: Index, cosine: float, lcs:
             at = w.of_doc[doc] + STRIDE * (passage - first[doc])
             near_by = known[np.minimum(w.of_doc[doc + 1], at + WINDOW + longest)] - known[np.maximum(w.of_doc[doc], at - longest)]
             passage, column, count = (x[near_by >= fewest] for x in (passage, column, count))
-            if not len(passage):
-                continue
-            value = (count * weight[column]).astype(np.float32)
-            head, length = _rows_of(passage, value)
-            latent = np.add.reduceat(value[:, None] * basis[column], head, axis=0) / length[:, None]
-            near = latent @ index.latent.T
             last, held = -1, set()
             looked: dict[tuple[int, int], float] = {}
-            for p, k in np.argwhere(near >= cosine).tolist():
-                at = (p, int(index.piece_of[k]))
-                looked[at] = max(looked.get(at, -1.0), float(near[p, k]))
+            for places, columns, m in _blocks(passage, column, count * weight[column]):
+                near = (m @ basis[columns]) @ index.latent.T
+                for p, k in np.argwhere(near >= cosine).tolist():
+                    at = (int(places[p]), int(index.piece_of[k]))
+                    looked[at] = max(looked.get(at, -1.0), float(near[p, k]))
             for (p, i), angle in looked.items():
                 if p != last:
-                    g = passage[head[p]]
-                    d = int(np.searchsorted(first, g, side="right")) - 1
-                    at = w.of_doc[d] + STRIDE * (g - first[d])
+                    d = int(np.searchsorted(first, p, side="right")) - 1
+                    at = w.of_doc[d] + STRIDE * (p - first[d])
                     last, held = p, set(h[max(w.of_doc[d], at - longest) : min(w.of_doc[d + 1], at + WINDOW + longest)].tolist())
                 # the cheap test first: without its answer words an item is not there, whatever the order
                 if sum(x in held for x in answers[i]) < answer * len(answers[i]):
