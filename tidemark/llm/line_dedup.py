@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.llm._common import WHITESPACE, ascii_lower, partitions, text_or_empty
 
-SALTS = 32
+SALTS = 32  # at least; as many as there are shuffle partitions where these are more
 WORD = 32  # positions in one word of a bitmap
 
 
@@ -41,7 +41,7 @@ def dropped_lines(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     )
     salted = Window.partitionBy("h1", "h2", "salt").orderBy("doc_id", "at").rowsBetween(Window.unboundedPreceding, 0)
     later = F.col("doc_id") > F.first("doc_id").over(salted)
-    first_pass = lines.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).withColumn("later", later).drop("salt")
+    first_pass = lines.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(max(SALTS, partitions(docs.sparkSession)))).cast("int")).withColumn("later", later).drop("salt")
     # Lines already settled travel under a key of their own, so that no hash gathers them again.
     own = F.xxhash64("doc_id", "at")
     keyed = first_pass.withColumns({"h1": F.when(F.col("later"), own).otherwise(F.col("h1")), "h2": F.when(F.col("later"), F.lit(0)).otherwise(F.col("h2"))})
@@ -73,7 +73,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     except in the document of smallest doc_id. Null text counts as one empty line. Rows with a
     null doc_id are returned whole and make no line repeated. Repeated rows of one doc_id are
     one document to the rule: each keeps or loses a line like the others. Extra columns stay;
-    the names kept_text, n_lines, n_dropped and drops are taken by the results.
+    those named kept_text, n_lines, n_dropped or drops give way to the results, and one named tag
+    is dropped.
     """
     taken = [c for c in docs.columns if c in {"kept_text", "n_lines", "n_dropped", "drops", "tag"}]
     base = docs.drop(*taken).withColumn("tag", F.hash(text_or_empty()))

@@ -82,14 +82,14 @@ def mix(docs: DataFrame, budget_share: float = 1.0, entropy_share: float | None
 
     budget_share: the tokens to give out, as a share of all tokens. Sources without tokens
     have weight 0 and no copies. Null and empty texts have no tokens. Rows with a null doc_id
-    take part; repeated rows are rows of their own and stand side by side in the permutation.
+    take part, placed by their text; repeated rows are rows of their own and stand side by side in the permutation.
     Extra columns stay, except those named as a result or src, order_key, budget, whole, before.
     """
     if entropy_share is None and max_repeat is None:
         raise ValueError("a target is needed: entropy_share or max_repeat")
     names = {"n_tokens", "weight", "copies", "block", "src", "order_key", "budget", "whole", "before"}
     base = docs.drop(*[c for c in docs.columns if c in names])
-    order_key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+    order_key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), text_or_empty()))).cast("binary"))
     rows = base.select("*", source_name().alias("src"), token_count(text_or_empty()).alias("n_tokens"), order_key.alias("order_key")).withColumn(
         "block", F.substring("order_key", 1, BLOCKS_HEX)
     )
