@@ -303,3 +303,31 @@ def nanos(text: Column) -> Column:
     fraction = F.rpad(F.regexp_extract(text, r"\.(\d{1,9})Z$", 1), 9, "0").cast("int")
     whole = F.try_to_timestamp(F.concat(F.regexp_extract(text, r"^([^.Z]*)", 1), F.lit("Z")))
     return F.struct(whole.alias("instant"), F.when(whole.isNotNull(), F.coalesce(fraction, F.lit(0))).alias("nanos"))
+
+
+def typed(payload: Column, path: str, kind: str) -> Column:
+    """struct(state, text, flag, number, reason) of a provider value that is a text, a boolean, a number, or a whole number told as text (count)."""
+    v = F.try_variant_get(payload, f"$.{path}", "variant")
+    shape, text = F.schema_of_variant(v), F.try_variant_get(v, "$", "string")
+    is_number, count = shape.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), exact_count(text)
+    good = {"text": (shape == "STRING") & (F.trim(text) != ""), "boolean": shape == "BOOLEAN", "number": is_number, "count": (shape == "STRING") & count.isNotNull()}[kind]
+    state = ladder((v.isNull(), "missing"), (F.is_variant_null(v), "null"), (good, "value"), otherwise=F.lit("invalid"))
+    ok = state == "value"
+    number = count.cast("double") if kind == "count" else F.try_variant_get(v, "$", "double")
+    return F.struct(
+        state.alias("state"), F.when(ok & F.lit(kind == "text"), F.trim(text)).alias("text"), F.when(ok & F.lit(kind == "boolean"), F.try_variant_get(v, "$", "boolean")).alias("flag"),
+        F.when(ok & F.lit(kind in {"number", "count"}), number).alias("number"), F.when(state == "invalid", F.concat(F.lit("not_a_"), F.lit(kind))).alias("reason"),
+    )
+
+
+def offset_minutes(text: Column) -> Column:
+    """Whole minutes of a provider's UTC offset ('3600s'), within a day; null where it is none."""
+    seconds = F.when(text.rlike(r"^-?\d{1,5}s$"), F.regexp_extract(text, r"^(-?\d+)s$", 1)).cast("int")
+    return F.when((seconds % 60 == 0) & (F.abs(seconds) < 86400), (seconds / 60).cast("int"))
+
+
+def clock_time(hours: Column, minutes: Column, seconds: Column) -> Column:
+    """Seconds of a day from its parts, absent ones counting as zero; null where one is out of range or all are absent."""
+    h, m, s = (F.coalesce(x, F.lit(0)) for x in (hours, minutes, seconds))
+    ok = h.between(0, 23) & m.between(0, 59) & s.between(0, 59) & F.coalesce(hours, minutes, seconds).isNotNull()
+    return F.when(ok, h * 3600 + m * 60 + s)

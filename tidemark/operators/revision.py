@@ -139,3 +139,20 @@ def latest_runs(runs: DataFrame, keys: list[str]) -> DataFrame:
     good = (F.col("status") == "succeeded") & F.col("gone").isNull() & ~F.col("replay")
     place = F.struct("at", "run")
     return live.groupBy(*keys).agg(F.max_by("run", F.when(good, place)).alias("successful"), F.max_by("run", place).alias("any"), F.max_by("status", place).alias("any_status"))
+
+
+def session_state(changes: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """Sessions after create, revise and remove, in order: a revision needs a live session, a tombstone ends it, a create after it begins anew.
+
+    state: active with the number of its revision and the newest value, or removed.
+    """
+    place = F.struct(*order)
+    born = changes.where("action = 'create'").groupBy(key).agg(F.max(place).alias("born"))
+    gone = changes.where("action = 'remove'").groupBy(key).agg(F.max(place).alias("gone"))
+    met = changes.join(born, key).join(gone, key, "left").withColumn("place", place)
+    floor = F.when(F.col("gone") < F.col("born"), F.col("gone"))  # what lies before the last tombstone belongs to an earlier life
+    live = met.where((F.col("action") != "remove") & (floor.isNull() | (F.col("place") > floor)))
+    told = live.where(F.col("gone").isNull() | (F.col("gone") < F.col("born")) | (F.col("place") < F.col("gone")))
+    out = told.groupBy(key).agg(F.count_if(F.col("action") == "revise").alias("revision"), F.max_by("value", "place").alias("value"), F.max("born").alias("born"), F.max("gone").alias("gone"))
+    removed = F.coalesce(F.col("gone") > F.col("born"), F.lit(False))
+    return out.select(key, F.when(removed, "removed").otherwise("active").alias("state"), F.when(~removed, F.col("revision")).alias("revision"), F.when(~removed, F.col("value")).alias("value"))

@@ -171,7 +171,8 @@ def a6_stability(spark, sf):
   FROM b LEFT JOIN o ON o.cust = b.cust AND date_diff('day', s, o.day) // 7 = k GROUP BY ALL""", dates="bin_start bin_end")
 def c1_cadence_bins(spark, sf):
     spans, days = adapters.customer_spans(spark, sf), adapters.customer_days(spark, sf)
-    numbered = days.join(spans, "cust").groupBy("cust", coverage.bin_number(F.col("day"), F.col("start"), 7).alias("k")).agg(F.count("*").alias("n"))
+    once = days.groupBy("cust", "day").agg(F.count("*").alias("n"))
+    numbered = once.join(spans, "cust").groupBy("cust", coverage.bin_number(F.col("day"), F.col("start"), 7).alias("k")).agg(F.sum("n").alias("n"))
     made = coverage.bins(spans, 7).withColumn("k", coverage.bin_number(F.col("bin_start"), F.col("start"), 7))
     return made.join(numbered, ["cust", "k"], "left").select("cust", "bin_start", "bin_end", F.coalesce("n", F.lit(0).cast("long")).alias("observed"))
 
