@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from tidemark.llm import brown_lm
+from tidemark.llm import brown_lm, topk
 from tidemark.llm.brown_lm import brown_scores, exchange
 from tidemark.llm.components import components
 from tidemark.llm.line_dedup import dedup_lines
@@ -316,3 +316,128 @@ def test_exchange_finds_alternating_classes():
     b[3:6, :3] = 5
     of = exchange(b, 6, 2)
     assert len(set(of[:3])) == 1 and len(set(of[3:6])) == 1 and of[0] != of[3]
+
+
+def brute_brown(train, texts):
+    """The class model in plain Python, classes given: scores of texts from counts."""
+    classes, counts, words = train
+    size = Counter()
+    for w, n in words.items():
+        size[classes[w]] += n
+    once = sum(n == 1 for n in words.values())
+
+    def score(tokens):
+        total, before = 0.0, "end"
+        for w in [*tokens, None]:
+            c = "end" if w is None else classes.get(w, "rare")
+            row = counts[before]
+            total += math.log10(row[c] / sum(row.values()))
+            if w is not None:
+                total += math.log10((words.get(w, 0) + 1) / (2 * once + 1)) if c == "rare" else math.log10(words[w] / size[c])
+            before = c
+        return total
+
+    return [score(t) for t in texts]
+
+
+def test_brown_scores_against_plain_python(spark, monkeypatch):
+    """With a small table the words outside it, single, in rows and at both ends, get the score of the whole model."""
+    import random
+
+    monkeypatch.setattr(brown_lm, "CORE", 4)
+    monkeypatch.setattr(brown_lm, "HEAD", 3)
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(40)]
+    train = [[vocabulary[min(int(rng.expovariate(0.12)), 39)] for _ in range(rng.randint(1, 12))] for _ in range(120)]
+    asked = [["w0", "w30", "w31", "w1"], ["w29", "w28", "w27"], ["never", "w35"], ["w2"], [], ["never", "seen", "w0"]]
+    rows = [(i, " ".join(t)) for i, t in enumerate(train)] + [(1000 + i, " ".join(t)) for i, t in enumerate(asked)]
+    seen = {}
+    table, shared = brown_lm._table, brown_lm._shared_out
+
+    def keep_table(vocabulary_, core, core_class):
+        out = table(vocabulary_, core, core_class)
+        seen["words"] = {r["word"]: (r["n"], r["class"]) for r in vocabulary_.collect()}
+        seen["head"] = dict(zip(out[0].tolist(), out[2].tolist(), strict=True))
+        return out
+
+    def keep_counts(raw, tail):
+        seen["counts"] = shared(raw, tail)
+        return seen["counts"].copy()
+
+    monkeypatch.setattr(brown_lm, "_table", keep_table)
+    monkeypatch.setattr(brown_lm, "_shared_out", keep_counts)
+    got = {r["doc_id"]: r["score"] for r in brown_scores(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") < 1000).collect()}
+    hashed = {}
+    for w in {*vocabulary, "never", "seen"}:
+        for _, h, _ in brown_lm._tokens(pa.array([w])):
+            hashed[w] = int(h[0])
+    name = lambda c: "rare" if c == brown_lm.OTHER else "end" if c == brown_lm.END else c
+    of = {w: seen["head"].get(h, seen["words"][h][1]) for w, h in hashed.items() if h in seen["words"]}
+    counts = {name(a): {name(b): seen["counts"][a, b] + 0.5 for b in range(brown_lm.ALL)} for a in range(brown_lm.ALL)}
+    words = {w: seen["words"][h][0] for w, h in hashed.items() if h in seen["words"]}
+    assert len(seen["head"]) < len(words) / 2
+    want = brute_brown(({w: name(c) for w, c in of.items()}, counts, words), asked)
+    for i, x in enumerate(want):
+        assert abs(got[1000 + i] - x) < 1e-6
+
+
+def test_sharding_packs_every_group(spark):
+    """All groups are placed by best fit: no shard is fuller than the mean plus one bin or the largest group, whatever the sizes."""
+    import random
+
+    rng = random.Random(6)
+    texts = ["x" * int(rng.paretovariate(1.1) * 20) + str(i) for i in range(600)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1000 + i, texts[3]) for i in range(80)] + [(None, texts[5]), (None, texts[5]), (None, None)]
+    out = shard(spark.createDataFrame(rows, "doc_id long, text string"), shards=8).collect()
+    loads, slots, where = Counter(), defaultdict(list), defaultdict(set)
+    for r in out:
+        loads[r["shard"]] += r["size"]
+        slots[r["shard"]].append(r["slot"])
+        where[r["text"] or ""].add(r["shard"])
+    groups = Counter()
+    for r in out:
+        groups[r["text"] or ""] += r["size"]
+    total = sum(loads.values())
+    assert len(out) == len(rows) and all(len(s) == 1 for s in where.values()) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert max(loads.values()) <= max(total / 8 * 1.01 + 50, max(groups.values()))
+    fixed = shard(spark.createDataFrame(rows, "doc_id long, text string"), capacity=max(groups.values())).groupBy("shard").agg(F.sum("size").alias("n")).collect()
+    assert all(r["n"] <= max(groups.values()) for r in fixed) and len(fixed) <= math.ceil(total / max(groups.values())) + 1
+
+
+def test_top_k_repeats_nulls_and_carried_floors(spark, monkeypatch):
+    """Several blocks, so that kth scores are carried; repeated and null ids; no queries."""
+    monkeypatch.setattr(topk, "DATA_BLOCK", 40)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 2)
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(x) for x in np.round(rng.normal(size=5), 2)]) for i in range(300)]
+    df = spark.createDataFrame([*rows, (None, rows[0][1]), rows[7]], "vec_id long, embedding array<float>")
+    got = sorted(tuple(r) for r in top_k(df, df.where("vec_id % 50 = 0"), 6).collect())
+    ints = [(i, np.floor(1024 * np.array(v, np.float32).astype(np.float64)).astype(int)) for i, v in [*rows, rows[7]]]
+    want = []
+    for q in range(0, 300, 50):
+        best = sorted((-int(ints[q][1] @ v), i) for i, v in ints if i != q)[:6]
+        want += [(q, r, i, -s) for r, (s, i) in enumerate(best, 1)]
+    assert got == sorted(want)
+    assert top_k(df, df.limit(0), 6).count() == 0
+
+
+def test_mixing_with_null_and_repeated_ids(spark):
+    rows = [(None, "a b c", "s"), (None, "a b c", "s"), (None, "d", None), (1, "e f", "s"), (1, "e f", "s"), (2, None, "t")]
+    out = mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), entropy_share=0.5).collect()
+    assert len(out) == 6 and all(r["copies"] >= 0 for r in out) and sum(r["n_tokens"] for r in out) == 11
+
+
+def test_line_dedup_drops_a_column_named_tag(spark):
+    df = spark.createDataFrame([(1, "a long enough line", "x")], "doc_id long, text string, tag string")
+    assert "tag" not in dedup_lines(df).columns
+
+
+def test_ngram_join_keeps_no_extra_columns(spark):
+    df = spark.createDataFrame([(1, "a b c d e f", "x"), (2, "a b c d e f", "y")], "doc_id long, text string, component_id string")
+    assert [tuple(r) for r in similar_documents(df).orderBy("doc_id").collect()] == [(1, 2, 1), (2, 2, 1)]
+
+
+def test_brown_scores_odd_rows(spark):
+    df = spark.createDataFrame([(None, "a b", 1), (1, "a b", 2), (1, "a b", 3), (2, "word " * 50_000, 4)], "doc_id long, text string, score int")
+    out = brown_scores(df).collect()
+    assert len(out) == 4 and len({round(r["score"], 9) for r in out if r["n_tokens"] == 3}) == 1 and "score" in out[0].asDict()

@@ -8,8 +8,9 @@ from tests.llm.conftest import DOCS
 from tests.llm.test_exact_operators import brute_components, split
 from tidemark.llm import quality, toxicity
 from tidemark.llm._common import fold
-from tidemark.llm.decontamination import contaminated, decontaminate, lcs_length
+from tidemark.llm.decontamination import contaminated, decontaminate, lcs_length, right_singular
 from tidemark.llm.queries import QUERIES
+from tidemark.llm.textbytes import chunks
 
 SF = "/root/testdata/sf0.01"
 
@@ -130,3 +131,95 @@ def test_pipeline_stages(spark):
     assert {r["doc_id"] for r in mixed} <= {r["doc_id"] for r in clean}
     assert len(sharded) == len(mixed) and {r["shard"] for r in sharded} <= set(range(8))
     assert list(mixed[0].asDict()) == list(start[0].asDict())
+
+
+def test_randomised_svd_of_passages():
+    """Singular values and right singular vectors out of one product with A'A, against numpy's SVD."""
+    rng = np.random.default_rng(0)
+    a = rng.normal(size=(300, 40)) @ np.diag(0.7 ** np.arange(40)) @ rng.normal(size=(40, 120))
+    start = rng.normal(size=(120, 20))
+    vectors, values = right_singular(a.T @ (a @ start), start)
+    _, s, vt = np.linalg.svd(a)
+    assert np.allclose(values[:6], s[:6], rtol=1e-2)
+    assert np.linalg.svd(vectors[:, :8].T @ vt[:8].T)[1].min() > 0.999
+    low = rng.normal(size=(50, 5)) @ rng.normal(size=(5, 120))  # fewer directions than columns of the start
+    assert right_singular(low.T @ (low @ start), start)[0].shape == (120, 5)
+
+
+def test_decontamination_recall_of_paraphrases_of_many_items(spark, docs):
+    """2048 items in one block, 300 of them paraphrased: a sixth of the words changed, some left out, in other text."""
+    import random
+
+    rng = random.Random(3)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8))) for _ in range(6000)]
+    word = lambda: vocabulary[min(int(rng.expovariate(1 / 900)), len(vocabulary) - 1)]  # noqa: E731  few words are frequent
+    items = [(i, " ".join(word() for _ in range(rng.randint(20, 45)))) for i in range(2048)]
+    planted = []
+    for i in rng.sample(range(2048), 300):
+        w = [word() if rng.random() < 1 / 6 else x for x in items[i][1].split() if rng.random() > 0.03]
+        around = [word() for _ in range(rng.randint(20, 80))]
+        planted.append((10_000 + i, " ".join(around[:20] + w + around[20:])))
+    held = docs.select("doc_id", "text").unionAll(spark.createDataFrame(planted, "doc_id long, text string"))
+    found = {(r["doc_id"], r["item_id"]) for r in contaminated(held, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = {(d, d - 10_000) for d, _ in planted}
+    assert len(found & want) >= 0.9 * len(want)
+    assert len(found - want) <= 0.02 * len(want)
+
+
+def test_toxicity_held_out_with_few_positives(spark):
+    """Some 40 positives to learn from."""
+    y, p, s = held_out(spark, "op5_toxicity", "toxic")
+    rank = np.argsort(np.argsort(s)) + 1
+    n1 = (y == 1).sum()
+    assert (rank[y == 1].sum() - n1 * (n1 + 1) / 2) / (n1 * (y == 0).sum()) >= 0.9
+
+
+def test_scores_of_given_models_against_plain_python(spark, docs, rows):
+    """Both classifiers score a text by hand-sized models as plain Python does."""
+    import pyarrow as pa
+
+    table = np.random.default_rng(1).normal(size=1 << quality.BITS)
+    model = quality.SubwordModel(np.stack([table, np.zeros_like(table)], axis=1), np.array([[0.0, 1.0], [0.0, 0.0]]), np.array([0.2, 0.5]))
+    flat, bias = model.table()
+    got = {r["doc_id"]: r["score"] for r in quality.score(docs.select("doc_id", "text"), model).collect()}
+    chosen = np.unique(np.random.default_rng(2).integers(0, 1 << toxicity.BITS, 400_000))
+    weights = np.random.default_rng(3).normal(size=len(chosen)).astype(np.float32)
+    toxic = {r["doc_id"]: r["score"] for r in toxicity.score(docs.select("doc_id", "text"), toxicity.LinearModel(chosen, weights, -0.3)).collect()}
+    place = dict(zip(chosen.tolist(), weights.tolist(), strict=True))
+    for d, t, *_ in rows[:25]:
+        c = next(iter(chunks(pa.array([t or ""], pa.string()))), None)
+        odds = bias
+        for b, _ in quality.buckets(c):
+            odds += sum(float(flat[x]) for x in b.tolist()) / max(len(b), 1) / quality.KINDS
+        assert abs(got[d] - 1 / (1 + np.exp(-odds))) < 1e-6
+        held = {x for b, _ in toxicity.buckets(c) for x in b.tolist()}
+        assert abs(toxic[d] - 1 / (1 + np.exp(-(-0.3 + sum(place.get(x, 0.0) for x in held))))) < 1e-5
+
+
+def test_classifiers_with_repeated_null_and_clashing_rows(spark):
+    text = "same text again"
+    odd = spark.createDataFrame([(1, text, "p"), (1, text, "p"), (None, text, "q"), (2, None, "r"), (3, "word " * 60_000, "s")], "doc_id long, text string, predicted string")
+    labels = spark.createDataFrame([(1, 1, 1), (3, 0, 0), (3, 0, 0)], "doc_id long, quality int, toxic int")
+    for module in (quality, toxicity):
+        out = module.score(odd, module.fit(odd, labels)).collect()
+        assert len(out) == 5 and len({r["score"] for r in out if r["text"] == text}) == 1 and {r["predicted"] for r in out} <= {0, 1}
+
+
+def test_pipeline_stages_on_odd_rows(spark, tmp_path):
+    """Empty tables, null ids and texts, repeated rows and clashing columns pass every stage."""
+    rows = [(1, "one text of six words here", "en", "a", 26), (1, "one text of six words here", "en", "a", 26), (None, "no id but a text of its own", None, None, 27), (2, None, "en", "b", None), (3, "", None, "b", 0), (4, "another text that has words", "en", "b", 27)]
+    schema = DOCS + ", rank string, start int, slot string"
+    whole = spark.createDataFrame([(*r, "x", 1, "y") for r in rows], schema)
+    for name, docs_ in (("some", whole), ("none", whole.limit(0))):
+        sf = str(tmp_path / name)
+        docs_.write.parquet(f"{sf}/documents.parquet")
+        spark.createDataFrame([(1, 1, 0), (4, 1, 0), (None, 0, 1)], "doc_id long, quality int, toxic int").limit(10 if name == "some" else 0).write.parquet(f"{sf}/labels.parquet")
+        spark.createDataFrame([(1, "an item of some words"), (None, "x"), (2, None)], "item_id long, text string").limit(10 if name == "some" else 0).write.parquet(f"{sf}/benchmark.parquet")
+        seen = spark.read.parquet(f"{sf}/documents.parquet")
+        for stage_name, stage in corpus_pipeline.STAGES:
+            before, seen = seen.columns, stage(spark, seen, sf)
+            if stage_name != "shards":
+                assert seen.columns == before
+        out = seen.collect()
+        assert {"shard", "slot", "rank", "start"} <= set(seen.columns)
+        assert (len(out) == 0) if name == "none" else len(out) >= 1

@@ -189,7 +189,7 @@ def similar_documents(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFra
     Documents link when 100 * |intersection| >= percent * |union| of their sets of k-word
     shingles; words are [^\\x20\\x09-\\x0D]+ with A-Z lowered. With fewer than k words the
     whole sequence is the one shingle; without words (or null) the set is empty and links with
-    nothing. Rows with a null doc_id are left out, as they cannot be named. Rows of one doc_id
+    nothing. Rows with a null doc_id are left out, as they cannot be named; extra columns are not read. Rows of one doc_id
     with different texts are linked through their id, and each has its own n_shingles.
 
     This gives components, not links: pairs already in one component are not compared, so there
