@@ -344,8 +344,6 @@ def test_brown_scores_against_plain_python(spark, monkeypatch):
     """With a small table the words outside it, single, in rows and at both ends, get the score of the whole model."""
     import random
 
-    monkeypatch.setattr(brown_lm, "CORE", 4)
-    monkeypatch.setattr(brown_lm, "HEAD", 3)
     rng = random.Random(5)
     vocabulary = [f"w{i}" for i in range(40)]
     train = [[vocabulary[min(int(rng.expovariate(0.12)), 39)] for _ in range(rng.randint(1, 12))] for _ in range(120)]
@@ -354,8 +352,8 @@ def test_brown_scores_against_plain_python(spark, monkeypatch):
     seen = {}
     table, shared = brown_lm._table, brown_lm._shared_out
 
-    def keep_table(vocabulary_, core, core_class):
-        out = table(vocabulary_, core, core_class)
+    def keep_table(vocabulary_, core, core_class, room):
+        out = table(vocabulary_, core, core_class, room)
         seen["words"] = {r["word"]: (r["n"], r["class"]) for r in vocabulary_.collect()}
         seen["head"] = dict(zip(out[0].tolist(), out[2].tolist(), strict=True))
         return out
@@ -366,7 +364,7 @@ def test_brown_scores_against_plain_python(spark, monkeypatch):
 
     monkeypatch.setattr(brown_lm, "_table", keep_table)
     monkeypatch.setattr(brown_lm, "_shared_out", keep_counts)
-    got = {r["doc_id"]: r["score"] for r in brown_scores(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") < 1000).collect()}
+    got = {r["doc_id"]: r["score"] for r in brown_scores(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") < 1000, core_words=4, table_words=3).collect()}
     hashed = {}
     for w in {*vocabulary, "never", "seen"}:
         for _, h, _ in brown_lm._tokens(pa.array([w])):
