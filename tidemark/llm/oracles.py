@@ -108,12 +108,16 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 OP9 = """
 WITH t AS (
   SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), long_pieces AS (
+  SELECT doc_id, p, substr(h, 2 * p + 1, 2 * (8192 + 99)) AS h FROM (SELECT doc_id, h, unnest(range(0, greatest(length(h) // 2 - 99, 0), 8192)) AS p FROM t)
+), pieces AS (
+  SELECT doc_id, p + q AS p, substr(h, 2 * q + 1, 2 * (256 + 99)) AS h FROM (SELECT doc_id, p, h, unnest(range(0, least(8192, greatest(length(h) // 2 - 99, 0)), 256)) AS q FROM long_pieces)
 ), starts AS (
-  SELECT doc_id, h, unnest(range(0, greatest(length(h) // 2 - 99, 0))) AS s FROM t
-), ranked AS (
-  SELECT doc_id, s, row_number() OVER (PARTITION BY substr(h, 2 * s + 1, 200) ORDER BY doc_id, s) AS r FROM starts
+  SELECT doc_id, p + o AS s, md5_number(substr(h, 2 * o + 1, 200)) AS w FROM (SELECT doc_id, p, h, unnest(range(0, least(256, greatest(length(h) // 2 - 99, 0)))) AS o FROM pieces)
+), firsts AS (
+  SELECT w, min((doc_id, s)) AS f FROM starts GROUP BY w HAVING count(*) > 1
 ), again AS (
-  SELECT doc_id, s, lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS before FROM ranked WHERE r > 1
+  SELECT doc_id, s, lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS before FROM starts JOIN firsts USING (w) WHERE (doc_id, s) <> f
 ), runs AS (
   SELECT *, sum((before IS NULL OR s > before + 100)::INT) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM again
 ), spans AS (
