@@ -119,7 +119,21 @@ def _sketch(batches: Iterator[pa.RecordBatch], vocabulary: np.ndarray, idf: np.n
             for _, columns, m in _blocks(passage, column, count * weight[column]):
                 total[columns] += m.T @ (m @ omega[columns])
     at = np.flatnonzero(total.any(axis=1))
-    yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(total[at, d]) for d in range(total.shape[1]))], names=["col", *(f"d{d}" for d in range(total.shape[1]))])
+    yield _vectors(at, total[at])
+
+
+def _vectors(columns: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(columns.astype(np.int64)), pa.array([x.tobytes() for x in rows], pa.binary())], names=["col", "vec"])
+
+
+def _summed(batches: Iterator[pa.RecordBatch], dims: int) -> Iterator[pa.RecordBatch]:
+    """The sum of the vectors of each column that the task holds."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for column, vec in zip(batch["col"].to_pylist(), batch["vec"].to_pylist(), strict=True):
+            total[column] = total.get(column, 0.0) + np.frombuffer(vec)
+    columns = sorted(total)
+    yield _vectors(np.array(columns, dtype=np.int64), np.stack([total[c] for c in columns]) if columns else np.zeros((0, dims)))
 
 
 @dataclass
@@ -192,10 +206,10 @@ def fit(docs: DataFrame, item_ids: list, item_texts: list[str], dims: int = DIMS
     rng = np.random.default_rng(seed)
     dims = min(dims, max(1, len(vocabulary)))
     start = back(rng.normal(size=(len(piece_of), dims))) + 0.01 * rng.normal(size=(len(vocabulary), dims))
-    schema = "col long, " + ", ".join(f"d{d} double" for d in range(dims))
-    sums = texts.mapInArrow(lambda x: _sketch(x, vocabulary, idf, start), schema).groupBy("col").agg(*(F.sum(f"d{d}").alias(f"d{d}") for d in range(dims))).toArrow()
+    parts = texts.mapInArrow(lambda x: _sketch(x, vocabulary, idf, start), "col long, vec binary")
+    sums = parts.repartition("col").mapInArrow(lambda x: _summed(x, dims), "col long, vec binary").toArrow()
     image = back(rows(start))  # the items are passages too
-    image[sums["col"].to_numpy()] += np.stack([sums[f"d{d}"].to_numpy() for d in range(dims)], axis=1) if sums.num_rows else 0
+    image[sums["col"].to_numpy()] += np.frombuffer(b"".join(sums["vec"].to_pylist())).reshape(-1, dims)
     basis = right_singular(image, start)[0]
     latent = rows(basis)
     own = np.maximum((latent**2).sum(1, keepdims=True), 1e-12)
