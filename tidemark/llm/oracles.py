@@ -136,4 +136,21 @@ SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGI
 FROM t JOIN kept USING (doc_id) LEFT JOIN removed USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op2_line_dedup": OP2, "op4_ngram_join": OP4, "op7_temperature_mixing": OP7, "op8_exact_topk": OP8, "op9_window_dedup": OP9}
+OP11 = """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents
+), drawn AS (
+  SELECT doc_id, text, u, len(u) AS n, ('0x' || substr(h, 1, 8))::BIGINT AS h1, ('0x' || substr(h, 9, 8))::BIGINT AS h2, ('0x' || substr(h, 17, 8))::BIGINT AS h3, ('0x' || substr(h, 25, 8))::BIGINT AS h4 FROM d
+), cut AS (
+  SELECT doc_id, text, n, array_to_string(u[1 : least(h1 % (n + 1), h2 % (n + 1))], '') AS p,
+         array_to_string(u[least(h1 % (n + 1), h2 % (n + 1)) + 1 : greatest(h1 % (n + 1), h2 % (n + 1))], '') AS m,
+         array_to_string(u[greatest(h1 % (n + 1), h2 % (n + 1)) + 1 :], '') AS s,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM drawn
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM cut
+"""
+
+ORACLES: dict[str, str] = {"op2_line_dedup": OP2, "op4_ngram_join": OP4, "op7_temperature_mixing": OP7, "op8_exact_topk": OP8, "op9_window_dedup": OP9, "op11_fill_middle": OP11}

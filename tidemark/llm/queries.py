@@ -11,6 +11,7 @@ from tidemark.llm import quality, toxicity
 from tidemark.llm._common import fold
 from tidemark.llm.brown_lm import brown_scores
 from tidemark.llm.decontamination import contaminated
+from tidemark.llm.fill_middle import fill_middle, restored
 from tidemark.llm.line_dedup import dedup_lines
 from tidemark.llm.mixing import mix
 from tidemark.llm.ngram_join import similar_documents
@@ -84,6 +85,12 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle(_load(spark, sf_dir, "documents"), seed=1, rate=90, swapped=20)
+    digest = lambda c: F.sha2(c, 256)
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -99,5 +106,6 @@ QUERIES: dict[str, Query] = {
     "op8_exact_topk": op8_exact_topk,
     "op9_window_dedup": op9_window_dedup,
     "op10_sharding": op10_sharding,
+    "op11_fill_middle": op11_fill_middle,
     "pipeline": pipeline,
 }
