@@ -153,4 +153,42 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_c
 FROM cut
 """
 
-ORACLES: dict[str, str] = {"op2_line_dedup": OP2, "op4_ngram_join": OP4, "op7_temperature_mixing": OP7, "op8_exact_topk": OP8, "op9_window_dedup": OP9, "op11_fill_middle": OP11}
+OP12 = rf"""
+WITH RECURSIVE steps AS (
+  SELECT i, 0 AS k, i::BIGINT AS c FROM range(256) r(i)
+  UNION ALL
+  SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM steps WHERE k < 8
+), tab AS (
+  SELECT list(c ORDER BY i) AS t FROM steps WHERE k = 8
+), texts AS (
+  SELECT false AS target, doc_id, text FROM documents UNION ALL SELECT true, NULL, text FROM benchmark
+), w AS (
+  SELECT target, doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts
+), words AS (
+  SELECT target, doc_id, unnest(w) AS word FROM w
+), vocabulary AS (
+  SELECT word, hex(encode(word)) AS h FROM (SELECT DISTINCT word FROM words)
+), crc AS (
+  SELECT word, xor(list_reduce(list_concat([4294967295], [('0x' || substr(h, 2 * i + 1, 2))::BIGINT for i in range(length(h) // 2)]), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS bucket
+  FROM vocabulary, tab
+), counts AS (
+  SELECT bucket, count(*) FILTER (WHERE NOT target) AS s, count(*) FILTER (WHERE target) AS t FROM words JOIN crc USING (word) GROUP BY bucket
+), totals AS (
+  SELECT sum(s)::DOUBLE AS s_all, sum(t)::DOUBLE AS t_all FROM counts
+), gains AS (
+  SELECT bucket, floor(1000 * ln(((t + 1)::DOUBLE * (s_all + 10000)) / ((s + 1)::DOUBLE * (t_all + 10000))))::BIGINT AS gain FROM counts, totals
+), sums AS (
+  SELECT doc_id, count(*) AS n_features, sum(gain)::BIGINT AS gain FROM words JOIN crc USING (word) JOIN gains USING (bucket) WHERE NOT target GROUP BY doc_id
+), scored AS (
+  SELECT doc_id, coalesce(n_features, 0) AS n_features, CASE WHEN n_features > 0 THEN floor(gain / n_features)::BIGINT ELSE 0 END AS weight,
+         (('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5) / 4294967296.0::DOUBLE AS u
+  FROM documents LEFT JOIN sums USING (doc_id)
+), noisy AS (
+  SELECT doc_id, n_features, weight, weight + floor(-1000 * ln(-ln(u::DOUBLE)))::BIGINT AS score FROM scored
+), ranked AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS able FROM noisy WHERE n_features >= 20
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * able // 100 THEN rank END AS rank FROM noisy LEFT JOIN ranked USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op2_line_dedup": OP2, "op4_ngram_join": OP4, "op7_temperature_mixing": OP7, "op8_exact_topk": OP8, "op9_window_dedup": OP9, "op11_fill_middle": OP11, "op12_resampling": OP12}

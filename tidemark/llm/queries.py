@@ -15,6 +15,7 @@ from tidemark.llm.fill_middle import fill_middle, restored
 from tidemark.llm.line_dedup import dedup_lines
 from tidemark.llm.mixing import mix
 from tidemark.llm.ngram_join import similar_documents
+from tidemark.llm.resampling import resample
 from tidemark.llm.sharding import shard
 from tidemark.llm.topk import top_k
 from tidemark.llm.window_dedup import dedup_windows
@@ -91,6 +92,11 @@ def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
 
 
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resample(_load(spark, sf_dir, "documents"), _load(spark, sf_dir, "benchmark"), n=1, modulus=10000, share=(10, 100), least_words=20, seed=2024)
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -107,5 +113,6 @@ QUERIES: dict[str, Query] = {
     "op9_window_dedup": op9_window_dedup,
     "op10_sharding": op10_sharding,
     "op11_fill_middle": op11_fill_middle,
+    "op12_resampling": op12_resampling,
     "pipeline": pipeline,
 }
