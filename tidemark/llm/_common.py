@@ -12,6 +12,8 @@ from tidemark.session import shared_dir
 
 #: [\x20\x09-\x0D]: the whitespace of the word and line rules (fixed values).
 WHITESPACE = " \t\n\x0b\x0c\r"
+#: Copies of a row that one array numbers at a time.
+COPIES = 1 << 16
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -81,3 +83,10 @@ def ascii_lower(column: Column) -> Column:
 def fold(column: str = "doc_id", folds: int = 5) -> Column:
     """crc32 of the id's decimal text, modulo folds."""
     return (F.crc32(F.col(column).cast("string").cast("binary")) % folds).cast("int")
+
+
+def each_copy(rows: DataFrame) -> DataFrame:
+    """A row for each of copies, numbered from 1; no array holds more than COPIES numbers or blocks, up to COPIES ** 2 copies."""
+    blocks = F.expr(f"sequence(0, (copies - 1) div {COPIES})")
+    inside = F.expr(f"sequence(block * {COPIES} + 1, least(copies, (block + 1) * {COPIES}))")
+    return rows.withColumn("block", F.explode(blocks)).withColumn("copy", F.explode(inside))

@@ -191,4 +191,15 @@ WITH RECURSIVE steps AS (
 SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * able // 100 THEN rank END AS rank FROM noisy LEFT JOIN ranked USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op2_line_dedup": OP2, "op4_ngram_join": OP4, "op7_temperature_mixing": OP7, "op8_exact_topk": OP8, "op9_window_dedup": OP9, "op11_fill_middle": OP11, "op12_resampling": OP12}
+OP13 = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS body FROM pages
+), h AS (
+  SELECT page_id, strlen(body) AS payload_bytes, sha1(body) AS h, body, min(page_id) OVER (PARTITION BY body) AS original FROM p
+)
+SELECT page_id, payload_bytes, array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, 10 * (i // 8) + 1, 10))::BIGINT >> (35 - 5 * (i % 8))) & 31)::INT + 1, 1) for i in range(32)], '') AS payload_digest,
+       CASE WHEN page_id = original THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> original THEN original END AS refers_to
+FROM h
+"""
+
+ORACLES: dict[str, str] = {"op2_line_dedup": OP2, "op4_ngram_join": OP4, "op7_temperature_mixing": OP7, "op8_exact_topk": OP8, "op9_window_dedup": OP9, "op11_fill_middle": OP11, "op12_resampling": OP12, "op13_warc": OP13}

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
 from tidemark.llm import quality, toxicity
-from tidemark.llm._common import fold
+from tidemark.llm._common import fold, run_dir
 from tidemark.llm.brown_lm import brown_scores
 from tidemark.llm.decontamination import contaminated
 from tidemark.llm.fill_middle import fill_middle, restored
@@ -18,6 +19,7 @@ from tidemark.llm.ngram_join import similar_documents
 from tidemark.llm.resampling import resample
 from tidemark.llm.sharding import shard
 from tidemark.llm.topk import top_k
+from tidemark.llm.warc import read_warc, write_warc
 from tidemark.llm.window_dedup import dedup_windows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -97,6 +99,17 @@ def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{run_dir(spark)}/archives-{uuid.uuid4().hex}"
+    write_warc(_load(spark, sf_dir, "pages"), path, min_bytes=0)
+    found = read_warc(spark, path, with_payload=False).where("record_type IS NULL OR record_type <> 'warcinfo'")
+    page = lambda c: F.regexp_extract(c, "^<urn:page:([^:]*):", 1).try_cast("long")
+    kind = F.when(F.col("status").isin("whole", "revisit"), F.col("record_type")).otherwise(F.raise_error(F.concat_ws(" ", F.lit("archive record"), "record_id", "status")))
+    return found.select(
+        page("record_id").alias("page_id"), "payload_bytes", F.substring_index("payload_digest", ":", -1).alias("payload_digest"), kind.alias("record_type"), page("refers_to").alias("refers_to"),
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -114,5 +127,6 @@ QUERIES: dict[str, Query] = {
     "op10_sharding": op10_sharding,
     "op11_fill_middle": op11_fill_middle,
     "op12_resampling": op12_resampling,
+    "op13_warc": op13_warc,
     "pipeline": pipeline,
 }

@@ -20,11 +20,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidemark.llm._common import partitions, text_or_empty, written
+from tidemark.llm._common import each_copy, partitions, text_or_empty, written
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 CHUNK_BYTES = 1 << 16
-BLOCK = 1 << 16
 _CHUNKS = "doc_id long, digest string, part int, body binary, owned int"
 _FEATURES = "doc_id long, digest string, part int, n_words long, features binary"
 
@@ -150,13 +149,6 @@ def _offsets(scores: DataFrame) -> DataFrame:
     return scores.withColumn("wide", wide).withColumn("inside", inside).join(F.broadcast(top), "wide").select("score", (F.col("base") + F.col("inside")).alias("before"))
 
 
-def _each(rows: DataFrame) -> DataFrame:
-    """A row for each of copies, numbered from 1; no array holds more than BLOCK numbers or blocks, up to BLOCK ** 2 copies."""
-    blocks = F.expr(f"sequence(0, (copies - 1) div {BLOCK})")
-    inside = F.expr(f"sequence(block * {BLOCK} + 1, least(copies, (block + 1) * {BLOCK}))")
-    return rows.withColumn("block", F.explode(blocks)).withColumn("copy", F.explode(inside))
-
-
 def resample(
     docs: DataFrame, target: DataFrame, n: int = 1, modulus: int = 10000, share: tuple[int, int] = (10, 100), least_words: int = 20, seed: int = 2024, chunk_bytes: int = CHUNK_BYTES,
 ) -> DataFrame:
@@ -192,5 +184,5 @@ def resample(
     order = Window.partitionBy("score").orderBy(F.asc_nulls_last("doc_id"), "digest").rowsBetween(Window.unboundedPreceding, -1)
     reached = scored.where(in_reach).join(F.broadcast(cuts), "score").withColumn("before", F.col("before") + F.coalesce(F.sum("copies").over(order), F.lit(0)))
     names = ["doc_id", "n_words", "n_features", "weight", "score"]
-    ranked = _each(reached).select(*names, (F.col("before") + F.col("copy")).alias("rank")).withColumn("rank", F.when(F.col("rank") <= goal, F.col("rank")))
-    return ranked.union(_each(scored.where(~in_reach)).select(*names, F.lit(None).cast("long").alias("rank")))
+    ranked = each_copy(reached).select(*names, (F.col("before") + F.col("copy")).alias("rank")).withColumn("rank", F.when(F.col("rank") <= goal, F.col("rank")))
+    return ranked.union(each_copy(scored.where(~in_reach)).select(*names, F.lit(None).cast("long").alias("rank")))
