@@ -89,7 +89,7 @@ def _archives(batches: Iterator[pa.RecordBatch], date: str, segment: int, chunk:
 
 
 def write_warc(
-    pages: DataFrame, path: str, min_bytes: int = 0, date: str = "1970-01-01T00:00:00Z", segment_bytes: int = SEGMENT_BYTES, chunk_bytes: int = CHUNK_BYTES, archive_bytes: int = ARCHIVE_BYTES, compression: str = "none",
+    pages: DataFrame, path: str, min_bytes: int = 0, date: str = "1970-01-01T00:00:00Z", segment_bytes: int = SEGMENT_BYTES, chunk_bytes: int = CHUNK_BYTES, archive_bytes: int = ARCHIVE_BYTES, compression: str = "gzip",
 ) -> None:
     """Writes every row of pages (page_id, url, html) as WARC records below path, which must not exist.
 
@@ -97,7 +97,7 @@ def write_warc(
     of it; a row without a page_id is a revisit where its group has one with an id, else a response. Rows that repeat the smallest page_id
     are responses each. A null html is an empty payload, a null url gives no target. Payloads over chunk_bytes are
     written in chunked transfer framing and blocks over segment_bytes as segments, so records stay small
-    however long a page is. An empty table writes no records.
+    however long a page is. Archives are gzip files, as is usual (compression: gzip or none). An empty table writes no records.
 
     Rows meet their group's smallest id by a join on the payload's hash. Groups of at least a 4096th of all rows, of
     which there can be no more than 4096, are broadcast, so that no task gets a hot group.
