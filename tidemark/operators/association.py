@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark.functions import ladder, safe_correlation
+from tidemark.operators.order_statistics import LIMIT, quantiles
 
 
 def mid_rank(value: str, keys: list[str]):
@@ -43,19 +44,19 @@ def agreement_dedup(pairs: DataFrame, keys: list[str]) -> DataFrame:
     return pairs.groupBy(*keys, "day").agg(F.count_distinct("diff").alias("n"), F.min("diff").alias("diff"), F.min("a").alias("a"), F.min("b").alias("b")).where("n = 1").drop("n")
 
 
-def agreement_summary(pairs: DataFrame, keys: list[str]) -> DataFrame:
+def agreement_summary(pairs: DataFrame, keys: list[str], limit: int = LIMIT) -> DataFrame:
     """Bias, absolute and squared error, limits of agreement, robust quantiles and correlation of the differences."""
     sd = F.stddev_samp("diff")
-    return pairs.groupBy(*keys).agg(
+    others = [
         F.count("*").alias("n"), F.avg("diff").alias("bias"), F.avg(F.abs("diff")).alias("mae"), F.sqrt(F.avg(F.col("diff") * F.col("diff"))).alias("rmse"), sd.alias("sd"),
-        (F.avg("diff") - F.lit(1.96) * sd).alias("loa_low"), (F.avg("diff") + F.lit(1.96) * sd).alias("loa_high"), F.median("diff").alias("median"),
-        F.percentile("diff", 0.025).alias("q025"), F.percentile("diff", 0.975).alias("q975"), safe_correlation("a", "b").alias("pearson"),
-    )
+        (F.avg("diff") - F.lit(1.96) * sd).alias("loa_low"), (F.avg("diff") + F.lit(1.96) * sd).alias("loa_high"), safe_correlation("a", "b").alias("pearson"),
+    ]
+    return quantiles(pairs, keys, "diff", {"median": 0.5, "q025": 0.025, "q975": 0.975}, *others, limit=limit)
 
 
 def outlier_sensitivity(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """Tukey fences of the differences, and the summary's bias without what lies outside."""
-    fences = pairs.groupBy(*keys).agg(F.percentile("diff", 0.25).alias("q1"), F.percentile("diff", 0.75).alias("q3"))
+    fences = quantiles(pairs, keys, "diff", {"q1": 0.25, "q3": 0.75})
     fences = fences.select(*keys, (F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).alias("low"), (F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))).alias("high"))
     inside = F.col("diff").between(F.col("low"), F.col("high"))
     return pairs.join(fences, keys).groupBy(*keys, "low", "high").agg(F.count_if(~inside).alias("outliers"), F.avg(F.when(inside, F.col("diff"))).alias("bias_inside"), F.avg("diff").alias("bias"))
@@ -65,8 +66,9 @@ def stability(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """Halves of the ordered days: whether their robust intervals overlap and both biases lie in the whole's interval."""
     order = Window.partitionBy(*keys).orderBy("day")
     half = F.when(F.row_number().over(order) <= F.floor(F.count("*").over(Window.partitionBy(*keys)) / 2), "first").otherwise("second")
-    halves = pairs.withColumn("half", half).groupBy(*keys, "half").agg(F.avg("diff").alias("bias"), F.percentile("diff", 0.025).alias("low"), F.percentile("diff", 0.975).alias("high"))
-    whole = pairs.groupBy(*keys).agg(F.percentile("diff", 0.025).alias("low"), F.percentile("diff", 0.975).alias("high"))
+    ends = {"low": 0.025, "high": 0.975}
+    halves = quantiles(pairs.withColumn("half", half), [*keys, "half"], "diff", ends, F.avg("diff").alias("bias"))
+    whole = quantiles(pairs, keys, "diff", ends)
     one = [halves.where(F.col("half") == h).select(*keys, *[F.col(c).alias(f"{h}_{c}") for c in ("bias", "low", "high")]) for h in ("first", "second")]
     met = one[0].join(one[1], keys).join(whole, keys)
     overlap = (F.col("first_low") <= F.col("second_high")) & (F.col("second_low") <= F.col("first_high"))

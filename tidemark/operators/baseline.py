@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark.functions import ladder, mid_rank_share
+from tidemark.operators.order_statistics import LIMIT, quantiles
+from tidemark.operators.slopes import median_slopes
 
 QUANTILES = {"p10": 0.1, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9}
 Z_SCALE = 0.67448975  # fixed value
@@ -27,13 +29,10 @@ def availability(points: DataFrame, keys: list[str]) -> DataFrame:
     return points.groupBy(*keys).agg(*counts, F.count_if(F.col("value").isNotNull()).alias("n_usable"))
 
 
-def summary(points: DataFrame, keys: list[str]) -> DataFrame:
+def summary(points: DataFrame, keys: list[str], limit: int = LIMIT) -> DataFrame:
     """count, mean, median, extremes and linear-interpolation quantiles of the usable values; no_usable_values where none."""
-    quantiles = [F.percentile("value", q).alias(name) for name, q in QUANTILES.items()]
-    return points.groupBy(*keys).agg(
-        F.count("value").alias("n"), F.avg("value").alias("mean"), F.min("value").alias("least"), F.max("value").alias("most"), *quantiles,
-        F.when(F.count("value") == 0, F.lit("no_usable_values")).alias("reason"),
-    )
+    others = [F.count("value").alias("n"), F.avg("value").alias("mean"), F.min("value").alias("least"), F.max("value").alias("most"), F.when(F.count("value") == 0, F.lit("no_usable_values")).alias("reason")]
+    return quantiles(points, keys, "value", QUANTILES, *others, limit=limit).select(*keys, "n", "mean", "least", "most", *QUANTILES, "reason")
 
 
 def latest_position(points: DataFrame, keys: list[str], least: int = 5) -> DataFrame:
@@ -45,11 +44,12 @@ def latest_position(points: DataFrame, keys: list[str], least: int = 5) -> DataF
     return met.select(*keys, "latest", "n", F.when(F.col("n") >= least, share).alias("percentile"))
 
 
-def robust_z(points: DataFrame, keys: list[str], least: int = 5) -> DataFrame:
+def robust_z(points: DataFrame, keys: list[str], least: int = 5, limit: int = LIMIT) -> DataFrame:
     """Modified z of the latest value; unavailable where values are few or the median deviation is 0, which is still reported."""
     usable = points.where("value IS NOT NULL")
-    middle = usable.groupBy(*keys).agg(F.count("*").alias("n"), F.max_by("value", "day").alias("latest"), F.median("value").alias("median"))
-    out = usable.join(middle, keys).groupBy(*keys, "n", "latest", "median").agg(F.median(F.abs(F.col("value") - F.col("median"))).alias("mad"))
+    middle = quantiles(usable, keys, "value", {"median": 0.5}, F.count("*").alias("n"), F.max_by("value", "day").alias("latest"), limit=limit)
+    apart = usable.join(middle, keys).withColumn("apart", F.abs(F.col("value") - F.col("median")))
+    out = quantiles(apart, [*keys, "n", "latest", "median"], "apart", {"mad": 0.5}, limit=limit)
     z = F.when((F.col("n") >= least) & (F.col("mad") > 0), F.lit(Z_SCALE) * (F.col("latest") - F.col("median")) / F.col("mad"))
     reason = ladder((F.col("n") < least, "too_few_values"), (F.col("mad") == 0, "zero_deviation"))
     return out.select("*", z.alias("z"), F.coalesce(F.abs(z) >= Z_FLAG, F.lit(False)).alias("flagged"), reason.alias("reason"))
@@ -59,15 +59,12 @@ def theil_sen(points: DataFrame, keys: list[str], least: int = 3, cap: int = 200
     """Median slope per day over all pairs of different days, and the pairs.
 
     Groups with fewer than least days have none. A group of more than cap points is refused
-    (reason too_many_points) rather than cut, as its pairs grow with the square.
+    (reason too_many_points) rather than cut.
     """
     usable = points.where("value IS NOT NULL").select(*keys, "day", "value")
     sizes = usable.groupBy(*keys).agg(F.count_distinct("day").alias("days"), F.count("*").alias("n"))
     small = usable.join(sizes.where((F.col("days") >= least) & (F.col("n") <= cap)).select(*keys), keys)
-    later = small.select(*keys, F.col("day").alias("day2"), F.col("value").alias("value2"))
-    pairs = small.join(later, keys).where(F.col("day2") > F.col("day"))
-    slope = (F.col("value2") - F.col("value")) / F.datediff("day2", "day")
-    found = pairs.groupBy(*keys).agg(F.median(slope).alias("slope"), F.count("*").alias("pairs"))
+    found = median_slopes(small, keys)
     reason = ladder((F.col("days") < least, "too_few_dates"), (F.col("n") > cap, "too_many_points"))
     return sizes.join(found, keys, "left").select(*keys, "days", "slope", F.coalesce("pairs", F.lit(0).cast("long")).alias("pairs"), reason.alias("reason"))
 

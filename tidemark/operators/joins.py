@@ -20,19 +20,25 @@ def pair_by_day(left: DataFrame, right: DataFrame, keys: Sequence[str] = ()) ->
     return met.select(*by, outcome.alias("outcome"), F.when(paired, F.col("a")).alias("a"), F.when(paired, F.col("b")).alias("b"))
 
 
-def forward_asof(anchors: DataFrame, events: DataFrame, keys: list[str], seconds: int) -> DataFrame:
+def forward_asof(anchors: DataFrame, events: DataFrame, keys: list[str], seconds: int, span: int = 32) -> DataFrame:
     """For each anchor the first event in [anchor, anchor + seconds]; several at the same first instant are left out.
 
-    Equi-joined on the time buckets that the tolerance can reach, so it is no nested loop.
+    Both sides are sorted together by time, latest first, and each anchor takes the last event passed: no pairs are
+    made. A key's time is cut into slots of span tolerances, so that a hot key lies in many tasks; the events of a
+    slot's first tolerance are given to the slot before it, too. Anchors and events without a time meet nothing.
     """
     at = F.unix_micros(F.col("ts").cast("timestamp"))
     width = seconds * 1_000_000
-    a = anchors.select(*keys, F.col("anchor_id"), F.col("ts").alias("anchor_ts"), at.alias("at"), F.explode(F.array(F.floor(at / width), F.floor(at / width) + 1)).alias("slot"))
-    e = events.select(*keys, F.col("event_id"), F.col("ts").alias("event_ts"), at.alias("when"), F.floor(at / width).alias("slot"))
-    met = a.join(e, [*keys, "slot"]).where((F.col("when") >= F.col("at")) & (F.col("when") <= F.col("at") + width))
-    first = F.rank().over(Window.partitionBy("anchor_id").orderBy("when"))
-    top = met.withColumn("r", first).where("r = 1")
-    return top.groupBy(*keys, "anchor_id", "anchor_ts").agg(F.count("*").alias("ties"), F.min("event_id").alias("event_id"), F.min("event_ts").alias("event_ts")).where("ties = 1").drop("ties")
+    slot = F.floor(F.col("at") / (width * span))
+    own = [*keys, "slot", "at"]
+    a = anchors.withColumn("at", at).where("at IS NOT NULL").select(*keys, slot.alias("slot"), "at", F.col("ts").alias("anchor_ts"), "anchor_id", F.lit(None).cast("struct<at: bigint, ties: bigint, event_id: bigint, event_ts: timestamp>").alias("event"))
+    once = events.withColumn("at", at).where("at IS NOT NULL").groupBy(*keys, "at").agg(F.count("*").alias("ties"), F.min("event_id").alias("event_id"), F.min("ts").alias("event_ts"))
+    both = F.when(F.col("at") - slot * (width * span) <= width, F.array(slot, slot - 1)).otherwise(F.array(slot))
+    e = once.select(*keys, F.explode(both).alias("slot"), "at", F.lit(None).cast(anchors.schema["ts"].dataType).alias("anchor_ts"), F.lit(None).cast(anchors.schema["anchor_id"].dataType).alias("anchor_id"), F.struct("at", "ties", F.col("event_id").cast("bigint").alias("event_id"), F.col("event_ts").cast("timestamp").alias("event_ts")).alias("event"))
+    following = Window.partitionBy(*keys, "slot").orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, 0)
+    met = a.select(*own, "anchor_ts", "anchor_id", "event").union(e.select(*own, "anchor_ts", "anchor_id", "event")).withColumn("next", F.last("event", ignorenulls=True).over(following))
+    hit = F.col("event").isNull() & (F.col("next.at") - F.col("at") <= width) & (F.col("next.ties") == 1)
+    return met.where(hit).select(*keys, "anchor_id", "anchor_ts", F.col("next.event_id").alias("event_id"), F.col("next.event_ts").alias("event_ts"))
 
 
 def interval_days(intervals: DataFrame, start: str = "start_ts", end: str = "end_ts") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark.functions import finite, ladder
+from tidemark.operators.slopes import median_slopes
 
 HALF_LIFE = 21.0  # days, fixed value
 
@@ -54,9 +55,7 @@ def weekly_rate(points: DataFrame, keys: list[str], window: int = 90, least: int
     last = points.groupBy(*keys).agg(F.max("day").alias("latest"))
     inside = points.join(last, keys).where(F.datediff("latest", "day") < window)
     sizes = inside.groupBy(*keys, "latest").agg(F.count("*").alias("n"), F.datediff(F.max("day"), F.min("day")).alias("days"))
-    later = inside.select(*keys, F.col("day").alias("day2"), F.col("value").alias("value2"))
-    pairs = inside.join(later, keys).where(F.col("day2") > F.col("day"))
-    slopes = pairs.groupBy(*keys).agg(F.median((F.col("value2") - F.col("value")) / F.datediff("day2", "day")).alias("slope"))
+    slopes = median_slopes(inside, keys)  # a point a day, window at most
     ok = (F.col("n") >= least) & (F.col("days") >= span)
     return sizes.join(slopes, keys, "left").select(*keys, "latest", "n", F.col("days").alias("span_days"), F.when(ok, F.col("slope") * 7).alias("per_week"), ladder((F.col("n") < least, "too_few_points"), (F.col("days") < span, "too_short_span")).alias("reason"))
 

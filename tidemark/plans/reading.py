@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tidemark.functions import idempotency_key
 from tidemark.operators import association, baseline, coverage, identity, joins, period, reading, weight
+from tidemark.operators.order_statistics import quantiles
+from tidemark.operators.slopes import slope_range
 from tidemark.plans import adapters
 from tidemark.plans.adapters import A, C, D, M, P, W
 from tidemark.plans.payloads import measured
@@ -275,10 +277,7 @@ def j11_bins_of_days(spark, sf):
 
 @query(f"""WITH {P} SELECT a.user_id, a.event_type, count(*) AS pairs, round(min((b.value - a.value) / (b.day - a.day)), 6) AS least, round(max((b.value - a.value) / (b.day - a.day)), 6) AS most FROM p a JOIN p b ON a.user_id = b.user_id AND a.event_type = b.event_type AND b.day > a.day WHERE a.value IS NOT NULL AND b.value IS NOT NULL GROUP BY ALL""")
 def j14_pairwise_slopes(spark, sf):
-    p = points(spark, sf).where("value IS NOT NULL").select(*KEYS, "day", "value")
-    later = p.withColumnsRenamed({"day": "day2", "value": "value2"})
-    slope = (F.col("value2") - F.col("value")) / F.datediff("day2", "day")
-    return rounded(p.join(later, KEYS).where("day2 > day").groupBy(*KEYS).agg(F.count("*").alias("pairs"), F.min(slope).alias("least"), F.max(slope).alias("most")), 6)
+    return rounded(slope_range(points(spark, sf).where("value IS NOT NULL"), KEYS), 6)
 
 
 @query("""WITH v AS (SELECT l_orderkey AS o, l_returnflag AS metric, max(l_extendedprice) AS v FROM lineitem GROUP BY ALL), r AS (SELECT metric, max(v) AS ref FROM v GROUP BY metric) SELECT o AS session, metric, round(v - ref, 2) AS below FROM v JOIN r USING (metric)""")
@@ -321,7 +320,7 @@ def c7_source_completeness(spark, sf):
 
 @query(f"""WITH {P} SELECT user_id, event_type, round(quantile_cont(value, 0.05), 7) AS p05, round(quantile_cont(value, 0.95), 7) AS p95 FROM p GROUP BY ALL""")
 def b2_type7_quantiles(spark, sf):
-    return rounded(points(spark, sf).groupBy(*KEYS).agg(F.percentile("value", 0.05).alias("p05"), F.percentile("value", 0.95).alias("p95")))
+    return rounded(quantiles(points(spark, sf), KEYS, "value", {"p05": 0.05, "p95": 0.95}))
 
 
 @query(f"""WITH {P} SELECT event_type, CASE WHEN status IN ('value', 'zero', 'partial') THEN CASE status WHEN 'value' THEN 'usable' ELSE status END WHEN status = 'ambiguous' THEN 'excluded' ELSE status END AS class, count(*) AS n FROM p GROUP BY ALL""")
