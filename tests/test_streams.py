@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import revision
-from tidemark.plans.streams import _bodies
+from tidemark.plans.streams import _bodies, paged
 from tidemark.streaming import corrections, pipelines, refreshes, webhooks
 
 RECEIPTS = "event_id long, ts timestamp, user_id long, value double, received long, day date"
@@ -119,3 +119,22 @@ def test_streams_without_rows(spark, tmp_path):
         pipelines.land(rows, f"{path}/landed")
         run(rows, path)
         assert read(path).count() == 0
+
+
+def test_pages_resume_from_their_token(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"row {i}", i // 4) for i in range(30)], "id long, text string, page int")
+
+    def take(path, pages, **options):
+        rows.where(F.col("page").isin(pages)).repartition("page").write.mode("append").partitionBy("page").parquet(f"{path}/pages")
+        return sorted((r.page, r.id, r.text, r.error) for r in paged(spark, path, options.pop("window", "w"), "id long, text string", **options).collect())
+
+    once = take(str(tmp_path / "once"), [0, 1, 2, 4, 5, 6, 7])
+    assert [x for x in once if x[3]] == [(3, None, None, "missing_page")] and len(once) == 27
+    parts = str(tmp_path / "parts")
+    assert len(take(parts, [0, 1])) == 8
+    assert len(take(parts, [])) == 8
+    take(parts, [2])
+    assert take(parts, [4, 5, 6, 7]) == once
+    with pytest.raises(Exception, match="another_window"):
+        take(parts, [8], window="other")
+    assert len(take(str(tmp_path / "few"), [0, 1, 2], most=2)) == 8
