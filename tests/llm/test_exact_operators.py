@@ -2,11 +2,13 @@
 
 import hashlib
 import math
+import random
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import brown_lm, topk
@@ -439,3 +441,26 @@ def test_brown_scores_odd_rows(spark):
     df = spark.createDataFrame([(None, "a b", 1), (1, "a b", 2), (1, "a b", 3), (2, "word " * 50_000, 4)], "doc_id long, text string, score int")
     out = brown_scores(df).collect()
     assert len(out) == 4 and len({round(r["score"], 9) for r in out if r["n_tokens"] == 3}) == 1 and "score" in out[0].asDict()
+
+
+@pytest.mark.parametrize("size", [3e4, 3e5, 1.2e6])
+def test_top_k_of_large_components(spark, size):
+    rng = random.Random(int(size))
+    vectors = [(i, [float(int(rng.uniform(-size, size))) for _ in range(6)]) for i in range(400)] + [(1000 + i, [size, size - i % 3, 0.0, 0.0, 1.0, 0.0]) for i in range(9)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    ints = {i: [int(1024 * x) for x in v] for i, v in vectors}
+    want = []
+    for q in (0, 100, 1000):
+        scored = sorted((-sum(a * b for a, b in zip(ints[q], v)), i) for i, v in ints.items() if i != q)[:10]
+        want += [(q, r, i, -s) for r, (s, i) in enumerate(scored, 1)]
+    assert any(abs(w[3]) > 2**53 for w in want)
+    assert sorted(tuple(r) for r in top_k(df, df.where("vec_id % 100 = 0 AND vec_id IN (0, 100, 1000)"), 10).collect()) == want
+
+
+def test_top_k_refuses_what_a_long_cannot_hold(spark):
+    df = spark.createDataFrame([(i, [3e9 + i]) for i in range(3)], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="beyond a long"):
+        top_k(df, df, 2).collect()
+    far = spark.createDataFrame([(1, [1e18]), (2, [1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="beyond a long"):
+        top_k(far, far, 2).collect()

@@ -208,8 +208,9 @@ def test_classifiers_with_repeated_null_and_clashing_rows(spark):
 def test_pipeline_stages_on_odd_rows(spark, tmp_path):
     """Empty tables, null ids and texts, repeated rows and clashing columns pass every stage."""
     rows = [(1, "one text of six words here", "en", "a", 26), (1, "one text of six words here", "en", "a", 26), (None, "no id but a text of its own", None, None, 27), (2, None, "en", "b", None), (3, "", None, "b", 0), (4, "another text that has words", "en", "b", 27)]
-    schema = DOCS + ", rank string, start int, slot string"
-    whole = spark.createDataFrame([(*r, "x", 1, "y") for r in rows], schema)
+    clashing = ["before", "budget", "whole", "src", "order_key", "weight", "n_tokens", "copies", "block", "upto", "copy", "score", "predicted"]
+    schema = DOCS + ", rank string, start int, slot string, " + ", ".join(f"{c} string" for c in clashing)
+    whole = spark.createDataFrame([(*r, "x", 1, "y", *[f"own {c}" for c in clashing]) for r in rows], schema)
     for name, docs_ in (("some", whole), ("none", whole.limit(0))):
         sf = str(tmp_path / name)
         docs_.write.parquet(f"{sf}/documents.parquet")
@@ -221,5 +222,6 @@ def test_pipeline_stages_on_odd_rows(spark, tmp_path):
             if stage_name != "shards":
                 assert seen.columns == before
         out = seen.collect()
+        assert all(r[c] == f"own {c}" for r in out for c in clashing)
         assert {"shard", "slot", "rank", "start"} <= set(seen.columns)
         assert (len(out) == 0) if name == "none" else len(out) >= 1

@@ -45,7 +45,7 @@ FROM reach LEFT JOIN n USING (doc_id) GROUP BY doc_id
 
 OP7 = r"""
 WITH RECURSIVE toks AS (
-  SELECT doc_id, source, coalesce(source, '') AS src, md5('mix:' || coalesce(doc_id::VARCHAR, '')) AS order_key,
+  SELECT doc_id, source, coalesce(source, '') AS src, md5('mix:' || coalesce(doc_id::VARCHAR, 'text:' || coalesce(text, ''))) AS order_key,
          len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS n_tokens
   FROM documents
 ), sources AS (

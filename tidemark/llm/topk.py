@@ -25,8 +25,13 @@ FOUND = "query_id long, vec_id long, score long"
 
 
 def quantised(column: str = "embedding", scale: int = 1024) -> Column:
-    """floor(scale * x) of every component, as long."""
-    return F.transform(column, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")))
+    """floor(scale * x) of every component, as long; an error where a long cannot hold it."""
+
+    def one(x: Column) -> Column:
+        scaled = F.lit(float(scale)) * x.cast("double")
+        return F.when(F.abs(scaled) < F.lit(2.0**63), F.floor(scaled)).otherwise(F.raise_error(F.lit("a scaled component is beyond a long")).cast("bigint"))
+
+    return F.transform(column, one)
 
 
 def usable(column: str = "embedding") -> Column:
@@ -38,19 +43,31 @@ def usable(column: str = "embedding") -> Column:
 def threshold_search(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, floors: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(query id, vector ids, scores) of the k best rows of a block for each query; ties to the smaller id, the query's own id left out.
 
-    floors: a score for each query below which nothing is wanted. vectors and queries hold whole
-    numbers as float64, exact below 2**53.
+    floors: a score for each query below which nothing is wanted. vectors and queries are int64. Where no score can reach
+    2**53 they are added up in float64, which is exact; else in int64, and bounds of unseen vectors get
+    the slack that float64 needs. A score that a long cannot hold is an OverflowError.
     """
     n, dims = vectors.shape
+    largest = [int(np.abs(x.astype(np.float64)).max(initial=0)) for x in (vectors, queries)]
+    small = largest[0] * largest[1] * dims < 1 << 53
+    held, asked = (vectors.astype(np.float64), queries.astype(np.float64)) if small else (vectors, queries)
     order = np.argsort(vectors, axis=0, kind="stable")
-    lists = np.take_along_axis(vectors, order, axis=0)
-    for qid, q, floor in zip(query_ids, queries, floors if floors is not None else np.full(len(query_ids), -np.inf), strict=True):
+    lists = np.take_along_axis(vectors, order, axis=0).astype(np.float64)
+    widest = np.abs(vectors.astype(np.float64)).max(axis=0)
+
+    def scores(rows: np.ndarray, q: np.ndarray) -> np.ndarray:
+        if not small and np.abs(rows.astype(np.float64) @ q.astype(np.float64)).max(initial=0) >= 2.0**63 * (1 - 1e-9):
+            raise OverflowError("a score is beyond a long")
+        return rows @ q
+
+    for qid, q, exact, floor in zip(query_ids, queries.astype(np.float64), asked, floors if floors is not None else np.full(len(query_ids), -(1 << 63)), strict=True):
+        slack = 0.0 if small else 1e-9 * float(np.abs(q) @ widest)
         up, down = np.flatnonzero(q > 0), np.flatnonzero(q < 0)
         seen = np.zeros(n, dtype=bool)
-        best_ids, best = np.zeros(0, dtype=np.int64), np.zeros(0)
+        best_ids, best = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=held.dtype)
         depth, step = 0, 32
         while depth < n:
-            if depth == 0 and q[up] @ lists[-1, up] + q[down] @ lists[0, down] < floor:
+            if depth == 0 and q[up] @ lists[-1, up] + q[down] @ lists[0, down] + slack < floor:
                 break
             to = min(n, depth + step)
             met = np.zeros(n, dtype=bool)
@@ -62,17 +79,17 @@ def threshold_search(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray
             seen |= met
             new = new[ids[new] != qid]
             if len(new):
-                best_ids, best = np.concatenate([best_ids, ids[new]]), np.concatenate([best, vectors[new] @ q])
+                best_ids, best = np.concatenate([best_ids, ids[new]]), np.concatenate([best, scores(held[new], exact)])
                 if len(best) > k:
                     keep = np.argpartition(-best, k - 1)[:k]
                     keep = np.flatnonzero(best >= best[keep].min())  # every tie of the kth
                     top = keep[np.lexsort((best_ids[keep], -best[keep]))[:k]]
                     best_ids, best = best_ids[top], best[top]
             depth, step = to, step * 4
-            bound = q[up] @ lists[n - depth, up] + q[down] @ lists[depth - 1, down]
+            bound = q[up] @ lists[n - depth, up] + q[down] @ lists[depth - 1, down] + slack
             if bound < floor or (len(best) >= k and bound < best.min()):
                 break
-        kept = best >= floor
+        kept = best >= int(floor)
         best_ids, best = best_ids[kept], best[kept]
         at = np.lexsort((best_ids, -best))
         yield int(qid), best_ids[at], best[at]
@@ -82,7 +99,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_column: str =
     """query_id, rank (from 1), vec_id, score of the k best rows of vectors for each row of queries.
 
     Only vectors of the query's dimension are candidates, never rows of the query's own id.
-    Rows with a null id or an unusable vector take no part. Repeated rows are candidates of
+    Scores are exact integers; one that a long cannot hold is an error, and so is such a scaled component.
+    Rows with a null id or an unusable vector take no part. An empty table gives an empty result. Repeated rows are candidates of
     their own, and repeated queries of one id count once. Extra columns are not read.
     """
     keep = F.col(id_column).isNotNull() & usable(column)
@@ -101,8 +119,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_column: str =
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         parts = []
         if left.num_rows and right.num_rows:
-            a, b = (np.array(x["v"].to_pylist(), dtype=np.float64) for x in (left, right))
-            floors = right["floor"].to_numpy().astype(np.float64)
+            a, b = (np.array(x["v"].to_pylist(), dtype=np.int64) for x in (left, right))
+            floors = right["floor"].to_numpy()
             for qid, ids, scores in threshold_search(left["vec_id"].to_numpy(), a, right["vec_id"].to_numpy(), b, k, floors):
                 parts.append((np.full(len(ids), qid), ids, scores.astype(np.int64)))
         found = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 3
@@ -115,7 +133,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_column: str =
 
     data, wanted = dealt(rows, "db", data_blocks, "qb", query_blocks), dealt(asked, "qb", query_blocks, "db", data_blocks)
     first = F.col("db") == F.col("qb") % data_blocks  # the block that each query block looks at first
-    none = F.lit(-(1 << 62))
+    none = F.lit(-(1 << 63))
     found = searched(data.where(first), wanted.where(first).withColumn("floor", none))
     if data_blocks > 1:
         head = written(found, "topk-first")
