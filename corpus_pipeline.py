@@ -16,11 +16,21 @@ from tidemark.llm.sharding import shard
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def _apart(docs: DataFrame, read: str) -> tuple[DataFrame, dict[str, str]]:
+    """docs with all columns but those that a stage reads under reserved names, and the way back: an operator's own columns meet none of them."""
+    others = {c: f"_kept_{i}_" for i, c in enumerate(docs.columns) if c not in read.split()}
+    return docs.withColumnsRenamed(others), {held: c for c, held in others.items()}
+
+
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier trained on the folder's labels does not reject (score of 0.3 and up)."""
+    """Documents that the classifier trained on the folder's labels does not reject (score of 0.3 and up).
+
+    Null and empty texts get a score as any other, repeated rows stand or fall together, an empty table stays empty; extra columns stay.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
     model = quality.fit(docs, labels)
-    return quality.score(docs, model, threshold=0.3).where("predicted = 1").select(*docs.columns)
+    held, back = _apart(docs, "doc_id text")
+    return quality.score(held, model, threshold=0.3).where("predicted = 1").select(*held.columns).withColumnsRenamed(back)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,9 +45,13 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at temperature weights of nearly full entropy, each read four times at most; a row for each copy."""
-    mixed = mix(docs, budget_share=1.0, entropy_share=0.98, max_repeat=4.0)
-    return mixed.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    """Sources at temperature weights of nearly full entropy, each read four times at most; a row for each copy.
+
+    A null source is a source of its own, texts without words are never read, repeated rows are rows of their own; an empty table stays empty. Extra columns stay.
+    """
+    held, back = _apart(docs, "doc_id text source")
+    mixed = mix(held, budget_share=1.0, entropy_share=0.98, max_repeat=4.0)
+    return mixed.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*held.columns).withColumnsRenamed(back)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
