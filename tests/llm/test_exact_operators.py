@@ -453,7 +453,7 @@ def test_top_k_of_large_components(spark, size):
     for q in (0, 100, 1000):
         scored = sorted((-sum(a * b for a, b in zip(ints[q], v)), i) for i, v in ints.items() if i != q)[:10]
         want += [(q, r, i, -s) for r, (s, i) in enumerate(scored, 1)]
-    assert any(abs(w[3]) > 2**53 for w in want)
+    assert (size > 1e5) == any(abs(w[3]) > 2**53 for w in want)
     assert sorted(tuple(r) for r in top_k(df, df.where("vec_id % 100 = 0 AND vec_id IN (0, 100, 1000)"), 10).collect()) == want
 
 
