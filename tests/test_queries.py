@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import tidemark.sources as sources
 from tidemark.functions.canonical import canonical_json
-from tidemark.plans import evidence_proofs, further, more, nights, payloads, provider, reading, revisions, rules, streams  # noqa: F401  they add their queries
+from tidemark.plans import evidence_proofs, further, more, nights, packets, payloads, provider, reading, revisions, rules, streams  # noqa: F401  they add their queries
 from tidemark.plans.registry import ORACLES, QUERIES
 from tidemark.session import TABLES
 from tidemark.streaming import pipelines

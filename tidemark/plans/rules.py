@@ -114,12 +114,15 @@ def w11_session_pivot(spark, sf):
   SELECT g.x_type, g.y_type, g.lag::INT AS lag, coalesce(any_value(pairs), 0) AS pairs, 0::BIGINT AS x_ambiguous, count(*) FILTER (WHERE yv IS NULL) AS y_absent, 0::BIGINT AS y_ambiguous,
   CASE WHEN any_value(pairs) >= 5 THEN round(any_value(rho), 7) END AS rho FROM g LEFT JOIN c ON c.lag = g.lag AND c.x_type = g.x_type AND c.y_type = g.y_type GROUP BY g.x_type, g.y_type, g.lag""")
 def l4_lagged_spearman(spark, sf):
-    """Every ordered pair of event types."""
+    """Every ordered pair of event types, of which there may be 64."""
     daily = adapters.measurements(spark, sf).groupBy("event_type", "day").agg(F.avg("value").alias("value"))
     one = association.one_per_day(daily, ["event_type"])
-    types = F.broadcast(one.select("event_type").distinct())
-    x = one.withColumnRenamed("event_type", "x_type").join(types.withColumnRenamed("event_type", "y_type"), F.col("x_type") != F.col("y_type"))
-    y = one.withColumnRenamed("event_type", "y_type").join(types.withColumnRenamed("event_type", "x_type"), F.col("x_type") != F.col("y_type"))
+    types = [r["event_type"] for r in one.select("event_type").distinct().limit(65).collect()]
+    if len(types) > 64:
+        raise ValueError("more than 64 types make too many pairs")
+    other = lambda own: F.explode(F.array_except(F.array(*[F.lit(t) for t in types]).cast("array<string>"), F.array(F.col(own))))
+    x = one.withColumnRenamed("event_type", "x_type").withColumn("y_type", other("x_type"))
+    y = one.withColumnRenamed("event_type", "y_type").withColumn("x_type", other("y_type"))
     return rounded(association.lagged_spearman(x, y, list(range(15)), keys=["x_type", "y_type"]))
 
 
