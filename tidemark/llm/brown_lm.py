@@ -7,8 +7,8 @@ that most of its occurrences prefer between their neighbours' classes, an exchan
 words at once. Words seen once share a class with unseen ones, the end has one of its own.
 Counts of all words are one shuffle of per-task sums.
 
-Tasks get a table of the most frequent words, HEAD at most, which only saves work: a word
-outside it meets its class and count by a join, and its sums return to the text by a shuffle
+Tasks get a table of the most frequent words, HEAD at most. Its size changes scores a little, as
+its words alone have transitions of their own (below). A word outside it meets its class and count by a join, and its sums return to the text by a shuffle
 in which two such words in a row meet again. Such a word holds less than about one in HEAD of
 all tokens, so none is a hot key. Class transitions are counted in tasks; those to and from
 words outside the table are shared out by the classes of these words over all data.
