@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark.functions import ladder, mid_rank_share
-from tidemark.operators.order_statistics import LIMIT, quantiles
+from tidemark.operators.order_statistics import LIMIT, larger, quantiles
 from tidemark.operators.slopes import median_slopes
 
 QUANTILES = {"p10": 0.1, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9}
@@ -44,9 +44,11 @@ def latest_position(points: DataFrame, keys: list[str], least: int = 5) -> DataF
     return met.select(*keys, "latest", "n", F.when(F.col("n") >= least, share).alias("percentile"))
 
 
-def robust_z(points: DataFrame, keys: list[str], least: int = 5, limit: int = LIMIT) -> DataFrame:
+def robust_z(points: DataFrame, keys: list[str], least: int = 5, limit: int | None = LIMIT) -> DataFrame:
     """Modified z of the latest value; unavailable where values are few or the median deviation is 0, which is still reported."""
     usable = points.where("value IS NOT NULL")
+    if larger(usable, keys, "value", limit).isEmpty():  # asked once for both medians
+        limit = None
     middle = quantiles(usable, keys, "value", {"median": 0.5}, F.count("*").alias("n"), F.max_by("value", "day").alias("latest"), limit=limit)
     apart = usable.join(middle, keys).withColumn("apart", F.abs(F.col("value") - F.col("median")))
     out = quantiles(apart, [*keys, "n", "latest", "median"], "apart", {"mad": 0.5}, limit=limit)

@@ -63,14 +63,19 @@ def ranged_quantiles(rows: DataFrame, keys: list[str], value: str, probabilities
     return met.select(*[F.col(k).alias(c) for c, k in zip(names, keys)], *values)
 
 
-def quantiles(rows: DataFrame, keys: list[str], value: str, probabilities: Mapping[str, float], *others: Column, limit: int = LIMIT) -> DataFrame:
+def larger(rows: DataFrame, keys: list[str], value: str, limit: int) -> DataFrame:
+    """keys of the groups with more than limit values; one row for each limit rows at most."""
+    return rows.groupBy(*keys).agg(F.count(value).alias("_values")).where(F.col("_values") > limit).select(*keys)
+
+
+def quantiles(rows: DataFrame, keys: list[str], value: str, probabilities: Mapping[str, float], *others: Column, limit: int | None = LIMIT) -> DataFrame:
     """keys, the other aggregates and a column for each named probability (null for groups without values); equal on both ways.
 
-    Which groups are larger than limit is told by a count that is aggregated before it is shuffled.
+    Which groups are larger than limit is told by a count that is aggregated before it is shuffled; limit None says that none is.
     """
     builtin = [F.percentile(value, p).alias(name) for name, p in probabilities.items()]
-    large = rows.groupBy(*keys).agg(F.count(value).alias("_values")).where(F.col("_values") > limit).select(*keys)  # one row for each limit rows at most
-    if large.isEmpty():
+    large = None if limit is None else larger(rows, keys, value, limit)
+    if large is None or large.isEmpty():
         return rows.groupBy(*keys).agg(*others, *builtin)
     on = _same("r", "g", keys)
     small = rows.alias("r").join(large.alias("g"), on, "left_anti").groupBy(*keys).agg(*others, *builtin)
