@@ -15,6 +15,13 @@ def measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", F.to_date("ts").alias("day"), "value", k.alias("k"), state.alias("state"))
 
 
+def user_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user with the first and the last day of the whole table."""
+    m = measurements(spark, sf_dir)
+    ends = m.agg(F.min("day").alias("start"), F.max("day").alias("end"))
+    return m.select("user_id").distinct().crossJoin(F.broadcast(ends))  # ends is one row
+
+
 M = """m AS (
   SELECT event_id, ts, user_id, event_type, ts::DATE AS day, value, k,
          CASE WHEN k % 17 = 0 THEN 'null' WHEN k % 19 = 0 THEN 'invalid' WHEN k % 23 = 0 THEN 'partial' WHEN value = 0 THEN 'zero' ELSE 'value' END AS state

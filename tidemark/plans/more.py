@@ -34,12 +34,12 @@ def n34_unit_conversion(spark, sf):
     return rounded(load(spark, sf, "events").select("event_id", to_kilograms(F.col("value"), unit).alias("kg")))
 
 
-@query("""WITH d AS (SELECT DISTINCT user_id, ts::DATE AS day FROM events WHERE value > 100), s AS (SELECT user_id, unnest(generate_series(DATE '2024-01-01', DATE '2024-01-30', INTERVAL 1 DAY))::DATE AS day FROM (SELECT DISTINCT user_id FROM events)),
+@query("""WITH d AS (SELECT DISTINCT user_id, ts::DATE AS day FROM events WHERE value > 100), s AS (SELECT user_id, unnest(generate_series((SELECT min(ts)::DATE FROM events), (SELECT max(ts)::DATE FROM events), INTERVAL 1 DAY))::DATE AS day FROM (SELECT DISTINCT user_id FROM events)),
   t AS (SELECT *, CASE WHEN (user_id + day(day)) % 2 = 0 THEN 'confirmed_empty' ELSE 'present' END AS status FROM s)
   SELECT t.user_id, t.day, CASE WHEN status = 'confirmed_empty' AND d.day IS NOT NULL THEN 'contradictory' ELSE status END AS status FROM t LEFT JOIN d ON d.user_id = t.user_id AND d.day = t.day""", dates="day")
 def c8_contradictions(spark, sf):
     m = adapters.measurements(spark, sf)
-    spans = m.select("user_id").distinct().select("user_id", F.lit("2024-01-01").cast("date").alias("start"), F.lit("2024-01-30").cast("date").alias("end"))
+    spans = adapters.user_spans(spark, sf)
     status = F.when((F.col("user_id") + F.dayofmonth("day")) % 2 == 0, "confirmed_empty").otherwise("present")
     return evidence.contradictions(m.where("value > 100"), coverage.calendar(spans).select("user_id", "day", status.alias("status")), ["user_id"])
 

@@ -190,11 +190,11 @@ def z20_local_clock(spark, sf):
     return measured(spark, sf).select("event_id", t.alias("t")).select("event_id", "t.*")
 
 
-@query(f"""WITH {M}, u AS (SELECT DISTINCT user_id FROM m), d AS (SELECT user_id, unnest(generate_series(DATE '2024-01-01', DATE '2024-01-30', INTERVAL 1 DAY))::DATE AS day FROM u), s AS (SELECT DISTINCT user_id, event_type AS source FROM m), p AS (SELECT user_id, event_type AS source, day, max(value) AS v FROM m GROUP BY ALL)
+@query(f"""WITH {M}, u AS (SELECT DISTINCT user_id FROM m), d AS (SELECT user_id, unnest(generate_series((SELECT min(ts)::DATE FROM events), (SELECT max(ts)::DATE FROM events), INTERVAL 1 DAY))::DATE AS day FROM u), s AS (SELECT DISTINCT user_id, event_type AS source FROM m), p AS (SELECT user_id, event_type AS source, day, max(value) AS v FROM m GROUP BY ALL)
   SELECT d.user_id, s.source, d.day, round(v, 7) AS value, v IS NULL AS gap, count(v) OVER (PARTITION BY d.user_id, d.day) AS present FROM d JOIN s ON s.user_id = d.user_id LEFT JOIN p ON p.user_id = d.user_id AND p.source = s.source AND p.day = d.day""", dates="day")
 def r19_source_range(spark, sf):
     m = measured(spark, sf)
-    spans = m.select("user_id").distinct().select("user_id", F.lit("2024-01-01").cast("date").alias("start"), F.lit("2024-01-30").cast("date").alias("end"))
+    spans = adapters.user_spans(spark, sf)
     points = m.groupBy("user_id", F.col("event_type").alias("source"), "day").agg(F.max("value").alias("value"))
     return rounded(night.source_points(coverage.calendar(spans).select("user_id", "day"), points.select("user_id", "source").distinct(), points, ["user_id"]))
 

@@ -59,12 +59,12 @@ def p11_source_discovery(spark, sf):
     return each.groupBy("user_id").agg(competing.alias("competing"), able.alias("able"), F.when(able == 0, "none").when(competing == 1, "unique").otherwise("several").alias("state"))
 
 
-@query(f"""WITH {M}, u AS (SELECT user_id, unnest(generate_series(DATE '2024-01-01', DATE '2024-01-30', INTERVAL 1 DAY))::DATE AS day FROM (SELECT DISTINCT user_id FROM m)), c AS (SELECT user_id, day, count(*) AS n FROM m GROUP BY ALL)
+@query(f"""WITH {M}, u AS (SELECT user_id, unnest(generate_series((SELECT min(ts)::DATE FROM events), (SELECT max(ts)::DATE FROM events), INTERVAL 1 DAY))::DATE AS day FROM (SELECT DISTINCT user_id FROM m)), c AS (SELECT user_id, day, count(*) AS n FROM m GROUP BY ALL)
   SELECT u.user_id, u.day, CASE WHEN n IS NULL AND (u.user_id + day(u.day)) % 2 = 0 THEN 0 ELSE n END AS n, NULL::DOUBLE AS mean FROM u LEFT JOIN c ON c.user_id = u.user_id AND c.day = u.day WHERE n IS NULL""", dates="day")
 def p6_proven_zero(spark, sf):
     """Days without a row: a true zero where the day is proven empty, for counts only."""
     m = adapters.measurements(spark, sf)
-    spans = m.select("user_id").distinct().select("user_id", F.lit("2024-01-01").cast("date").alias("start"), F.lit("2024-01-30").cast("date").alias("end"))
+    spans = adapters.user_spans(spark, sf)
     missing = coverage.missing_days(m, spans, ["user_id"])
     status = F.when((F.col("user_id") + F.dayofmonth("day")) % 2 == 0, "confirmed_empty").otherwise("unknown")
     none = F.lit(None).cast("bigint")
@@ -505,10 +505,10 @@ def u6_intersection(spark, sf):
     return load(spark, sf, "events").where("event_type = 'click'").select("user_id").intersect(load(spark, sf, "orders").where("o_orderstatus = 'P'").select("o_custkey"))
 
 
-@query("""WITH c AS (SELECT DISTINCT user_id, ts::DATE AS day FROM events WHERE event_type = 'view'), s AS (SELECT DISTINCT user_id FROM events) SELECT s.user_id, 30 - count(c.day) AS missing FROM s LEFT JOIN c USING (user_id) GROUP BY s.user_id""")
+@query("""WITH c AS (SELECT DISTINCT user_id, ts::DATE AS day FROM events WHERE event_type = 'view'), s AS (SELECT DISTINCT user_id FROM events) SELECT s.user_id, (SELECT date_diff('day', min(ts)::DATE, max(ts)::DATE) + 1 FROM events) - count(c.day) AS missing FROM s LEFT JOIN c USING (user_id) GROUP BY s.user_id""")
 def u4_missing_dates(spark, sf):
     m = adapters.measurements(spark, sf)
-    spans = m.select("user_id").distinct().select("user_id", F.lit("2024-01-01").cast("date").alias("start"), F.lit("2024-01-30").cast("date").alias("end"))
+    spans = adapters.user_spans(spark, sf)
     gone = coverage.missing_days(m.where("event_type = 'view'"), spans, ["user_id"])
     return spans.join(gone, "user_id", "left").groupBy("user_id").agg(F.count("day").alias("missing"))
 
@@ -567,7 +567,7 @@ def y6_scope_facts(spark, sf):
     return scopes(spark, sf).groupBy("family", "role").agg(F.count("*").alias("scopes"), F.count("success").alias("succeeded"), F.count("evidence_at").alias("with_instant"), F.count("evidence_day").alias("with_day"), F.count_if(F.col("coverage") == "complete").alias("complete"))
 
 
-@query("""WITH s AS (SELECT DISTINCT user_id, event_type FROM events), d AS (SELECT user_id, event_type, unnest(generate_series(DATE '2024-01-01', DATE '2024-01-30', INTERVAL 1 DAY))::DATE AS day FROM s), c AS (SELECT DISTINCT user_id, event_type, ts::DATE AS day FROM events)
+@query("""WITH s AS (SELECT DISTINCT user_id, event_type FROM events), d AS (SELECT user_id, event_type, unnest(generate_series((SELECT min(ts)::DATE FROM events), (SELECT max(ts)::DATE FROM events), INTERVAL 1 DAY))::DATE AS day FROM s), c AS (SELECT DISTINCT user_id, event_type, ts::DATE AS day FROM events)
   SELECT user_id, event_type, CASE WHEN day >= DATE '2024-01-24' THEN 'inside_trailing' ELSE 'outside_trailing' END AS place, count(*) AS gaps FROM d ANTI JOIN c USING (user_id, event_type, day) GROUP BY ALL""")
 def y7_history_gaps(spark, sf):
     m = adapters.measurements(spark, sf)

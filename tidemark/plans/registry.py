@@ -214,11 +214,11 @@ def y1_interval_union(spark, sf):
     return coverage.union_complete(rows, ["user_id"])
 
 
-@query("""WITH u AS (SELECT DISTINCT user_id FROM events), d AS (SELECT user_id, unnest(generate_series(DATE '2024-01-01', DATE '2024-01-30', INTERVAL 1 DAY))::DATE AS day FROM u)
+@query("""WITH u AS (SELECT DISTINCT user_id FROM events), d AS (SELECT user_id, unnest(generate_series((SELECT min(ts)::DATE FROM events), (SELECT max(ts)::DATE FROM events), INTERVAL 1 DAY))::DATE AS day FROM u)
   SELECT d.user_id, d.day FROM d WHERE NOT EXISTS (SELECT 1 FROM events e WHERE e.user_id = d.user_id AND e.ts::DATE = d.day)""", dates="day")
 def p9_missing_days(spark, sf):
     m = adapters.measurements(spark, sf)
-    spans = m.select("user_id").distinct().select("user_id", F.lit("2024-01-01").cast("date").alias("start"), F.lit("2024-01-30").cast("date").alias("end"))
+    spans = adapters.user_spans(spark, sf)
     return coverage.missing_days(m, spans, ["user_id"])
 
 
