@@ -352,7 +352,7 @@ def test_brown_scores_against_plain_python(spark, monkeypatch):
     asked = [["w0", "w30", "w31", "w1"], ["w29", "w28", "w27"], ["never", "w35"], ["w2"], [], ["never", "seen", "w0"]]
     rows = [(i, " ".join(t)) for i, t in enumerate(train)] + [(1000 + i, " ".join(t)) for i, t in enumerate(asked)]
     seen = {}
-    table, shared = brown_lm._table, brown_lm._shared_out
+    table = brown_lm._table
 
     def keep_table(vocabulary_, core, core_class, room):
         out = table(vocabulary_, core, core_class, room)
@@ -360,20 +360,20 @@ def test_brown_scores_against_plain_python(spark, monkeypatch):
         seen["head"] = dict(zip(out[0].tolist(), out[2].tolist(), strict=True))
         return out
 
-    def keep_counts(raw, tail):
-        seen["counts"] = shared(raw, tail)
-        return seen["counts"].copy()
-
     monkeypatch.setattr(brown_lm, "_table", keep_table)
-    monkeypatch.setattr(brown_lm, "_shared_out", keep_counts)
-    got = {r["doc_id"]: r["score"] for r in brown_scores(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") < 1000, core_words=4, table_words=3).collect()}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in brown_scores(df, F.col("doc_id") < 1000, core_words=4, table_words=3).collect()}
     hashed = {}
     for w in {*vocabulary, "never", "seen"}:
         for _, h, _ in brown_lm._tokens(pa.array([w])):
             hashed[w] = int(h[0])
     name = lambda c: "rare" if c == brown_lm.OTHER else "end" if c == brown_lm.END else c
     of = {w: seen["head"].get(h, seen["words"][h][1]) for w, h in hashed.items() if h in seen["words"]}
-    counts = {name(a): {name(b): seen["counts"][a, b] + 0.5 for b in range(brown_lm.ALL)} for a in range(brown_lm.ALL)}
+    counts = {name(a): {name(b): 0.5 for b in range(brown_lm.ALL)} for a in range(brown_lm.ALL)}
+    for t in train:
+        cs = ["end", *(name(of[w]) for w in t), "end"]
+        for a, b in zip(cs, cs[1:], strict=False):
+            counts[a][b] += 1
     words = {w: seen["words"][h][0] for w, h in hashed.items() if h in seen["words"]}
     assert len(seen["head"]) < len(words) / 2
     want = brute_brown(({w: name(c) for w, c in of.items()}, counts, words), asked)
@@ -381,6 +381,13 @@ def test_brown_scores_against_plain_python(spark, monkeypatch):
         assert abs(got[1000 + i] - x) < 1e-6
 
 
+def test_brown_table_changes_no_score(docs):
+    """Two sizes of the table, far below the vocabulary and above it, give equal scores."""
+    got = [{r["doc_id"]: r["score"] for r in brown_scores(docs, core_words=16, table_words=n).collect()} for n in (8, 300, None)]
+    for d, x in got[-1].items():
+        assert all(abs(other[d] - x) < 1e-9 * max(1, abs(x)) for other in got[:-1])
+
+
 def test_sharding_packs_every_group(spark):
     """All groups are placed by best fit: no shard is fuller than the mean plus one bin or the largest group, whatever the sizes."""
     import random

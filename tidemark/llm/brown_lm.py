@@ -7,11 +7,13 @@ that most of its occurrences prefer between their neighbours' classes, an exchan
 words at once. Words seen once share a class with unseen ones, the end has one of its own.
 Counts of all words are one shuffle of per-task sums.
 
-Tasks get a table of the most frequent words, HEAD at most. Its size changes scores a little, as
-its words alone have transitions of their own (below). A word outside it meets its class and count by a join, and its sums return to the text by a shuffle
-in which two such words in a row meet again. Such a word holds less than about one in HEAD of
-all tokens, so none is a hot key. Class transitions are counted in tasks; those to and from
-words outside the table are shared out by the classes of these words over all data.
+Tasks get a table of the most frequent words, HEAD at most, which only saves work: a word outside
+it meets its class and count by a join. Class transitions are counted in tasks where both words
+are in the table; any other pair of neighbours is summed by its words, which meet their classes
+by one join, or two if both are outside. In scoring, the sums of a word outside the table return
+to the text by a shuffle in which two such words in a row meet again. Such a word holds less than
+about one in HEAD of all tokens, so none is a hot key. CORE, CLASSES, PASSES and CONTEXT are the
+model's own sizes and so shape its scores.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ from tidemark.llm.textbytes import chunks, words
 CORE = 1023
 CLASSES = 32
 HEAD = 1 << 17
+CONTEXT = 1 << 17  # the most frequent words, whose classes the second sweep sees beside a word; all others are OTHER there
 OTHER, END = CLASSES, CLASSES + 1  # class of words seen once or never, class of the end
 PASSES = 2  # sweeps of all words over the corpus
 ALL = CLASSES + 2
@@ -184,15 +187,69 @@ def _vote_counts(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(w[head[code // CLASSES]]), pa.array((code % CLASSES).astype(np.int32)), pa.array(n.astype(np.int64))], names=["word", "vote", "n"])
 
 
+KNOWN, OPEN = -2, -1  # codes of _transitions: word is a pair of classes; both words of a pair are outside the table
+
+
 def _transitions(batches: Iterator[pa.RecordBatch], head: np.ndarray, classes: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Counts of pairs of classes; OTHER stands for all words outside the table."""
-    table, lookup, total = Table(head), np.append(classes, OTHER), np.zeros(ALL * ALL, dtype=np.int64)
+    """(word, code, other, n): counts of pairs of neighbours.
+
+    Pairs of known classes have KNOWN and the pair as word. Where one word is outside the table,
+    code is the class before it, or ALL + the class after it. Where both are, code is OPEN and
+    other the second word.
+    """
+    table, lookup, total = Table(head), np.append(classes, -1), np.zeros(ALL * ALL, dtype=np.int64)
+    parts, held = [], 0
     for batch in batches:
         for _, h, of_doc in _tokens(batch["text"]):
             c, _ = _with_ends(lookup[table.find(h)], of_doc, END)
-            total += np.bincount(np.append(END, c[:-1]) * ALL + c, minlength=ALL * ALL)
+            w, _ = _with_ends(h, of_doc, END_WORD)
+            before, word_before = np.append(END, c[:-1]), np.append(END_WORD, w[:-1])
+            left, right = before >= 0, c >= 0
+            known, comes, goes, both = left & right, left & ~right, ~left & right, ~left & ~right
+            total += np.bincount(before[known] * ALL + c[known], minlength=ALL * ALL)
+            code = np.concatenate([before[comes], ALL + c[goes], np.full(both.sum(), OPEN)])
+            other = np.concatenate([np.zeros(comes.sum() + goes.sum(), np.int64), w[both]])
+            parts.append((np.concatenate([w[comes], word_before[goes], word_before[both]]), code, other))
+            held += len(code)
+            if held >= TOKENS_AT_ONCE:
+                yield _transition_counts(parts)
+                parts, held = [], 0
+    if held:
+        yield _transition_counts(parts)
     at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["pair", "n"])
+    yield _transition_rows(at, np.full(len(at), KNOWN), np.zeros(len(at), np.int64), total[at])
+
+
+def _transition_counts(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    word, code, other = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((other, code, word))
+    word, code, other = word[order], code[order], other[order]
+    new = (word[1:] != word[:-1]) | (code[1:] != code[:-1]) | (other[1:] != other[:-1])
+    first = np.flatnonzero(np.append(True, new))
+    return _transition_rows(word[first], code[first], other[first], np.diff(np.append(first, len(word))))
+
+
+def _transition_rows(word: np.ndarray, code: np.ndarray, other: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(word), pa.array(code.astype(np.int32)), pa.array(other), pa.array(n.astype(np.int64))], names=["word", "code", "other", "n"])
+
+
+def _class_pairs(train: DataFrame, vocabulary: DataFrame, head: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Counts of all class transitions: words outside the table meet their class by a join, the second word of an open pair by another."""
+    class_of = vocabulary.select("word", "class")
+    counted = train.mapInArrow(lambda x: _transitions(x, head, classes), "word long, code int, other long, n long")
+    # one exchange by word serves both the sums and the join
+    sums = counted.repartition("word").groupBy("word", "code", "other").agg(F.sum("n").alias("n"))
+    pair = (
+        F.when(F.col("code") == KNOWN, F.col("word"))
+        .when(F.col("code") >= ALL, F.col("class") * ALL + F.col("code") - ALL)
+        .when(F.col("code") >= 0, F.col("code") * ALL + F.col("class"))
+    )
+    first = sums.join(class_of, "word", "left").select(
+        F.coalesce(pair, F.col("other")).alias("word"), F.when(F.col("code") == OPEN, F.col("class")).otherwise(KNOWN).alias("code"), "n"
+    )
+    second = first.groupBy("word", "code").agg(F.sum("n").alias("n")).join(class_of, "word", "left")
+    pair = F.when(F.col("code") == KNOWN, F.col("word")).otherwise(F.col("code") * ALL + F.col("class"))
+    return _square(second.select(pair.alias("pair"), "n"), ALL)
 
 
 _PARTS = "uid long, doc_id long, word long, pos int, before int, after int, n_tokens long, n_known long, base double, score double"
@@ -247,7 +304,8 @@ def brown_scores(docs: DataFrame, learn: Column | None = None, core_words: int |
     """doc_id, n_tokens, n_known, train_tokens, base_score, score for each row of docs.
 
     learn: the rows to learn from (all by default). core_words are clustered by exchange (CORE),
-    table_words at most go to tasks (HEAD). Words are [^\\x20\\x09-\\x0D]+ with A-Z
+    table_words at most go to tasks (HEAD), which
+    changes no score. Words are [^\\x20\\x09-\\x0D]+ with A-Z
     lowered; null text counts as empty, whose only token is the end. base_score is the add-one
     unigram score, score the class model's; both are log10. A row whose doc_id is null is
     scored like any other; repeated rows are scored each. With nothing to learn from, all words
@@ -279,9 +337,9 @@ def brown_scores(docs: DataFrame, learn: Column | None = None, core_words: int |
         if sweep:
             discard(vocabulary)
         vocabulary = written(words_.select("word", "n", own), "lm-vocabulary")
-        head, head_n, head_class, sizes, tail = _table(vocabulary, core, core_class, room)
-        raw = _square(train.mapInArrow(lambda x, head=head, of=head_class: _transitions(x, head, of), "pair long, n long"), ALL)
-        counts = _shared_out(raw, tail)
+        last = sweep == PASSES - 1
+        head, head_n, head_class, sizes = _table(vocabulary, core, core_class, room if last else CONTEXT)
+        counts = _class_pairs(train, vocabulary, head, head_class)
     whole = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.count_if(F.col("class") == OTHER).alias("once")).first()
     n_all, v_all, once = int(whole["n"]), int(whole["v"]), int(whole["once"])
     ends = int(sizes[END])
@@ -328,7 +386,7 @@ def brown_scores(docs: DataFrame, learn: Column | None = None, core_words: int |
 
 
 def _table(vocabulary: DataFrame, core: np.ndarray, core_class: np.ndarray, room: int) -> tuple[np.ndarray, ...]:
-    """(words, counts, classes) of the table that tasks get, tokens of each class over all data, and those of words outside the table.
+    """(words, counts, classes) of the table that tasks get, and tokens of each class over all data.
 
     The table takes whole levels of count from the top, as many words as there is room for, and the core, which keeps its classes.
     """
@@ -344,20 +402,11 @@ def _table(vocabulary: DataFrame, core: np.ndarray, core_class: np.ndarray, room
     chosen = vocabulary.where(((F.col("class") < OTHER) & (level >= F.lit(float(least)))) | is_core).toArrow()  # the table and the core at most
     head, head_n, head_class = chosen["word"].to_numpy(), chosen["n"].to_numpy(), chosen["class"].to_numpy().astype(np.int64)
     at = Table(core).find(head)
-    sizes, tail = np.zeros(ALL), np.zeros(ALL)
+    sizes = np.zeros(ALL)
     for r in vocabulary.groupBy("class").agg(F.sum("n").alias("n")).collect():  # a row for each class
         sizes[r["class"]] = r["n"]
-    tail[:END] = sizes[:END] - np.bincount(head_class, weights=head_n, minlength=ALL)[:END]
     moved = at >= 0
     np.add.at(sizes, head_class[moved], -head_n[moved])
     head_class[moved] = core_class[at[moved]]
     np.add.at(sizes, head_class[moved], head_n[moved])
-    return head, head_n, head_class, sizes, tail
-
-
-def _shared_out(raw: np.ndarray, tail: np.ndarray) -> np.ndarray:
-    """Class transitions in which row and column OTHER, which stand for all words outside the table, are shared out by these words' classes."""
-    share = tail / tail.sum() if tail.sum() else np.eye(ALL)[OTHER]
-    spread = np.eye(ALL)
-    spread[OTHER] = share
-    return spread.T @ raw @ spread
+    return head, head_n, head_class, sizes
