@@ -19,6 +19,18 @@ def ladder(*rules: tuple[Column, str], otherwise: Column | None = None) -> Colum
     return out.otherwise(otherwise) if otherwise is not None else out
 
 
+def strict_json(text: Column) -> Column:
+    """The variant of a text that is one JSON value and nothing else; null otherwise, also for a key that comes twice.
+
+    The parser stops after the first value, so the text is read as a field of an object that
+    must also reach its last field, whose value only the whole text can name.
+    """
+    end = F.sha2(text, 256)
+    v = F.try_parse_json(F.concat(F.lit('{"value":'), text, F.lit(',"end":"'), end, F.lit('"}')))
+    both = (F.size(F.map_keys(F.try_variant_get(v, "$", "map<string,variant>"))) == 2) & (F.try_variant_get(v, "$.end", "string") == end)
+    return F.when(both, F.try_variant_get(v, "$.value", "variant"))
+
+
 def mid_rank_share(less: Column, equal: Column, n: Column) -> Column:
     """100 * (less + equal / 2) / n."""
     return F.lit(100.0) * (less + F.lit(0.5) * equal) / n

@@ -1,13 +1,14 @@
-"""Queries of photo fields, stage lists and the combined persist. Fields and payloads are written from events; the oracles say what must come out."""
+"""Queries of photo fields, stage lists, the combined persist and strict drafts. Fields and payloads are written from events; the oracles say what must come out."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from tidemark.operators import intake
+from tidemark.operators import drafts, intake
 from tidemark.plans.adapters import M
 from tidemark.plans.payloads import E, K, measured, stage_parts, token
 from tidemark.plans.registry import query
+from tidemark.session import load
 
 _PHOTO = f"""{M}, f AS (SELECT event_id, ['weight', 'body_fat_pct', 'bone_mass', 'heart_rate'][event_id % 4 + 1] AS metric, ['kg', ' LBS ', 'percent', 'stone', '', NULL][event_id % 6 + 1] AS unit,
     CASE WHEN k % 3 > 0 THEN k / 80.0 END AS confidence, CASE WHEN event_id % 11 = 0 THEN day + 2 END AS fd, CASE WHEN event_id % 5 > 0 THEN CASE WHEN event_id % 8 = 0 THEN date_trunc('minute', ts) ELSE date_trunc('millisecond', ts) END END AS ft,
@@ -116,3 +117,61 @@ def k1_persisted_records(spark, sf):
 @query(f"""WITH {_PERSIST} SELECT scope, received, complete, outcome FROM (SELECT DISTINCT scope, day AS received, day(day) % 2 = 0 AS complete, 'new' AS outcome FROM a UNION ALL SELECT scope, day, day(day) % 2 = 0, outcome FROM results WHERE outcome <> 'replay')""", dates="received")
 def k1_persisted_observations(spark, sf):
     return stored_of_events(spark, sf).observations.select("scope", "received", "complete", "outcome")
+
+
+#: Why the draft of an order is refused, by its key modulo 23; other drafts are accepted.
+_DRAFT_FAULTS = """CASE WHEN o % 23 = 0 THEN 'invalid_json' WHEN o % 23 = 1 THEN 'extra_field:.' WHEN o % 23 = 2 THEN 'bad_text:pdf_sha256' WHEN o % 23 = 3 THEN 'wrong_type:incomplete' WHEN o % 23 = 4 THEN 'rule:result_date' WHEN o % 23 = 5 THEN 'missing:provenance'
+  WHEN o % 23 = 6 THEN 'not_allowed:provenance.transcription' WHEN o % 23 = 7 THEN 'not_object' WHEN o % 23 = 8 THEN 'rows.too_small:label_raw' WHEN o % 23 = 9 THEN 'rows.numeric_value' WHEN o % 23 = 10 AND n > 1 THEN 'duplicate_row_ids' WHEN o % 23 = 11 THEN 'rows' END"""
+_DRAFTS = f"""l AS (SELECT l_orderkey AS o, l_linenumber AS n, l_quantity AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity, l_partkey, l_suppkey) - 1 AS ordinal FROM lineitem),
+  d AS (SELECT o, n, {_DRAFT_FAULTS} AS reason FROM (SELECT o, count(*) AS n FROM l GROUP BY 1))"""
+
+
+def _draft_texts(spark, sf) -> DataFrame:
+    """A laboratory draft for each order, a row for each of its lines; every twelfth or so has a fault."""
+    o = F.col("l_orderkey")
+    case = lambda n: o % 23 == n
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_quantity", "l_partkey", "l_suppkey")
+    lines = load(spark, sf, "lineitem").withColumn("ordinal", F.row_number().over(w) - 1)
+    texts = lambda **fields: F.concat_ws(",", *[F.concat(F.lit(f'"{k}":'), v if not isinstance(v, str) else F.lit(v)) for k, v in fields.items()])
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    number = F.col("l_quantity").cast("decimal(12,2)").cast("string")
+    even = F.col("ordinal") % 2 == 0
+    source = '{"transcription":"manual","page":1,"support":null}'
+    row = texts(
+        row_id=quoted(F.concat(F.lit("r"), F.when(case(10), F.lit("0")).otherwise(F.col("ordinal").cast("string")))), label_raw=F.when(case(8), '""').otherwise('"Ferritin"'), result_raw=quoted(number), unit_raw="null", reference_raw="null", flag_raw="null",
+        value_kind=F.when(even, '"numeric"').otherwise('"qualitative"'), decimal=F.when(even & ~case(9), quoted(number)).otherwise("null"), comparator=F.when(even, '"≤"').otherwise("null"), qualitative=F.when(even, "null").otherwise('"negative"'),
+        method_raw="null", equipment_kit_notes="null", specimen_raw="null", specimen_date='{"value":"2024-02-29T07:30+02:00","precision":"minute"}', provenance=source, uncertainty="null",
+    )
+    rows = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("ordinal", F.concat(F.lit("{"), row, F.lit("}")).alias("row")))).alias("rows"))
+    listed = F.when(case(11), "[]").otherwise(F.concat(F.lit("["), F.array_join(F.transform("rows", lambda r: r["row"]), ","), F.lit("]")))
+    digest = F.sha2(o.cast("string"), 256)
+    whole = texts(
+        schema_version='"lab-draft-v1"', pdf_sha256=quoted(F.when(case(2), F.upper(F.concat(F.lit("a"), F.substring(digest, 2, 63)))).otherwise(digest)), scope='"single_report_single_patient"', patient_link='"unresolved"', report_link='"resolved"', source_match='"unverified"',
+        clinic_source="null", performing_lab='"L"', report_label="null", result_date=F.when(case(4), '{"value":"2024-02-30","precision":"date"}').otherwise('{"value":"2024-02-29","precision":"date"}'), printed_date="null", specimen_date="null",
+        provenance=F.when(case(6), '{"transcription":"guess","page":1,"support":null}').when(~case(5), source), field_provenance=F.lit('{"result_date":' + source + "}"), incomplete=F.when(case(3), "0").otherwise("false"), uncertainty="null",
+        note=F.when(case(1), "1"),
+    )
+    # concat_ws leaves out the fields that are null
+    text = F.concat(F.lit("{"), whole, F.lit(',"rows":'), listed, F.when(case(0), ',"rows":[]').otherwise(""), F.lit("}"))
+    return rows.select("l_orderkey", F.when(case(7), "[1]").otherwise(text).alias("text"))
+
+
+@query(f"WITH {_DRAFTS} SELECT o AS l_orderkey, reason, CASE WHEN reason IS NULL THEN sha256(o::VARCHAR) END AS pdf_sha256 FROM d")
+def s19_lab_drafts(spark, sf):
+    """Key 0 modulo 23 has a key twice."""
+    return drafts.lab_drafts(_draft_texts(spark, sf), ["l_orderkey"], "text").drop("rows")
+
+
+@query(f"""WITH {_DRAFTS} SELECT o AS l_orderkey, ordinal::INT AS ordinal, 'r' || ordinal AS row_id, q::DECIMAL(12,2)::VARCHAR AS result_raw, CASE WHEN ordinal % 2 = 0 THEN 'numeric' ELSE 'qualitative' END AS value_kind, CASE WHEN ordinal % 2 = 0 THEN q::DECIMAL(12,2)::VARCHAR END AS decimal,
+  CASE WHEN ordinal % 2 = 0 THEN '≤' END AS comparator, CASE WHEN ordinal % 2 = 1 THEN 'negative' END AS qualitative FROM l JOIN (SELECT o FROM d WHERE reason IS NULL) USING (o) WHERE o % 23 <> 10 OR ordinal = 0""")
+def s19_lab_rows(spark, sf):
+    found = drafts.lab_rows(drafts.lab_drafts(_draft_texts(spark, sf), ["l_orderkey"], "text"), ["l_orderkey"])
+    return found.select("l_orderkey", "ordinal", "row_id", "result_raw", "value_kind", "decimal", "comparator", "qualitative")
+
+
+@query("""SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'absent' WHEN 1 THEN 'size' WHEN 2 THEN 'invalid_json' WHEN 3 THEN 'not_object' WHEN 4 THEN 'size' END AS reason, CASE WHEN event_id % 6 = 5 THEN CAST(json_extract_string(props, '$.k') AS INT) END AS k FROM events""")
+def s18_extraction_objects(spark, sf):
+    """A landed extraction is one JSON object of bounded size: here 64 bytes."""
+    text = token(6, None, F.rpad("props", 65, " "), F.concat("props", F.lit("x")), F.concat(F.lit("["), "props", F.lit("]")), "", F.col("props"))
+    read = drafts.json_object(text, 64)
+    return load(spark, sf, "events").select("event_id", read["reason"].alias("reason"), F.try_variant_get(read["object"], "$.k", "int").alias("k"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tidemark.functions import strict_json
+
 #: Leading bytes of media types (fixed values).
 MAGIC = {"image/png": "89504e470d0a1a0a", "image/jpeg": "ffd8ff", "application/pdf": "255044462d", "application/gzip": "1f8b"}
 
@@ -31,9 +33,9 @@ def media_type(content: Column) -> Column:
 
 
 def payloads(spark: SparkSession, path: str) -> DataFrame:
-    """Landed JSON texts, a file each, as variants; invalid JSON and duplicate keys give null and are told apart from empty files."""
+    """Landed JSON texts, a file each, as variants; invalid JSON, duplicate keys and text after the value give null and are told apart from empty files."""
     texts = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    parsed = F.try_parse_json("value")
+    parsed = strict_json(F.col("value"))
     state = F.when(F.trim("value") == "", "empty").when(parsed.isNull(), "invalid").otherwise("parsed")
     return texts.select("path", parsed.alias("payload"), state.alias("state"))
 
