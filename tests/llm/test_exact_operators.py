@@ -9,9 +9,9 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrameWriter, functions as F
 
-from tidemark.llm import brown_lm, topk
+from tidemark.llm import brown_lm, mixing, topk
 from tidemark.llm.brown_lm import brown_scores, exchange
 from tidemark.llm.components import components
 from tidemark.llm.line_dedup import dedup_lines
@@ -471,3 +471,34 @@ def test_top_k_refuses_what_a_long_cannot_hold(spark):
     far = spark.createDataFrame([(1, [1e18]), (2, [1.0])], "vec_id long, embedding array<double>")
     with pytest.raises(Exception, match="beyond a long"):
         top_k(far, far, 2).collect()
+
+
+def test_joins_of_written_tables_broadcast_nothing(docs, monkeypatch):
+    plans, write = [], DataFrameWriter.parquet
+
+    def seen(self, path, *args, **named):
+        plans.append(self._df._jdf.queryExecution().executedPlan().toString())
+        return write(self, path, *args, **named)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", seen)
+    before = docs.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    similar_documents(docs)
+    assert sum("SortMergeJoin" in p for p in plans) >= 5
+    assert not [p for p in plans if "BroadcastHashJoin" in p]
+    assert docs.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold") == before
+
+
+def test_mixing_tries_exponents_in_few_jobs(spark, docs, monkeypatch):
+    def mixed(group):
+        spark.sparkContext.setJobGroup(group, "")
+        try:
+            rows = sorted(mix(docs, entropy_share=0.98).select("doc_id", "weight", "copies", "block").collect())
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return rows, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    fine, few = mixed("mix-fine")
+    monkeypatch.setattr(mixing, "FEW", 0)
+    coarse, many = mixed("mix-coarse")
+    assert fine == coarse
+    assert few <= 40 and few < many  # 31 here, 58 when each try summed the blocks anew

@@ -10,7 +10,7 @@ from tidemark.llm._common import discard, written
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
     """One star step over (u, v) with u > v: every node's neighbours are tied to the least of them."""
     if large:
-        sides = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        sides = edges.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("side")).select("side.*")
         least = sides.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
         out = sides.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -27,10 +27,10 @@ def components(links: DataFrame) -> DataFrame:
     number of rounds grows with the logarithm of the nodes. The minima are pre-aggregated and
     the joins can be split by key, so the hub of a large star is no single task.
     """
-    edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+    edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links", merged=True)
     state = None
     while True:
-        after = written(_stars(_stars(edges, True), False), "links")
+        after = written(_stars(_stars(edges, True), False), "links", merged=True)
         now = after.agg(F.count("*").alias("n"), F.sum(F.hash("u", "v").cast("long")).alias("h")).first()
         discard(edges)
         edges = after

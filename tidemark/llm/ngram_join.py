@@ -171,14 +171,14 @@ def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFr
     number = F.row_number().over(Window.partitionBy("a", "part").orderBy("b"))
     # Followers of a hot leader are cut up by hash before they are numbered.
     dealt = pairs.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(64))).withColumn("part", F.col("part") * 1_000_000 + F.floor(number / FOLLOWERS))
-    grouped = written(dealt.select("a", "b", F.xxhash64("a", "part").alias("grp")), "join-pairs")
+    grouped = written(dealt.select("a", "b", F.xxhash64("a", "part").alias("grp")), "join-pairs", merged=True)
     members = grouped.select("grp", F.col("b").alias("doc_id"), F.lit(False).alias("head")).unionAll(
         grouped.select("grp", F.col("a").alias("doc_id"), F.lit(True).alias("head")).distinct()
     )
     shown = docs.select("doc_id", text_or_empty().alias("text")).join(members.hint("merge"), "doc_id")
     # of repeated rows of one doc_id any will do as a leader: the group keeps the last one read
     links = shown.repartition("grp").sortWithinPartitions("grp", F.desc("head"), "doc_id").select("grp", "doc_id", "head", "text")
-    out = written(links.mapInArrow(lambda x: _verify(x, k, percent), "a long, b long"), "join-links")
+    out = written(links.mapInArrow(lambda x: _verify(x, k, percent), "a long, b long"), "join-links", merged=True)
     discard(grouped)
     return out
 
@@ -207,21 +207,21 @@ def similar_documents(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFra
     ordered = dealt.repartition("key").sortWithinPartitions("listed", "key", "doc_id", "packed", "member")
     lists = written(ordered.mapInArrow(_shared_lists, _LISTS), "join-lists")
     sets = lists.where("token IS NULL").select("doc_id", "member", "size", (F.col("extension") == 1).alias("again"))
-    classes = written(sets.where("size > 0").groupBy("member", "size").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")), "join-classes")
+    classes = written(sets.where("size > 0").groupBy("member", "size").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")), "join-classes", merged=True)
     posted = lists.where("token IS NOT NULL")
     stars = _verified(texts, _stars(posted, classes, percent), k, percent)
     labels = _labels(stars).toDF("id", "component")
-    placed = written(classes.join(labels, "id", "left").select("member", "size", "id", F.coalesce("component", "id").alias("component")), "join-labels")
+    placed = written(classes.join(labels, "id", "left").select("member", "size", "id", F.coalesce("component", "id").alias("component")), "join-labels", merged=True)
     known = posted.select("token", "member", "size", "extension").join(placed, ["member", "size"])
-    rest = written(_mixed_lists(known).select("id", "token", "size", "extension", "component"), "join-rest")
+    rest = written(_mixed_lists(known).select("id", "token", "size", "extension", "component"), "join-rest", merged=True)
     discard(placed)
-    picks = written(_picks(rest), "join-picks")
+    picks = written(_picks(rest), "join-picks", merged=True)
     links, left = stars, rest
     if not picks.isEmpty():
         links = stars.unionAll(_verified_clusters(texts, picks, k, percent))
         labels = components(links).toDF("id", "component")
         known = rest.drop("component").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        left = written(_mixed_lists(known), "join-rest")
+        left = written(_mixed_lists(known), "join-rest", merged=True)
         discard(rest)
     left = left.join(picks, "id", "left")
     # What is left: pairs of two labels that no cluster has compared, by size and shared shingles.
@@ -240,7 +240,7 @@ def similar_documents(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFra
         twice = sets.join(sets.where("again").select("doc_id").distinct(), "doc_id", "left_semi").join(classes, ["member", "size"])
         links = links.unionAll(twice.groupBy("doc_id").agg(F.min("id").alias("a"), F.collect_set("id").alias("b")).select("a", F.explode("b").alias("b")))
     final = components(links)
-    placed = classes.join(final, classes["id"] == final["node"], "left").select("member", "size", "n", F.coalesce("component", "id").alias("component_id"))
+    placed = classes.join(final.hint("merge"), classes["id"] == final["node"], "left").select("member", "size", "n", F.coalesce("component", "id").alias("component_id"))
     return _spread(sets, placed).select("doc_id", F.col("size").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
@@ -249,7 +249,7 @@ def _spread(sets: DataFrame, placed: DataFrame) -> DataFrame:
     on = ["member", "size"]
     hot = F.broadcast(placed.where(F.col("n") > F.lit(placed.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"] / HOT)).drop("n"))
     rows = sets.select("doc_id", *on)
-    few = rows.join(hot, on, "left_anti").join(placed.drop("n"), on, "left")
+    few = rows.join(hot, on, "left_anti").join(placed.drop("n").hint("merge"), on, "left")
     return rows.join(hot, on).select("doc_id", "size", "component_id").unionAll(few.select("doc_id", "size", "component_id"))
 
 
@@ -260,8 +260,8 @@ def _labels(stars: DataFrame) -> DataFrame:
     """
     up = stars.groupBy("b").agg(F.min("a").alias("a"))
     back = up.select(F.col("b").alias("a"), F.col("a").alias("b"), F.lit(True).alias("back"))
-    up = written(up.join(back, ["a", "b"], "left").where("back IS NULL OR b > a").select("b", "a"), "join-leaders")
-    onward = written(up.join(up.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select(F.col("b").alias("top"), F.col("a").alias("next")), "join-leaders")  # leaders' leaders
+    up = written(up.join(back, ["a", "b"], "left").where("back IS NULL OR b > a").select("b", "a"), "join-leaders", merged=True)
+    onward = written(up.join(up.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select(F.col("b").alias("top"), F.col("a").alias("next")), "join-leaders", merged=True)  # leaders' leaders
     led = up.select(F.col("b").alias("node"), F.col("a").alias("top"))
     for _ in range(4):
         led = led.join(onward, "top", "left").select("node", F.coalesce("next", "top").alias("top"))
@@ -311,7 +311,7 @@ def _verified_clusters(docs: DataFrame, picks: DataFrame, k: int, percent: int)
     grouped = cut.select(F.col("id").alias("doc_id"), F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other")).alias("grp"))
     shown = docs.select("doc_id", text_or_empty().alias("text")).join(grouped.hint("merge"), "doc_id")
     rows = shown.repartition("grp").sortWithinPartitions("grp", "doc_id").select("grp", "doc_id", "text")
-    return written(rows.mapInArrow(lambda x: _verify_groups(x, k, percent), "a long, b long"), "join-links")
+    return written(rows.mapInArrow(lambda x: _verify_groups(x, k, percent), "a long, b long"), "join-links", merged=True)
 
 
 def _verify_groups(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
