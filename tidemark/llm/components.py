@@ -24,8 +24,8 @@ def components(links: DataFrame) -> DataFrame:
     """(node, component) for all nodes of links (a, b); component is the least node reachable.
 
     Null ends and self-links are left out. Each round is written to the shared folder; the
-    number of rounds grows with the logarithm of the nodes. The minima are pre-aggregated and
-    the joins can be split by key, so the hub of a large star is no single task.
+    number of rounds grows with the logarithm of the nodes. The minima are pre-aggregated;
+    the rows of a hub, two longs each, meet their minimum in one task.
     """
     edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links", merged=True)
     state = None

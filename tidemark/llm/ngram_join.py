@@ -305,9 +305,11 @@ def _verified_clusters(docs: DataFrame, picks: DataFrame, k: int, percent: int)
     so a set travels once for each block of its list, not once for each pair.
     """
     members = picks.select("id", F.explode("picks").alias("token"))
-    blocks = members.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    # Lists of one block need no number; longer ones are at most one for BLOCK rows, so the longest is not gathered by its key.
+    long = members.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")).where("blocks > 1")
+    numbered = members.join(F.broadcast(long), "token", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     own = F.pmod(F.xxhash64("id"), F.col("blocks"))
-    cut = members.join(blocks, "token").select("id", "token", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    cut = numbered.select("id", "token", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     grouped = cut.select(F.col("id").alias("doc_id"), F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other")).alias("grp"))
     shown = docs.select("doc_id", text_or_empty().alias("text")).join(grouped.hint("merge"), "doc_id")
     rows = shown.repartition("grp").sortWithinPartitions("grp", "doc_id").select("grp", "doc_id", "text")
