@@ -31,6 +31,12 @@ def strict_json(text: Column) -> Column:
     return F.when(both, F.try_variant_get(v, "$.value", "variant"))
 
 
+def rounded_double(x: Column, places: int) -> Column:
+    """x rounded half away from zero after it is scaled as a double, as SQL engines do it; F.round looks at the shortest decimal instead."""
+    scale = F.lit(float(10**places))
+    return F.round(x * scale) / scale
+
+
 def mid_rank_share(less: Column, equal: Column, n: Column) -> Column:
     """100 * (less + equal / 2) / n."""
     return F.lit(100.0) * (less + F.lit(0.5) * equal) / n

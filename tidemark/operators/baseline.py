@@ -22,6 +22,17 @@ def series(candidates: DataFrame, keys: list[str]) -> DataFrame:
     return one.select(*keys, "day", "rows", status.alias("status"), F.when(usable, F.col("v")).alias("value"))
 
 
+def ordered_means(rows: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
+    """mean and n of the values of each key, added up one by one in the given order.
+
+    A sum of doubles depends on its order, and this one holds however the rows are dealt to tasks. order is unique among the
+    rows of a key; the running sum passes sorted rows and holds none of them.
+    """
+    sofar = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    steps = rows.where(F.col(value).isNotNull()).select(*keys, F.sum(value).over(sofar).alias("total"), F.count("*").over(sofar).alias("n"))
+    return steps.groupBy(*keys).agg(F.max_by("total", "n").alias("total"), F.max("n").alias("n")).select(*keys, (F.col("total") / F.col("n")).alias("mean"), "n")
+
+
 def availability(points: DataFrame, keys: list[str]) -> DataFrame:
     """Points of each status; usable holds values, zeros and partial values."""
     codes = ["value", "zero", "partial", "null", "invalid", "ambiguous"]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tidemark.functions import idempotency_key
+from tidemark.functions import idempotency_key, rounded_double
 from tidemark.operators import association, baseline, coverage, identity, joins, period, reading, weight
 from tidemark.operators.order_statistics import quantiles
 from tidemark.operators.slopes import slope_range
@@ -675,7 +675,7 @@ def x9_promoted_refreshes(spark, sf):
 def _halves(spark, sf) -> tuple[DataFrame, DataFrame]:
     p = points(spark, sf).where("value IS NOT NULL")
     cut = F.lit("2024-01-16").cast("date")
-    side = lambda c: p.where(c).groupBy(*KEYS).agg(F.avg("value").alias("mean"), F.count("*").alias("n"))
+    side = lambda c: baseline.ordered_means(p.where(c), KEYS, ["day"], "value")
     return side(F.col("day") >= cut), side(F.col("day") < cut)
 
 
@@ -686,7 +686,7 @@ _HALVES = f"""{P}, n AS (SELECT user_id, event_type, avg(value) AS m, count(*) A
 
 @query(f"WITH {_HALVES} SELECT user_id, event_type, change, round(r, 6) AS ratio, reason FROM f")
 def p12_notable_changes(spark, sf):
-    return rounded(reading.notable_changes(*_halves(spark, sf), KEYS), 6)
+    return reading.notable_changes(*_halves(spark, sf), KEYS).withColumn("ratio", rounded_double(F.col("ratio"), 6))
 
 
 @query(f"WITH {_HALVES} SELECT user_id, count(*) FILTER (WHERE change = 'higher') AS higher, count(*) FILTER (WHERE change = 'lower') AS lower, count(*) FILTER (WHERE change = 'similar') AS similar, count(reason) AS unsaid FROM f GROUP BY user_id")
