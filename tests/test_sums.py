@@ -36,7 +36,7 @@ def test_means_are_added_up_in_the_given_order(spark):
     assert {r.g: (r["mean"], r.n) for r in got.collect()} == {g: (t / n, n) for g, (t, n) in want.items()}
 
 
-@pytest.mark.parametrize("name", ["p12_notable_changes", "q4_period_brief"])
+@pytest.mark.parametrize("name", ["p12_notable_changes", "q4_period_brief", "q9_packet_digests"])
 def test_changes_against_zero_and_at_ties_equal_the_sql(spark, tmp_path, name):
     series = [  # values by day of one user: before and from the 16th on
         ([42.41, 38.97, 29.35, 49.27], [133.68, 11.95, 49.76, 47.92]),  # 0.5206875 is a hair less when it is scaled as a double
