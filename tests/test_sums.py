@@ -47,3 +47,17 @@ def test_changes_against_zero_and_at_ties_equal_the_sql(spark, tmp_path, name):
     pq.write_table(table, tmp_path / "events.parquet")
     names, want = oracle(tmp_path, "events", name)
     assert sorted(str(tuple(r[n] for n in names)) for r in QUERIES[name](spark, str(tmp_path)).collect()) == want
+
+
+@pytest.mark.parametrize("name", ["k12_frozen_runs"])
+def test_runs_do_not_hang_on_the_splits_of_the_table(spark, tmp_path, name):
+    pq.write_table(pq.read_table("/root/testdata/sf0.01/lineitem.parquet"), tmp_path / "lineitem.parquet", row_group_size=7000)
+    sizes = {"spark.sql.files.maxPartitionBytes": "64k", "spark.sql.files.openCostInBytes": "1k"}
+    for k, v in sizes.items():
+        spark.conf.set(k, v)
+    try:
+        names, want = oracle(tmp_path, "lineitem", name)
+        assert sorted(str(tuple(r[n] for n in names)) for r in QUERIES[name](spark, str(tmp_path)).collect()) == want
+    finally:
+        for k in sizes:
+            spark.conf.unset(k)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.functions import idempotency_key
 from tidemark.functions.canonical import manifest_hash
-from tidemark.operators import devices, proof
+from tidemark.operators import baseline, devices, proof
 from tidemark.plans import adapters
 from tidemark.plans.adapters import M
 from tidemark.plans.registry import KEYS, query, rounded
@@ -140,9 +140,13 @@ def b11_frozen_inputs(spark, sf):
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Days on which a cohort has both flags, with whole cents."""
-    cents = lambda c: F.round(F.col(c) * 100).cast("long").alias(c)
-    return adapters.paired(spark, sf_dir).select("cohort", "day", cents("a"), cents("b"))
+    """Days on which a cohort has both flags, with whole cents; prices are added up as they stand in the table, since half a cent hangs on their order."""
+    cents = lambda f: F.max(F.when(F.col("l_returnflag") == f, F.round(F.col("mean") * 100).cast("long")))
+    rows = load(spark, sf_dir, "lineitem").where(F.col("l_returnflag").isin("A", "R")).select(
+        F.col("l_linestatus").alias("cohort"), F.to_date("l_shipdate").alias("day"), "l_returnflag", "l_extendedprice", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"),
+    )
+    means = baseline.ordered_means(rows, ["cohort", "day", "l_returnflag"], ["file", "row"], "l_extendedprice")
+    return means.groupBy("cohort", "day").agg(cents("A").alias("a"), cents("R").alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
 
 
 _PAIRS = """p AS (SELECT l_linestatus AS cohort, l_shipdate::DATE AS day, round(avg(CASE WHEN l_returnflag = 'A' THEN l_extendedprice END) * 100)::BIGINT AS a, round(avg(CASE WHEN l_returnflag = 'R' THEN l_extendedprice END) * 100)::BIGINT AS b,
