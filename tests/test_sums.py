@@ -49,7 +49,7 @@ def test_changes_against_zero_and_at_ties_equal_the_sql(spark, tmp_path, name):
     assert sorted(str(tuple(r[n] for n in names)) for r in QUERIES[name](spark, str(tmp_path)).collect()) == want
 
 
-@pytest.mark.parametrize("name", ["k12_frozen_runs"])
+@pytest.mark.parametrize("name", ["k12_frozen_runs", "j20_run_report"])
 def test_runs_do_not_hang_on_the_splits_of_the_table(spark, tmp_path, name):
     pq.write_table(pq.read_table("/root/testdata/sf0.01/lineitem.parquet"), tmp_path / "lineitem.parquet", row_group_size=7000)
     sizes = {"spark.sql.files.maxPartitionBytes": "64k", "spark.sql.files.openCostInBytes": "1k"}
