@@ -137,3 +137,11 @@ def test_list_digest_depends_on_rows_and_order_alone(spark):
     shuffled = random.Random(1).sample(rows, len(rows))
     assert make(rows) == make(shuffled) and make(rows).n == 50
     assert make(rows).digest != make([*rows[:-1], ("x", 49, 99)]).digest
+
+
+def test_a_proof_ships_only_what_later_checks_read(spark):
+    plan = evidence_proofs.b8_placeholder_proof(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    joins = [i for i, line in enumerate(plan) if "Join " in line]
+    assert len(joins) == 7 and all("Join LeftOuter" in plan[i] for i in joins)
+    last = plan[joins[0] + 1]  # what the last join reads of all that was joined before
+    assert "Project [" in last and not any(c in last for c in ("content_hash", "source_path", "collection_key", "metric_unit", "fingerprint AS"))

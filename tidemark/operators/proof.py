@@ -26,10 +26,14 @@ def with_failures(rows: DataFrame, checks: Mapping[str, Column]) -> DataFrame:
     if len(checks) > 63:
         raise ValueError("a long holds 63 checks at most")
     bits = [F.when(F.coalesce(held, F.lit(False)), F.lit(0)).otherwise(F.lit(1 << i)).cast("long") for i, held in enumerate(checks.values())]
-    failed = reduce(lambda a, b: a.bitwiseOR(b), bits, F.lit(0).cast("long"))
-    named = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(1 << i).cast("long").alias("bit")) for i, name in enumerate(checks)])
+    return named_failures(rows.withColumn("failed", reduce(lambda a, b: a.bitwiseOR(b), bits, F.lit(0).cast("long"))), list(checks))
+
+
+def named_failures(rows: DataFrame, names: Sequence[str]) -> DataFrame:
+    """rows with the names of the bits of failed as reasons."""
+    named = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(1 << i).cast("long").alias("bit")) for i, name in enumerate(names)])
     reasons = F.transform(F.filter(named, lambda x: F.col("failed").bitwiseAND(x["bit"]) != 0), lambda x: x["name"])
-    return rows.withColumn("failed", failed).withColumn("reasons", reasons)
+    return rows.withColumn("reasons", reasons)
 
 
 def observation_key(observation: Column, content_hash: Column) -> Column:
@@ -96,15 +100,46 @@ def placeholder_checks(metric_code: str = "stress_daily_average", capability: st
     }
 
 
+#: The tables in the order in which they are joined, and what names their row.
+_JOINS = {
+    "record": "record_id", "source": "_record_source_id", "metric": "metric_id", "payload": "payload_id", "observation": "observation_id", "event": "_observation_event_id", "batch": "_event_batch_id",
+}
+#: The checks that read one table alone, and those that read it and tables joined before it.
+_ALONE = {
+    "record": "record_absent surface projection_status record_stream local_date source_path contract reconciliation", "source": "source_absent source_kind source_provider",
+    "metric": "metric_absent metric_code capability metric_state number text collection metric_reason unit", "payload": "payload_absent payload_stream payload_format",
+    "observation": "observation_absent observation_stream observation_format", "event": "event_absent event_stream event_status", "batch": "batch_absent batch_status batch_kind batch_parser",
+}
+_AGAINST = {
+    "record": "", "source": "collection_key", "metric": "field_path metric_record attribution", "payload": "record_payload payload_source",
+    "observation": "contract_of_observation reconciliation_of_observation observation_source observation_payload observation_artifact observation_filename ingest_event observation_key",
+    "event": "event_source event_artifact event_fingerprint", "batch": "batch_source batch_version",
+}
+#: Checks that a value is null; they hold over an absent row.
+_NULL = "number text collection metric_reason".split()
+
+
 def placeholder_proof(candidates: DataFrame, tables: Mapping[str, DataFrame], **fixed) -> DataFrame:
     """candidates (record_id, metric_id, payload_id, observation_id) with failed, reasons and proven.
 
     tables: record, metric, payload, observation, source, event and batch, each with an id that is unique in it. The evidence
-    of a candidate is joined once, with absent rows as nulls, and all checks are read off the joined row.
+    of a candidate is joined once, with absent rows as nulls. Each check is made as soon as what it reads is there, on one table
+    before it is joined, and is a bit from then on, so that a join ships only what later checks read.
     """
-    met = candidates.select(F.struct(*candidates.columns).alias("candidate"))
-    own = {name: f"candidate.{name}_id" for name in ("record", "metric", "payload", "observation")}
-    for name, at in {**own, "source": "record.source_id", "event": "observation.event_id", "batch": "event.batch_id"}.items():
-        found = tables[name].select(F.col("id").alias("_id"), F.struct(*tables[name].columns).alias(name))
-        met = met.join(found, F.col(at) == F.col("_id"), "left").drop("_id")
-    return with_failures(met, placeholder_checks(**fixed)).select("candidate.*", "failed", "reasons", (F.col("failed") == 0).alias("proven"))
+    checks = placeholder_checks(**fixed)
+    bits = {name: 1 << i for i, name in enumerate(checks)}
+    failing = lambda names: reduce(lambda a, b: a.bitwiseOR(b), [F.when(F.coalesce(checks[n], F.lit(False)), F.lit(0)).otherwise(F.lit(bits[n])).cast("long") for n in names], F.lit(0).cast("long"))
+    met, joined = candidates.withColumn("_failed", F.lit(0).cast("long")), []
+    for name, at in _JOINS.items():
+        columns = tables[name].columns
+        alone, against = _ALONE[name].split(), _AGAINST[name].split()
+        rows = tables[name].select(F.struct(*columns).alias(name))
+        found = rows.select(failing(alone).alias(f"_{name}"), *[F.col(name)[c].alias(f"_{name}_{c}") for c in columns])
+        absent = sum(bits[n] for n in alone if n not in _NULL)
+        joined.append((name, columns))
+        met = met.join(found, F.col(at) == F.col(f"_{name}_id"), "left")
+        plain = met.columns
+        here = met.withColumns({t: F.struct(*[F.col(f"_{t}_{c}").alias(c) for c in cs]) for t, cs in joined})  # of nulls where absent; unlike a null struct, only its fields that are read are shipped
+        failed = F.col("_failed").bitwiseOR(F.coalesce(f"_{name}", F.lit(absent).cast("long"))).bitwiseOR(failing(against))
+        met = here.select(*[c for c in plain if c not in ("_failed", f"_{name}")], failed.alias("_failed"))
+    return named_failures(met.select(*candidates.columns, F.col("_failed").alias("failed")), list(checks)).withColumn("proven", F.col("failed") == 0)

@@ -36,7 +36,7 @@ def evidence(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, Dat
     o = base.select(
         name("o").alias("id"), fault(31, "s-", name("s", u)).alias("source_id"), fault(32, "p-", name("p")).alias("payload_id"), fault(33, "f-", name("f")).alias("artifact_id"), fault(35, "daily", "intraday").alias("stream"),
         fault(37, "csv", "json").alias("format"), fault(38, "stress.json", F.concat("surface", F.lit(".json"))).alias("filename"), name("e").alias("event_id"), fault(26, proof.CONTRACTS[0], F.col("contract")).alias("contract"),
-        fault(28, "other", F.col("recon")).alias("reconciliation"), i.alias("_i"),
+        fault(28, "other", F.col("recon")).alias("reconciliation"), i.alias("_i"), u,
     )
     payload = base.select(
         name("p").alias("id"), fault(30, "s-", name("s", u)).alias("source_id"), name("f").alias("artifact_id"), fault(34, "daily", "intraday").alias("stream"), fault(36, "csv", "json").alias("format"), F.sha2(i.cast("string"), 256).alias("content_hash"),
@@ -53,17 +53,17 @@ def evidence(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, Dat
         F.when(hit(17), 1.0).alias("number"), F.when(hit(18), "1").alias("text"), F.when(hit(19), "[]").alias("collection"), F.when(hit(20), "why").alias("reason"), fault(21, "ms", "points").alias("unit"),
         fault(22, "elsewhere", F.concat("path", F.lit(".avgStressLevel"))).alias("field_path"), F.when(hit(24), u % 2 != 0).otherwise(u % 2 == 0).alias("attributed"),
     )
-    event = keyed.join(base.select(i.alias("_i"), u), "_i").select(
+    event = keyed.select(
         F.col("id").alias("_o"), F.concat(F.lit("e"), F.col("_i").cast("string")).alias("id"), F.concat(F.lit("b"), F.col("_i").cast("string")).alias("batch_id"), F.when(F.col("_i") % 61 == 40, "a-").otherwise(F.concat(F.lit("a"), u.cast("string"))).alias("acquisition_id"),
         F.when(F.col("_i") % 61 == 41, "f-").otherwise(F.concat(F.lit("f"), F.col("_i").cast("string"))).alias("artifact_id"), F.when(F.col("_i") % 61 == 42, "daily").otherwise("intraday").alias("stream"),
         F.when(F.col("_i") % 61 == 43, "none").otherwise(F.concat(F.lit(proof.FINGERPRINT), "key")).alias("fingerprint"), F.when(F.col("_i") % 61 == 44, "received").otherwise("committed").alias("status"),
     ).drop("_o")
-    batch = o.join(base.select(i.alias("_i"), u), "_i").where("_i % 127 > 0").select(
+    batch = o.where("_i % 127 > 0").select(
         F.concat(F.lit("b"), F.col("_i").cast("string")).alias("id"), F.when(F.col("_i") % 61 == 45, "received").otherwise("committed").alias("status"), F.when(F.col("_i") % 61 == 46, "a-").otherwise(F.concat(F.lit("a"), u.cast("string"))).alias("acquisition_id"),
         F.when(F.col("_i") % 61 == 47, "webhook").otherwise("provider_sync").alias("kind"), F.when(F.col("_i") % 61 == 48, "other").otherwise(proof.PARSER).alias("parser"), F.when(F.col("_i") % 61 == 49, "v0").otherwise(F.col("contract")).alias("version"),
     )
     candidates = e.select(i, name("r").alias("record_id"), name("m").alias("metric_id"), name("p").alias("payload_id"), name("o").alias("observation_id"))
-    return candidates, {"record": record, "metric": metric, "payload": payload, "observation": keyed.drop("_i"), "source": source, "event": event, "batch": batch}
+    return candidates, {"record": record, "metric": metric, "payload": payload, "observation": keyed.drop("_i", "user_id"), "source": source, "event": event, "batch": batch}
 
 
 _CHECKS = """record_absent metric_absent payload_absent observation_absent source_absent event_absent batch_absent source_kind source_provider surface projection_status record_stream local_date source_path metric_code capability
