@@ -5,6 +5,7 @@ import random
 from datetime import date, datetime, timedelta
 
 import pytest
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tidemark.operators import revision
@@ -138,3 +139,51 @@ def test_pages_resume_from_their_token(spark, tmp_path):
     with pytest.raises(Exception, match="another_window"):
         take(parts, [8], window="other")
     assert len(take(str(tmp_path / "few"), [0, 1, 2], most=2)) == 8
+
+
+class _State(dict):
+    """A state variable that counts what is written to it."""
+
+    writes = 0
+
+    def updateValue(self, key, value):
+        self[key], self.writes = value, self.writes + 1
+
+    def removeKey(self, key):
+        del self[key]
+        self.writes += 1
+
+    def update(self, value):
+        self[None], self.writes = value, self.writes + 1
+
+    iterator = dict.items
+    exists = lambda self: bool(self)
+
+    def get(self):
+        return self[None]
+
+
+class _Handle:
+    def __init__(self):
+        self.states, self.timers = {}, []
+
+    def getMapState(self, name, *_):
+        return self.states.setdefault(name, _State())
+
+    getValueState = getMapState
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+
+def test_whole_refreshes_never_enter_the_state():
+    handle, made = _Handle(), refreshes.Refreshes(2)
+    made.init(handle)
+    pages = [(1, 0, False, "a"), (1, 1, True, "b"), (2, 0, False, "b"), (2, 1, False, "c"), (3, 1, True, "x")]
+    first = list(made.handleInputRows((7,), iter([pd.DataFrame(pages, columns=["epoch", "page", "terminal", "member"])]), None))
+    assert [tuple(r) for f in first for r in f.itertuples(index=False)] == [(7, 1, 2, "promoted", 2, 0, 0)]
+    assert sum(s.writes for s in handle.states.values()) == 4  # what was promoted, and three pages that wait
+    assert sorted(t // refreshes.DAY_MS for t in handle.timers) == [4, 5]
+    then = list(made.handleInputRows((7,), iter([pd.DataFrame([(2, 2, True, "d")], columns=["epoch", "page", "terminal", "member"])]), None))
+    assert [tuple(r) for f in then for r in f.itertuples(index=False)] == [(7, 2, 3, "promoted", 2, 1, 1)]
+    assert list(handle.states["staged"]) == [(3, 1, "x")] and len(handle.timers) == 2
